@@ -13,6 +13,9 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: A staged write needs its shuffle files no longer than it runs.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 _own: str | None = None
 
 
@@ -46,8 +49,13 @@ class Staging:
 
     def write(self, df: DataFrame, name: str) -> DataFrame:
         """Writes `df` and returns the written table."""
-        path = self.path(name)
-        df.write.mode("overwrite").option("compression", "zstd").parquet(path)
+        path, conf = self.path(name), self.spark.conf
+        was = conf.get(CLEANUP, "false")
+        conf.set(CLEANUP, "true")
+        try:
+            df.write.mode("overwrite").option("compression", "zstd").parquet(path)
+        finally:
+            conf.set(CLEANUP, was)
         return self.spark.read.schema(df.schema).parquet(path)
 
     def drop(self, *names: str) -> None:
