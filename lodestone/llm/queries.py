@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import simhash
+from . import mixing, packing, recompression, simhash, tokenfiles
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -18,8 +18,61 @@ def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(_table(spark, sf_dir, "documents"))
 
 
+def _tokenizer(name: str) -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token files of all documents, written and read back."""
+    return tokenfiles.round_trip(_table(spark, sf_dir, "documents"), _tokenizer("word_bpe_49k.json"), keeps_space=False, end_id=2)
+
+
+def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sources mixed to weights 5, 2, 1 in turn, at most three epochs of any."""
+    return mixing.mix(_table(spark, sf_dir, "documents"), weights=(5, 2, 1), max_epochs=3.0)
+
+
+def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents packed into windows of 1024 tokens that hold the sources in proportion."""
+    return packing.pack(_table(spark, sf_dir, "documents"), _tokenizer("byte_bpe_50k.json"), window=1024, end_id=0)
+
+
+def op10_recompression(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of 50-word windows that a document of smaller id has as well, removed."""
+    return recompression.remove_repeats(_table(spark, sf_dir, "documents"), window=50)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_simhash": op2_simhash,
+    "op4_token_files": op4_token_files,
+    "op5_mixing": op5_mixing,
+    "op8_packing": op8_packing,
+    "op10_recompression": op10_recompression,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+_OP5 = """
+WITH d AS (
+  SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) AS BIGINT) AS size,
+         CAST('0x' || substr(md5('mix:' || coalesce(CAST(doc_id AS VARCHAR), 'null')), 1, 8) AS BIGINT) AS h
+  FROM documents),
+s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size, row_number() OVER (ORDER BY source ASC NULLS LAST) - 1 AS place FROM d GROUP BY source),
+w AS (SELECT *, [5, 2, 1][CAST(place % 3 + 1 AS INT)] AS weight, 3.0::DOUBLE * source_size AS cap FROM s),
+o AS (SELECT *, (sum(source_size) OVER ())::DOUBLE - coalesce(sum(cap) OVER b, 0.0::DOUBLE) AS left_size,
+             sum(weight) OVER () - coalesce(sum(weight) OVER b, 0) AS left_weight
+      FROM w WINDOW b AS (ORDER BY source_size::DOUBLE / weight, coalesce('s' || source, 'n') ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+c AS (SELECT *, weight * (left_size / left_weight) > cap AS clamped FROM o),
+t AS (SELECT *, CASE WHEN clamped THEN cap ELSE weight * (max(CASE WHEN NOT clamped THEN left_size END) OVER () / max(CASE WHEN NOT clamped THEN left_weight END) OVER ()) END AS target FROM c),
+r AS (SELECT source, source_size, target, CASE WHEN source_size > 0 THEN CAST(floor(target / source_size) AS BIGINT) ELSE 0 END AS whole FROM t),
+p AS (SELECT d.doc_id, d.source, d.size, r.source_size, r.target, r.whole, r.target - r.whole * r.source_size AS part,
+             sum(d.size) OVER (PARTITION BY d.source ORDER BY d.h, d.doc_id, d.size ROWS UNBOUNDED PRECEDING) - d.size / 2.0::DOUBLE AS middle
+      FROM d JOIN r ON d.source IS NOT DISTINCT FROM r.source)
+SELECT doc_id, source, size, source_size, target, CAST(whole + CASE WHEN part > 0 AND middle <= part THEN 1 ELSE 0 END AS BIGINT) AS reps,
+       CAST(size * (whole + CASE WHEN part > 0 AND middle <= part THEN 1 ELSE 0 END) AS BIGINT) AS taken
+FROM p
+"""
+
+ORACLE_SQL: dict[str, str] = {
+    "op5_mixing": _OP5,
+}
