@@ -16,6 +16,8 @@ from .text import slices, strings
 
 #: Buckets of more members than this link through shared neighbours instead of pairs.
 PAIR_BUCKET = 16
+#: At most so many bucket keys (16 bytes each) are broadcast; more are joined by shuffle.
+BROADCAST_KEYS = 250_000
 
 
 def fingerprint(text: bytes, width: int, seed: int = 42) -> int:
@@ -40,16 +42,18 @@ def fingerprint(text: bytes, width: int, seed: int = 42) -> int:
 
 
 def fingerprints(docs: DataFrame, id_col: str, text_col: str, width: int = 3) -> DataFrame:
-    """(doc_id, fp) for each row: one pass over the texts, no shuffle."""
+    """(doc_id, th, fp) for each row: one pass over the texts, no shuffle."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in slices(whole, "text"):
                 texts = strings(batch.column("text")).cast(pa.large_binary())
                 fps = pa.array([fingerprint(t.as_py(), width) for t in texts], type=pa.int64())
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), fps], names=["doc_id", "fp"])
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("th"), fps], names=["doc_id", "th", "fp"])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, "doc_id long, fp long")
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text).alias("th"), text.alias("text"))
+    return rows.mapInArrow(run, "doc_id long, th long, fp long")
 
 
 def _apart(a: Column, b: Column) -> Column:
@@ -86,6 +90,7 @@ def links(fps: DataFrame, staging: Staging, pair_bucket: int = PAIR_BUCKET) -> D
         F.explode(F.when(F.col("n") == 2, F.array(pair(F.col("lo"), F.col("hi")))).otherwise(F.array(pair(F.col("lo"), mid), pair(mid, F.col("hi")), pair(F.col("lo"), F.col("hi"))))).alias("p")
     ).select("p.a", "p.b")
     large = buckets.where("n > 3").select("key", "n")
+    large = F.broadcast(large) if large.count() <= BROADCAST_KEYS else large
     members = staging.write(keyed.join(large, "key"), "members")
     medium = members.where(F.col("n") <= pair_bucket).select("key", "fp")
     paired = medium.withColumnRenamed("fp", "a").join(medium.withColumnRenamed("fp", "b"), "key").where("a < b").select("a", "b")
@@ -98,7 +103,7 @@ def links(fps: DataFrame, staging: Staging, pair_bucket: int = PAIR_BUCKET) -> D
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, pair_bucket: int = PAIR_BUCKET) -> DataFrame:
-    """(doc_id, fingerprint, component_id, n_copies) for every row.
+    """(doc_id, th, fingerprint, component_id, n_copies) for every row.
 
     Fingerprints link at 2 or fewer differing bits; component_id is the
     smallest id reachable over links, itself included, and n_copies counts the
@@ -106,7 +111,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     never become pairs. A null text counts as empty; texts without words have
     the fingerprint zero and link like any other. Rows repeat as they come. A
     null id stays, and takes the component of its fingerprint. An empty table
-    gives no rows; columns other than the two named are not read.
+    gives no rows; columns other than the two named are not read. th is a hash
+    of the text.
     """
     staging = Staging(docs.sparkSession, "simhash")
     prints = staging.write(fingerprints(docs, id_col, text_col, width), "prints")
@@ -119,4 +125,4 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         rooted.select("fp", "root", "n_copies").join(rooted.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("fp", "component_id", "n_copies"), "named"
     )
     staging.drop("rooted")
-    return prints.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "n_copies")
+    return prints.join(named, "fp").select("doc_id", "th", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "n_copies")
