@@ -1,8 +1,9 @@
 """Whole texts to token ids with a public tokenizer, each distinct piece encoded once.
 
-Both tokenizers cut a text at every single space between two other characters
-whatever stands around it, so a text's ids are those of its pieces in turn.
-Pieces repeat, whole texts don't: a worker keeps the ids of pieces it has met.
+The tokenizers cut a text into pieces before they merge anything, so a text's
+ids are those of its pieces in turn. Pieces repeat, whole texts don't: texts
+are cut where both tokenizers surely do, and a worker keeps the ids of the
+pieces that it has met, under 128-bit hashes.
 """
 
 from __future__ import annotations
@@ -12,15 +13,18 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 
-#: A worker forgets its pieces beyond so many, which bounds its memory.
-PIECES = 300_000
-#: Two white-space characters in a row, in any script: such texts of a space-keeping tokenizer are encoded whole.
-_DOUBLE = r"[\s\x0b\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]{2}"
+#: A worker forgets its pieces beyond so many (some 50 bytes each), which bounds its memory.
+PIECES = 1_500_000
+#: Two white-space characters in a row, in any script, or the mark that cuts pieces: such texts are encoded whole.
+_ODD = r"[\s\x0b\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]{2}|\x00"
+#: A mark of punctuation after a letter or digit begins a piece.
+_MARK = r"([\pL\pN])([.,;:!?])"
 
 
 class Encoder:
-    """`keeps_space`: the tokenizer puts a space with the word after it (byte-level), or drops white space."""
+    """`keeps_space`: the tokenizer puts a space with the word after it (byte-level); else it drops white space and case."""
 
     def __init__(self, path: str, keeps_space: bool, end_id: int) -> None:
         from tokenizers import Tokenizer
@@ -32,61 +36,70 @@ class Encoder:
         self._forget()
 
     def _forget(self) -> None:
-        self.slots: dict[str, int] = {}
+        self.known = np.zeros((0, 2), dtype=np.uint64)  # hashes of pieces, sorted by the first half
+        self.slot_of = np.zeros(0, dtype=np.int32)
         self.flat = np.array([self.end_id], dtype=np.uint32)  # slot 0 is the end id
         self.starts = np.array([0], dtype=np.int64)
-        self.lengths = np.array([1], dtype=np.int64)
+        self.lengths = np.array([1], dtype=np.int32)
 
-    def _slots(self, pieces: list[str]) -> np.ndarray:
+    def _encoded(self, texts: list[str]) -> list[list[int]]:
+        return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _slots(self, pieces: pa.Array) -> np.ndarray:
         """The slot of each of these distinct pieces; new ones are encoded."""
-        get = self.slots.get
-        found = np.array([get(p, -1) for p in pieces], dtype=np.int64)
-        new = np.flatnonzero(found < 0)
+        digest = xxhash.xxh3_128_digest
+        hashes = np.frombuffer(b"".join(map(digest, pieces.cast(pa.large_binary()).to_pylist())), dtype=np.uint64).reshape(-1, 2)
+        at = np.searchsorted(self.known[:, 0], hashes[:, 0])
+        inside = np.minimum(at, max(0, len(self.known) - 1))
+        hit = (self.known[inside] == hashes).all(axis=1) if len(self.known) else np.zeros(len(hashes), dtype=bool)
+        slots = np.zeros(len(hashes), dtype=np.int64)
+        slots[hit] = self.slot_of[inside[hit]]
+        new = np.flatnonzero(~hit)
         if len(new):
-            ids = [e.ids for e in self.tokenizer.encode_batch_fast([pieces[i] for i in new], add_special_tokens=False)]
-            lengths = np.fromiter(map(len, ids), dtype=np.int64, count=len(ids))
-            first = len(self.starts)
-            self.starts = np.concatenate((self.starts, len(self.flat) + np.cumsum(lengths) - lengths))
-            self.flat = np.concatenate((self.flat, np.fromiter((x for e in ids for x in e), dtype=np.uint32, count=int(lengths.sum()))))
+            ids = self._encoded(pieces.take(pa.array(new)).to_pylist())
+            lengths = np.fromiter(map(len, ids), dtype=np.int32, count=len(ids))
+            slots[new] = len(self.starts) + np.arange(len(new))
+            self.starts = np.concatenate((self.starts, len(self.flat) + np.cumsum(lengths, dtype=np.int64) - lengths))
+            self.flat = np.concatenate((self.flat, np.array([x for e in ids for x in e], dtype=np.uint32)))
             self.lengths = np.concatenate((self.lengths, lengths))
-            found[new] = first + np.arange(len(new))
-            self.slots.update(zip((pieces[i] for i in new), found[new].tolist(), strict=True))
-        return found
+            order = new[np.argsort(hashes[new, 0])]
+            place = np.searchsorted(self.known[:, 0], hashes[order, 0])
+            self.known = np.insert(self.known, place, hashes[order], axis=0)
+            self.slot_of = np.insert(self.slot_of, place, slots[order])
+        return slots
+
+    def _pieces(self, texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+        """All pieces of all texts, and where each text's begin."""
+        if self.keeps_space:
+            texts = pc.replace_substring(pc.replace_substring(texts, " ", "\0 "), "\n", "\0\n\0")
+        else:
+            texts = pc.replace_substring(pc.replace_substring(pc.ascii_lower(texts), " ", "\0"), "\n", "\0")
+        lists = pc.split_pattern(pc.replace_substring_regex(texts, _MARK, "\\1\0\\2"), "\0")
+        offsets = np.asarray(lists.offsets, dtype=np.int64)
+        return lists.flatten(), offsets - offsets[0]
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts in turn, each with the end id, and where each begins (one more entry than texts)."""
-        if len(self.slots) > PIECES:
+        if len(self.known) > PIECES:
             self._forget()
-        lists = pc.split_pattern(texts, " ")
-        offsets = np.asarray(lists.offsets, dtype=np.int64)
-        offsets = offsets - offsets[0]
-        units = lists.flatten().dictionary_encode()
-        distinct = units.dictionary.to_pylist()
-        codes = np.asarray(units.indices, dtype=np.int64)
-        if self.keeps_space:
-            heads = offsets[:-1]
-            first = [distinct[c] for c in codes[heads].tolist()]
-            unique = list(dict.fromkeys([*(f" {d}" for d in distinct), *first]))
-            slot_of = self._slots(unique)
-            slots = slot_of[: len(distinct)][codes]
-            at = dict(zip(unique, slot_of.tolist(), strict=True))
-            slots[heads] = [at[f] for f in first]
-        else:
-            slots = self._slots(distinct)[codes]
+        odd = np.asarray(pc.match_substring_regex(texts, _ODD)) if len(texts) else np.zeros(0, dtype=bool)
+        plain = pc.if_else(pa.array(odd), pa.scalar("", pa.large_string()), texts) if odd.any() else texts
+        pieces, offsets = self._pieces(plain)
+        coded = pieces.dictionary_encode()
+        slots = self._slots(coded.dictionary)[np.asarray(coded.indices)] if len(pieces) else np.zeros(0, dtype=np.int64)
         slots = np.insert(slots, offsets[1:], 0)
         offsets = offsets + np.arange(len(offsets))
         lengths = self.lengths[slots]
-        ends = np.cumsum(lengths)
+        ends = np.cumsum(lengths, dtype=np.int64)
         begins = np.concatenate(([0], ends))[offsets]
         total = int(ends[-1]) if len(ends) else 0
         ids = self.flat[np.repeat(self.starts[slots] - (ends - lengths), lengths) + np.arange(total)]
-        if self.keeps_space:
-            odd = np.flatnonzero(np.asarray(pc.match_substring_regex(texts, _DOUBLE)))
-            if len(odd):
-                whole = {int(i): np.array([*e.ids, self.end_id], dtype=np.uint32) for i, e in zip(odd, self.tokenizer.encode_batch_fast([texts[int(i)].as_py() for i in odd], add_special_tokens=False), strict=True)}
-                parts = [whole[i] if i in whole else ids[begins[i] : begins[i + 1]] for i in range(len(texts))]
-                begins = np.concatenate(([0], np.cumsum([len(p) for p in parts])))
-                ids = np.concatenate(parts)
+        if odd.any():
+            at = np.flatnonzero(odd)
+            whole = dict(zip(at.tolist(), self._encoded([texts[i].as_py() for i in at.tolist()]), strict=True))
+            parts = [np.array([*whole[i], self.end_id], dtype=np.uint32) if i in whole else ids[begins[i] : begins[i + 1]] for i in range(len(texts))]
+            begins = np.concatenate(([0], np.cumsum([len(p) for p in parts])))
+            ids = np.concatenate(parts)
         return ids, begins
 
 
