@@ -116,6 +116,9 @@ def anchored(names: np.ndarray, bounds: np.ndarray, window: int) -> tuple[np.nda
     The anchor of a window is, at the highest level that has any, the symbol of
     least hash among those that depend on words of the window alone. So it
     depends on the window's words alone, and equal windows have equal anchors.
+    A symbol may be a single word that never met a partner; it is hashed with
+    all the words on which it depends, so that documents share an anchor only
+    if they share some 30 words in a row.
     """
     starts = np.flatnonzero(np.arange(len(names)) + window <= np.repeat(bounds[1:], np.diff(bounds)))
     if not len(starts):
@@ -123,13 +126,13 @@ def anchored(names: np.ndarray, bounds: np.ndarray, window: int) -> tuple[np.nda
     doc = np.searchsorted(bounds, starts, side="right") - 1
     anchor = np.zeros(len(starts), np.uint64)
     place = np.zeros(len(starts), np.int64)
-    rest = np.arange(len(starts))
+    rest, ranges = np.arange(len(starts)), Ranges(names, BASES[0])
     for number, level in reversed(list(enumerate(levels(names, bounds)))):
         p = starts[rest]
         low = np.searchsorted(level.low, p, side="left")
         high = np.searchsorted(level.high, p + window, side="right") - 1
         held = low <= high
-        value = mix(level.name, 1000 + number)
+        value = mix(ranges(np.maximum(level.low, 0), np.minimum(level.high, len(names))) + level.name, 1000 + number)
         best = _least(value, low[held], high[held])
         anchor[rest[held]] = value[best]
         place[rest[held]] = best * (ROUNDS + 1) + number
