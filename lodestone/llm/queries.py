@@ -5,17 +5,31 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import mixing, packing, recompression, simhash, tokenfiles
+from . import licenses, mixing, packing, recompression, secrets, simhash, tokenfiles, topk, toxicity, versions
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten best others of every hundredth vector by whole-number inner product."""
+    return topk.search(_table(spark, sf_dir, "embeddings"), k=10, query_step=100)
+
+
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SimHash near-duplicates over all documents."""
-    return simhash.near_duplicates(_table(spark, sf_dir, "documents"))
+    return simhash.near_duplicates(_table(spark, sf_dir, "documents")).drop("th")
+
+
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of all documents, learnt from the labels of four folds of five."""
+    labels = _table(spark, sf_dir, "labels")
+    learnt = labels.where(~toxicity.held_out(F.col("doc_id")))
+    scored = toxicity.score(_table(spark, sf_dir, "documents"), learnt)
+    return scored.select("doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), F.size("passages").alias("n_passages"))
 
 
 def _tokenizer(name: str) -> str:
@@ -34,21 +48,45 @@ def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(_table(spark, sf_dir, "documents"), weights=(5, 2, 1), max_epochs=3.0)
 
 
+def op6_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sketches of all documents and of their edited texts, and how alike they are."""
+    return versions.fingerprints(_table(spark, sf_dir, "documents"))
+
+
+def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets of all documents: counts of the base kinds, and digests of base and all spans."""
+    found = secrets.scan_secrets(_table(spark, sf_dir, "documents"))
+    of = lambda kind: F.filter("spans", lambda s: s["kind"] == kind)
+    counts = [F.size(of(k)).cast("long").alias(f"n_{k}") for k in secrets.KINDS]
+    base = secrets.span_text(F.filter("spans", lambda s: s["kind"] != secrets.LEARNT))
+    return found.select("doc_id", *counts, F.sha2(F.encode(base, "UTF-8"), 256).alias("base_sha256"), secrets.span_text(F.col("spans")).alias("spans"))
+
+
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents packed into windows of 1024 tokens that hold the sources in proportion."""
     return packing.pack(_table(spark, sf_dir, "documents"), _tokenizer("byte_bpe_50k.json"), window=1024, end_id=0)
 
 
+def op9_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Licence families of all documents."""
+    return licenses.families(licenses.scan_licenses(_table(spark, sf_dir, "documents")))
+
+
 def op10_recompression(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words of 50-word windows that a document of smaller id has as well, removed."""
     return recompression.remove_repeats(_table(spark, sf_dir, "documents"), window=50)
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_topk": op1_topk,
     "op2_simhash": op2_simhash,
+    "op3_toxicity": op3_toxicity,
     "op4_token_files": op4_token_files,
     "op5_mixing": op5_mixing,
+    "op6_versions": op6_versions,
+    "op7_secrets": op7_secrets,
     "op8_packing": op8_packing,
+    "op9_licenses": op9_licenses,
     "op10_recompression": op10_recompression,
 }
 
@@ -73,6 +111,16 @@ SELECT doc_id, source, size, source_size, target, CAST(whole + CASE WHEN part >
 FROM p
 """
 
+_OP1 = """
+WITH v AS (SELECT vec_id, list_transform(CAST(embedding AS DOUBLE[]), lambda x: CAST(floor(1024 * x) AS BIGINT)) AS v FROM embeddings
+           WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT q.vec_id AS query_id, v.vec_id, CAST(coalesce(list_sum(list_transform(list_zip(q.v, v.v), lambda z: z[1] * z[2])), 0) AS BIGINT) AS score
+      FROM v q JOIN v ON q.vec_id % 100 = 0 AND q.vec_id <> v.vec_id AND len(q.v) = len(v.v)),
+r AS (SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INT) AS rank, vec_id, score FROM s)
+SELECT * FROM r WHERE rank <= 10
+"""
+
 ORACLE_SQL: dict[str, str] = {
+    "op1_topk": _OP1,
     "op5_mixing": _OP5,
 }
