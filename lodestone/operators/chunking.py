@@ -1,0 +1,86 @@
+"""Pages to chunks: paragraphs, then sentences, then words, packed greedily in order."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+from .. import checks
+from ..errors import ChunkError
+from ..functions import text as T
+from ..schemas import ChunkConfig
+
+
+def paragraphs(text: Column) -> Column:
+    return F.filter(F.split(text, T.PARAGRAPH_BREAK), T.non_blank)
+
+
+def oversized(piece: Column, most: int) -> Column:
+    """A piece longer than `most` as runs of whole sentences, and a sentence longer than that as runs of words."""
+    words = lambda p: T.greedy(F.split(p, " "), most, " ")
+    sentences = F.filter(F.split(piece, T.SENTENCE_BREAK), T.non_blank)
+    fitted = F.flatten(F.transform(T.greedy(sentences, most, " "), lambda g: F.when(F.length(g) <= most, F.array(g)).otherwise(words(g))))
+    return F.when(F.length(piece) <= most, F.array(piece)).when(F.size(sentences) <= 1, words(piece)).otherwise(fitted)
+
+
+def chunk_texts(text: Column, config: ChunkConfig) -> Column:
+    """The chunks of one page in order; a short last one joins the one before if both fit."""
+    pieces = F.flatten(F.transform(paragraphs(text), lambda p: oversized(p, config.max_chars)))
+    packed = T.greedy(pieces, config.target_chars, "\n\n", slack=2)
+
+    def merged(found: Column) -> Column:
+        n = F.size(found)
+        last, previous = F.element_at(found, -1), F.element_at(found, -2)
+        fits = (F.length(last) < config.min_chars) & (F.length(previous) + 2 + F.length(last) <= config.max_chars)
+        joined = F.concat(F.slice(found, 1, n - 2), F.array(F.concat(previous, F.lit("\n\n"), last)))
+        return F.when((n >= 2) & fits, joined).otherwise(found)
+
+    # the lambda's variable keeps the packed array from being computed for each mention
+    return F.element_at(F.transform(F.array(packed), merged), 1)
+
+
+def routed(pages: DataFrame) -> DataFrame:
+    """Adds `reason` why a page has no chunks: failed, empty, or null."""
+    checks.none(pages, F.col("document_id").isNull() | (F.col("document_id") == ""), "page without document_id", ChunkError)
+    return pages.withColumn("reason", F.when(F.col("extraction_status") == "failed", "failed").when(~T.non_blank(F.col("text")), "empty"))
+
+
+def chunk_pages(pages: DataFrame, config: ChunkConfig | None = None) -> DataFrame:
+    """(chunk_id, document_id, page_number, chunk_index, text) of all eligible pages; chunks never span pages."""
+    rows = routed(pages).where("reason is null").select("document_id", "page_number", F.posexplode(chunk_texts(F.col("text"), config or ChunkConfig())).alias("i", "text"))
+    index = (F.col("i") + 1).alias("chunk_index")
+    return rows.select(T.chunk_id(F.col("document_id"), F.col("page_number"), F.col("i") + 1).alias("chunk_id"), "document_id", "page_number", index, "text")
+
+
+def chunk_statistics(pages: DataFrame, chunks: DataFrame) -> DataFrame:
+    """One row for each document: chunk_count, pages_with_chunks, and pages without with their reason."""
+    counted = chunks.groupBy("document_id", "page_number").agg(F.count("*").alias("n"))
+    known = routed(pages).select("document_id", "page_number", "reason").join(counted, ["document_id", "page_number"], "left")
+    return known.groupBy("document_id").agg(
+        F.coalesce(F.sum("n"), F.lit(0)).alias("chunk_count"),
+        F.array_sort(F.collect_list(F.when(F.col("n") > 0, F.col("page_number")))).alias("pages_with_chunks"),
+        F.array_sort(F.collect_list(F.when(F.col("reason").isNotNull(), F.struct("page_number", "reason")))).alias("pages_without_chunks"),
+    )
+
+
+def contract_checks(chunks: DataFrame, max_chars: int | None = None) -> DataFrame:
+    """(document_id, name, status): seven checks of each document's chunks, by one aggregation after one by page."""
+    parts = T.chunk_id_parts(F.col("chunk_id"))
+    well_named = F.coalesce((parts["document_id"] == F.col("document_id")) & (parts["page_number"] == F.col("page_number")) & (parts["chunk_index"] == F.col("chunk_index")), F.lit(False))
+    complete = F.col("chunk_id").isNotNull() & F.col("document_id").isNotNull() & F.col("page_number").isNotNull() & F.col("chunk_index").isNotNull() & F.col("text").isNotNull()
+    size = F.coalesce(F.length("text"), F.lit(0)) <= (max_chars if max_chars is not None else 2**31 - 1)
+    by_page = chunks.groupBy("document_id", "page_number").agg(
+        F.count("*").alias("n"),
+        F.min(complete).alias("complete"),
+        F.min(well_named).alias("named"),
+        F.min(T.non_blank(F.col("text"))).alias("filled"),
+        F.min(size).alias("sized"),
+        (F.min("chunk_index") == 1) & (F.max("chunk_index") == F.count("*")) & (F.count_distinct("chunk_index") == F.count("*")),
+    ).toDF("document_id", "page_number", "n", "complete", "named", "filled", "sized", "contiguous")
+    repeats = chunks.groupBy("document_id", "chunk_id").count().groupBy("document_id").agg((F.max("count") == 1).alias("unique"))
+    rows = by_page.groupBy("document_id").agg(F.sum("n").alias("n"), *[F.min(c).alias(c) for c in ("complete", "named", "filled", "sized", "contiguous")]).join(repeats, "document_id")
+    named = [("chunks_present", F.col("n") > 0), ("required_fields_present", F.col("complete")), ("chunk_id_matches_provenance", F.col("named")), ("chunk_ids_unique", F.col("unique"))]
+    named += [("chunk_index_contiguous_per_page", F.col("contiguous")), ("no_empty_chunks", F.col("filled"))]
+    named += [("size_within_max", F.col("sized"))] if max_chars is not None else []
+    found = F.explode(F.array(*[F.struct(F.lit(n).alias("name"), F.when(F.coalesce(ok, F.lit(False)), "pass").otherwise("fail").alias("status")) for n, ok in named])).alias("c")
+    return rows.select("document_id", found).select("document_id", "c.*")

@@ -4,11 +4,526 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+from ..functions import text as T
+from ..operators import answer, chunking, context, embedding, evaluation, layout, pages, records, reports, retrieval
+from ..operators import index as idx
+from . import fixtures as fx
+from .run import run_queries
+
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
 ORACLE_SQL: dict[str, str] = {}
+MAX_CHARS = 3000
+
+
+def published(sql: str | None = None) -> Callable[[Query], Query]:
+    """Registers a query under its name, with its SQL where there is one."""
+
+    def add(query: Query) -> Query:
+        QUERIES[query.__name__] = query
+        if sql:
+            ORACLE_SQL[query.__name__] = sql
+        return query
+
+    return add
+
+
+def joined(values: Column | str) -> Column:
+    """A list as text, for comparison across engines."""
+    return F.array_join(F.transform(values, lambda v: v.cast("string")), ",")
+
+
+def _sql_joined(values: str) -> str:
+    return f"array_to_string(list_transform({values}, lambda v: CAST(v AS VARCHAR)), ',')"
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raise NotImplementedError
+    """One question to the smallest corpus, end to end: rank, chunk, score and text of the evidence within the budget."""
+    chunks = fx.chunk_table(spark, sf_dir)
+    provider = embedding.HashProvider()
+    index = idx.build_index(chunks, embedding.generate_embeddings(chunks, provider), fx.catalog(spark, sf_dir))
+    question = fx.text_queries(spark, sf_dir).orderBy("query_id").limit(1)
+    results = retrieval.search(index, provider.embed(question, "query_id", "query"), 5)
+    kept = context.budgeted(context.valid_results(results), MAX_CHARS).where("kept")
+    return kept.select("query_id", "rank", "chunk_id", "document_id", "page_number", "score", "text").orderBy("rank")
+
+
+# --- pages ---------------------------------------------------------------------
+
+
+@published(f"WITH {fx.sql_pages()} SELECT document_id, filename, page_number, text_sha256, char_count, word_count, extraction_status FROM pages")
+def page_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fx.page_table(spark, sf_dir).select("document_id", "filename", "page_number", "text_sha256", "char_count", "word_count", "extraction_status")
+
+
+_NUMBERS = lambda rule: f"array_to_string(list(page_number ORDER BY page_number) FILTER ({rule}), ',')"
+
+
+@published(
+    f"""WITH {fx.sql_pages()}, m AS (SELECT *, median(char_count) OVER (PARTITION BY document_id) AS md FROM pages)
+SELECT document_id, count(*) AS page_count, CAST(sum(char_count) AS BIGINT) AS total_chars, CAST(sum(word_count) AS BIGINT) AS total_words,
+  round(avg(char_count), 1) AS chars_mean, median(char_count) AS chars_median, min(char_count) AS chars_min, max(char_count) AS chars_max,
+  round(avg(word_count), 1) AS words_mean, median(word_count) AS words_median, min(word_count) AS words_min, max(word_count) AS words_max,
+  coalesce({_NUMBERS("extraction_status = 'empty'")}, '') AS empty_pages, coalesce({_NUMBERS("extraction_status = 'failed'")}, '') AS failed_pages,
+  coalesce({_NUMBERS("char_count < CASE WHEN md > 0 THEN md * 0.1 ELSE 0 END")}, '') AS low_text_pages
+FROM m GROUP BY document_id"""
+)
+def page_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    stats = pages.page_statistics(fx.page_table(spark, sf_dir)).drop("control_char_pages")
+    return stats.select(*[joined(c).alias(c) if c.endswith("_pages") else F.col(c) for c in stats.columns])
+
+
+_CHECKS_SQL = f"""WITH {fx.sql_pages()}, {fx.SQL_EXPECTED}, m AS (SELECT *, median(char_count) OVER (PARTITION BY document_id) AS md FROM pages),
+s AS (SELECT document_id, count(*) AS n, sum(char_count) AS chars, {_NUMBERS("extraction_status = 'empty'").replace("','", "', '")} AS e, {_NUMBERS("extraction_status = 'failed'").replace("','", "', '")} AS f,
+  {_NUMBERS("char_count < CASE WHEN md > 0 THEN md * 0.1 ELSE 0 END").replace("','", "', '")} AS l FROM m GROUP BY document_id),
+k AS (SELECT * FROM expected LEFT JOIN s USING (document_id)),
+checks AS (SELECT document_id, 'source_sha256_matches_manifest' AS name, 'pass' AS status, 'source SHA-256: ' || source_sha256 AS detail FROM k
+UNION ALL SELECT document_id, 'page_count_matches_manifest', CASE WHEN n = expected_pages THEN 'pass' ELSE 'fail' END, 'expected ' || expected_pages || ', parsed ' || n FROM k
+UNION ALL SELECT document_id, 'document_text_present', CASE WHEN chars > 0 THEN 'pass' ELSE 'fail' END, 'characters: ' || chars FROM k
+UNION ALL SELECT document_id, 'page_provenance_complete', 'pass', 'complete' FROM k
+UNION ALL SELECT document_id, 'extraction_failures', CASE WHEN f IS NULL THEN 'pass' ELSE 'fail' END, 'failed pages: ' || coalesce('[' || f || ']', 'none') FROM k
+UNION ALL SELECT document_id, 'empty_pages_reported', CASE WHEN e IS NULL THEN 'info' ELSE 'warn' END, 'empty pages: ' || coalesce('[' || e || ']', 'none') FROM k
+UNION ALL SELECT document_id, 'control_char_anomalies', 'info', 'pages: none' FROM k
+UNION ALL SELECT document_id, 'low_text_pages', 'info', 'pages: ' || coalesce('[' || l || ']', 'none') FROM k)"""
+
+
+@published(f"{_CHECKS_SQL} SELECT * FROM checks")
+def page_validation_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = fx.page_table(spark, sf_dir)
+    return pages.validation_checks(found, fx.expected_pages(found))
+
+
+@published(f"{_CHECKS_SQL} SELECT document_id, CASE max(CASE status WHEN 'fail' THEN 2 WHEN 'warn' THEN 1 ELSE 0 END) WHEN 2 THEN 'fail' WHEN 1 THEN 'pass_with_warnings' ELSE 'pass' END AS overall_status FROM checks GROUP BY document_id")
+def page_validation_status(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = fx.page_table(spark, sf_dir)
+    return pages.validation_report(found, fx.expected_pages(found))
+
+
+@published(
+    """WITH t AS (SELECT doc_id, CASE WHEN doc_id % 50 = 0 THEN repeat(chr(1) || chr(9), 40) || text ELSE text END AS text FROM documents)
+SELECT doc_id, round((length(text) - length(regexp_replace(text, '[\\x00-\\x08\\x0B\\x0C\\x0E-\\x1F\\x7F]', '', 'g')))::DOUBLE / length(text), 6) AS ratio FROM t"""
+)
+def control_char_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = fx.table(spark, sf_dir, "documents")
+    text = F.when(F.col("doc_id") % 50 == 0, F.concat(F.lit("\x01\t" * 40), F.col("text"))).otherwise(F.col("text"))
+    return docs.select("doc_id", F.round(T.control_ratio(text), 6).alias("ratio"))
+
+
+@published("SELECT doc_id, upper(source || '-' || lang) AS document_id FROM documents")
+def document_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    name = F.concat_ws("", F.lit("/in/"), F.concat_ws("-", "source", "lang", F.lit("v1")), F.lit(".pdf"))
+    return fx.table(spark, sf_dir, "documents").select("doc_id", T.document_id(name).alias("document_id"))
+
+
+# --- chunks --------------------------------------------------------------------
+
+
+@published(f"WITH {fx.sql_chunks()} SELECT * FROM chunks")
+def chunk_verbatim(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fx.chunk_table(spark, sf_dir)
+
+
+@published(f"WITH {fx.sql_chunks(True)} SELECT * FROM chunks")
+def chunk_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fx.chunk_table(spark, sf_dir, True)
+
+
+_CONTRACT = "chunks_present required_fields_present chunk_id_matches_provenance chunk_ids_unique chunk_index_contiguous_per_page no_empty_chunks size_within_max".split()
+
+
+@published(
+    f"""WITH {fx.sql_chunks()},
+broken AS (SELECT CASE WHEN document_id = 'src1' THEN chunk_id || '0' ELSE chunk_id END AS chunk_id, document_id, page_number, CASE WHEN document_id = 'src2' THEN chunk_index + 1 ELSE chunk_index END AS chunk_index, text FROM chunks),
+p AS (SELECT document_id, page_number, min(chunk_index) = 1 AND max(chunk_index) = count(*) AND count(DISTINCT chunk_index) = count(*) AS contiguous FROM broken GROUP BY ALL),
+c AS (SELECT document_id, bool_and(contiguous) AS contiguous FROM p GROUP BY ALL),
+d AS (SELECT document_id, count(*) > 0 AS c1, true AS c2,
+  bool_and(regexp_matches(chunk_id, '^(.+)-p(\\d{{3}})-c(\\d{{3}})$') AND regexp_extract(chunk_id, '^(.+)-p(\\d{{3}})-c(\\d{{3}})$', 1) = document_id
+    AND try_cast(regexp_extract(chunk_id, '^(.+)-p(\\d{{3}})-c(\\d{{3}})$', 2) AS INT) = page_number AND try_cast(regexp_extract(chunk_id, '^(.+)-p(\\d{{3}})-c(\\d{{3}})$', 3) AS INT) = chunk_index) AS c3,
+  count(DISTINCT chunk_id) = count(*) AS c4, bool_and(regexp_matches(text, '{fx.NON_WS}')) AS c6, max(length(text)) <= 1500 AS c7 FROM broken GROUP BY ALL)
+SELECT document_id, unnest({_CONTRACT}) AS name, CASE WHEN unnest([c1, c2, coalesce(c3, false), c4, contiguous, c6, c7]) THEN 'pass' ELSE 'fail' END AS status FROM d JOIN c USING (document_id)"""
+)
+def chunk_contract_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The contract of chunks of which some are broken on purpose."""
+    chunks = fx.chunk_table(spark, sf_dir)
+    broken = chunks.withColumn("chunk_id", F.when(F.col("document_id") == "src1", F.concat("chunk_id", F.lit("0"))).otherwise(F.col("chunk_id")))
+    broken = broken.withColumn("chunk_index", F.when(F.col("document_id") == "src2", F.col("chunk_index") + 1).otherwise(F.col("chunk_index")))
+    return chunking.contract_checks(broken, 1500)
+
+
+@published(
+    f"""WITH {fx.sql_chunks()}, n AS (SELECT document_id, page_number, count(*) AS n FROM chunks GROUP BY ALL),
+j AS (SELECT p.document_id, p.page_number, coalesce(n, 0) AS n, CASE extraction_status WHEN 'failed' THEN 'failed' WHEN 'empty' THEN 'empty' END AS reason FROM pages p LEFT JOIN n USING (document_id, page_number))
+SELECT document_id, CAST(sum(n) AS BIGINT) AS chunk_count, coalesce({_NUMBERS("n > 0")}, '') AS pages_with_chunks,
+  coalesce(array_to_string(list(page_number || ':' || reason ORDER BY page_number) FILTER (reason IS NOT NULL), ','), '') AS pages_without_chunks FROM j GROUP BY document_id"""
+)
+def chunk_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    stats = chunking.chunk_statistics(fx.page_table(spark, sf_dir), fx.chunk_table(spark, sf_dir))
+    without = F.array_join(F.transform("pages_without_chunks", lambda p: F.concat_ws(":", p["page_number"].cast("string"), p["reason"])), ",")
+    return stats.select("document_id", "chunk_count", joined("pages_with_chunks").alias("pages_with_chunks"), without.alias("pages_without_chunks"))
+
+
+# --- embeddings and index --------------------------------------------------------
+
+
+@published()
+def hash_embedding_blake2b(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = embedding.HashProvider().embed_sparse(fx.chunk_table(spark, sf_dir), "chunk_id", "text")
+    return rows.select("chunk_id", "bucket", F.round("weight", 6).alias("weight"))
+
+
+def _sha(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, embedding.HashProvider]:
+    return fx.chunk_table(spark, sf_dir), embedding.HashProvider(hasher=embedding.sha_bucket)
+
+
+@published(f"WITH {fx.sql_chunks()}, {fx.sql_sparse('chunks', 'chunk_id', 'cv')} SELECT chunk_id, bucket, round(weight, 6) AS weight FROM cv")
+def hash_embedding_sha(spark: SparkSession, sf_dir: str) -> DataFrame:
+    chunks, provider = _sha(spark, sf_dir)
+    return provider.embed_sparse(chunks, "chunk_id", "text").select("chunk_id", "bucket", F.round("weight", 6).alias("weight"))
+
+
+@published(f"WITH {fx.sql_chunks()}, {fx.sql_sparse('chunks', 'chunk_id', 'cv', True)} SELECT chunk_id, bucket, round(weight, 6) AS weight FROM cv")
+def idf_hash_embedding_sha(spark: SparkSession, sf_dir: str) -> DataFrame:
+    chunks = fx.chunk_table(spark, sf_dir)
+    provider = embedding.TermWeightedProvider(chunks, "chunk_id", "text", hasher=embedding.sha_bucket)
+    return provider.embed_sparse(chunks, "chunk_id", "text").select("chunk_id", "bucket", F.round("weight", 6).alias("weight"))
+
+
+@published(
+    f"""WITH {fx.SQL_VECTORS} SELECT document_id, count(*) AS embedding_count, CAST(max(len(v)) AS INT) AS dimension, {_sql_joined("list_sort(list(DISTINCT page_number))")} AS pages_covered, CAST(0 AS BIGINT) AS bad_vectors
+FROM idx GROUP BY document_id"""
+)
+def embedding_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding.embedding_statistics(fx.vector_index(spark, sf_dir)).withColumn("pages_covered", joined("pages_covered"))
+
+
+def _two_sides(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    vectors = fx.vector_index(spark, sf_dir)
+    chunks = vectors.select("chunk_id", "document_id", "page_number", F.lit(1).alias("chunk_index"), F.concat(F.lit("text of "), F.col("chunk_id")).alias("text"))
+    return chunks, vectors.select("chunk_id", "document_id", "page_number", "vector")
+
+
+@published(f"WITH {fx.SQL_VECTORS} SELECT chunk_id, document_id, page_number, 'text of ' || chunk_id AS text, norm FROM normed")
+def index_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return idx.build_index(*_two_sides(spark, sf_dir)).drop("vector")
+
+
+@published(
+    f"""WITH {fx.SQL_VECTORS} SELECT chunk_id, CASE WHEN vec_id % 11 = 0 THEN 'chunk without vector' ELSE 'vector without chunk' END AS side FROM idx
+WHERE (vec_id % 11 = 0) <> (vec_id % 13 = 0)"""
+)
+def index_orphans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a join of two sides that each lack some would lose."""
+    rows = fx.vector_index(spark, sf_dir)
+    return idx.orphans(rows.where("vec_id % 13 <> 0"), rows.where("vec_id % 11 <> 0"))
+
+
+@published(f"WITH {fx.SQL_VECTORS} SELECT count(DISTINCT document_id) AS document_count, count(*) AS chunk_count FROM idx")
+def corpus_union_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    index = idx.build_index(*_two_sides(spark, sf_dir))
+    odd = F.pmod(F.xxhash64("document_id"), F.lit(2)) == 1
+    return idx.summary(idx.corpus_index([index.where(odd), index.where(~odd)]))
+
+
+@published(f"WITH {fx.sql_pages()}, {fx.SQL_CATALOG} SELECT p.document_id, page_number, document_name FROM pages p LEFT JOIN catalog USING (document_id)")
+def catalog_enrichment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return idx.with_names(fx.page_table(spark, sf_dir).select("document_id", "page_number"), fx.catalog(spark, sf_dir)).select("document_id", "page_number", "document_name")
+
+
+# --- retrieval -------------------------------------------------------------------
+
+_RANK = "CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS INT)"
+
+
+@published(f"WITH {fx.SQL_SCORED} SELECT * FROM (SELECT query_id, {_RANK} AS rank, chunk_id, document_id, page_number, score FROM scored) WHERE rank <= 5")
+def vector_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return retrieval.search(fx.vector_index(spark, sf_dir), fx.vector_queries(spark, sf_dir), 5)
+
+
+@published(f"WITH {fx.SQL_SCORED} SELECT query_id, {_RANK} AS rank, chunk_id, document_id, page_number, score, {_RANK} <= 5 AS selected FROM scored")
+def vector_full_trace(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return retrieval.full_ranking(retrieval.scores(fx.vector_index(spark, sf_dir), fx.vector_queries(spark, sf_dir)), 5)
+
+
+@published(f"WITH {fx.SQL_ROUTED} SELECT * FROM (SELECT query_id, {_RANK} AS rank, chunk_id, document_id, page_number, score FROM scored) WHERE rank <= 5")
+def routed_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return retrieval.search(fx.vector_index(spark, sf_dir), fx.vector_queries(spark, sf_dir), 5, on="document_id")
+
+
+def _lexical(spark: SparkSession, sf_dir: str, idf: bool = False) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(chunks, queries, all scores of queries with chunks)."""
+    chunks, queries = fx.chunk_table(spark, sf_dir), fx.text_queries(spark, sf_dir)
+    provider = embedding.TermWeightedProvider(chunks, "chunk_id", "text", hasher=embedding.sha_bucket) if idf else embedding.HashProvider(hasher=embedding.sha_bucket)
+    scored = retrieval.lexical_scores(provider.embed_sparse(chunks, "chunk_id", "text"), provider.embed_sparse(queries, "query_id", "query"), chunks, 9)
+    return chunks, queries, scored
+
+
+def _lexical_results(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """(queries, the best five with their texts and names)."""
+    chunks, queries, scored = _lexical(spark, sf_dir)
+    results = retrieval.top(scored, 5).join(chunks.select("chunk_id", "text"), "chunk_id")
+    return queries, idx.with_names(results, fx.catalog(spark, sf_dir))
+
+
+@published(f"WITH {fx.sql_lexical()} SELECT query_id, rank, chunk_id, document_id, page_number, score FROM ranked WHERE rank <= 5")
+def lexical_topk_sha(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return retrieval.top(_lexical(spark, sf_dir)[2], 5)
+
+
+# --- context and answers ---------------------------------------------------------
+
+_SQL_MARKED = f"""{fx.sql_lexical()}, {fx.SQL_CATALOG},
+results AS (SELECT r.*, document_name FROM ranked r LEFT JOIN catalog USING (document_id) WHERE rank <= 5),
+marked AS (SELECT *, rank = 1 OR sum(length(text)) OVER (PARTITION BY query_id ORDER BY rank) <= {MAX_CHARS} AS kept FROM results)"""
+
+
+@published(f"WITH {_SQL_MARKED} SELECT query_id, rank, chunk_id, document_name, kept FROM marked")
+def context_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
+    marked = context.budgeted(context.valid_results(_lexical_results(spark, sf_dir)[1]), MAX_CHARS)
+    return marked.select("query_id", "rank", "chunk_id", "document_name", "kept")
+
+
+@published(
+    f"""WITH {_SQL_MARKED} SELECT query_id, document_id, count(*) FILTER (kept) AS chunk_count, {_sql_joined("list_sort(list(DISTINCT page_number) FILTER (kept))")} AS pages,
+  min_by(document_name, rank) FILTER (document_name IS NOT NULL) AS document_name, min(rank) AS first_rank FROM marked GROUP BY ALL HAVING count(*) FILTER (kept) > 0"""
+)
+def evidence_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    marked = context.budgeted(context.valid_results(_lexical_results(spark, sf_dir)[1]), MAX_CHARS)
+    return context.evidence_documents(marked).withColumn("pages", joined("pages"))
+
+
+_NL = "chr(10)"
+_SQL_FOOTER = answer.FOOTER.replace("'", "''")
+
+
+@published(
+    f"""WITH {_SQL_MARKED}, b AS (SELECT query_id, count(*) AS n, string_agg('{answer.RANK_LABEL}: ' || rank || {_NL} || '{answer.CHUNK_LABEL}: ' || chunk_id || {_NL} || '{answer.DOCUMENT_LABEL}: ' || document_id || {_NL} || '{answer.PAGE_LABEL}: ' || page_number || {_NL} || '{answer.TEXT_LABEL}:' || {_NL} || text || {_NL} || '---', {_NL} ORDER BY rank) AS e FROM marked WHERE kept GROUP BY query_id)
+SELECT query_id, n AS evidence_count, '{answer.HEADER}' || {_NL} || 'EVALUATED_QUESTION:' || {_NL} || items.text || {_NL} || {_NL} || 'TOTAL_SUPPLIED_EVIDENCE_ITEMS: ' || n || {_NL} || 'SUPPLIED_EVIDENCE:' || {_NL} || {_NL} || e || {_NL} || {_NL} || '{_SQL_FOOTER}' || {_NL} AS prompt_text
+FROM items JOIN b USING (query_id)"""
+)
+def prompt_render(spark: SparkSession, sf_dir: str) -> DataFrame:
+    queries, results = _lexical_results(spark, sf_dir)
+    bundles = context.build_context(results, queries, MAX_CHARS)
+    return bundles.select("query_id", F.col("evidence_count").cast("long").alias("evidence_count"), answer.prompt(F.col("query"), F.col("evidence")).alias("prompt_text"))
+
+
+_SQL_ANSWERS = f"""answers AS (SELECT conv_id, turn, role, CASE WHEN role = 'system' THEN 0 ELSE 3 END AS evidence_count,
+  CASE WHEN turn % 3 = 1 THEN chr(10) || '  {answer.ABSTAIN} ' ELSE '' END || text || ' {answer.RANK_LABEL}: ' || turn % 6 || ' {answer.CHUNK_LABEL} : chunk-' || conv_id % 5 || '. {answer.RANK_LABEL}:2 {answer.CHUNK_LABEL}: chunk-1' AS answer FROM conversations)"""
+
+
+def _answers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Turns of the conversations with citations appended, some of them refusals."""
+    rows = fx.table(spark, sf_dir, "conversations")
+    cited = F.concat(
+        F.when(F.col("turn") % 3 == 1, f"\n  {answer.ABSTAIN} ").otherwise(""), F.col("text"), F.lit(f" {answer.RANK_LABEL}: "), (F.col("turn") % 6).cast("string"),
+        F.lit(f" {answer.CHUNK_LABEL} : chunk-"), (F.col("conv_id") % 5).cast("string"), F.lit(f". {answer.RANK_LABEL}:2 {answer.CHUNK_LABEL}: chunk-1"),
+    )
+    return rows.select("conv_id", "turn", "role", F.when(F.col("role") == "system", 0).otherwise(3).alias("evidence_count"), cited.alias("answer"))
+
+
+_KNOWN = ["chunk-0", "chunk-1", "chunk-2"]
+_SQL_REFS = f"""{_SQL_ANSWERS}, refs AS (SELECT *, list_transform(regexp_extract_all(answer, '{answer.RANK_LABEL}\\s*:\\s*([0-9]+)', 1), lambda r: CAST(CAST(r AS BIGINT) AS VARCHAR)) AS r0, regexp_extract_all(answer, '{answer.CHUNK_LABEL}\\s*:\\s*([\\w][\\w\\-]*)', 1) AS c0 FROM answers),
+u AS (SELECT *, list_filter(r0, lambda x, i: list_position(r0, x) = i) AS r, list_filter(c0, lambda x, i: list_position(c0, x) = i) AS c FROM refs),
+checked AS (SELECT *, list_concat(list_transform(list_filter(r, lambda x: CAST(x AS BIGINT) < 1 OR CAST(x AS BIGINT) > 3), lambda x: 'rank=' || x), list_transform(list_filter(c, lambda x: NOT list_contains({_KNOWN}, x)), lambda x: 'chunk_id=' || x)) AS bad FROM u)"""
+_SQL_STATUS = f"CASE WHEN evidence_count = 0 THEN 'no_evidence' WHEN starts_with(regexp_replace(answer, '^{fx.WS}+', ''), '{answer.ABSTAIN}') THEN 'abstained' ELSE 'ok' END"
+
+
+@published(f"WITH {_SQL_REFS} SELECT conv_id, turn, array_to_string(r, ',') AS ranks, array_to_string(c, ',') AS chunk_ids, array_to_string(bad, ',') AS invalid FROM checked")
+def citation_check(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _answers(spark, sf_dir)
+    bad = answer.invalid_citations(F.col("answer"), F.array(*[F.lit(k) for k in _KNOWN]))
+    invalid = F.array_join(F.transform(bad, lambda b: F.concat_ws("=", b["kind"], b["value"])), ",")
+    return rows.select("conv_id", "turn", F.array_join(answer.cited_ranks(F.col("answer")), ",").alias("ranks"), F.array_join(answer.cited_chunks(F.col("answer")), ",").alias("chunk_ids"), invalid.alias("invalid"))
+
+
+@published(f"WITH {_SQL_ANSWERS} SELECT conv_id, turn, {_SQL_STATUS} AS status, {_SQL_STATUS} IN ('no_evidence', 'abstained') AS abstained FROM answers")
+def answer_status(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _answers(spark, sf_dir).withColumn("status", answer.status(F.col("answer"), F.col("evidence_count")))
+    return rows.select("conv_id", "turn", "status", answer.abstained(F.col("status")).alias("abstained"))
+
+
+@published(
+    f"""WITH {_SQL_REFS}, l AS (SELECT *, {_SQL_STATUS} AS status FROM checked)
+SELECT count(*) AS n, avg((len(bad) = 0)::INT::DOUBLE) AS citation_validity, avg(((status <> 'ok') = (turn % 2 = 1))::INT::DOUBLE) AS abstention_correctness FROM l"""
+)
+def reliability_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _answers(spark, sf_dir).withColumn("status", answer.status(F.col("answer"), F.col("evidence_count")))
+    rows = rows.withColumn("invalid_citations", answer.invalid_citations(F.col("answer"), F.array(*[F.lit(k) for k in _KNOWN]))).withColumn("query_id", F.struct("conv_id", "turn"))
+    labels = rows.select("query_id", (F.col("turn") % 2 == 1).alias("expect_abstained"))
+    return evaluation.reliability(rows, labels)
+
+
+def _scripted(prompt: str) -> str:
+    return f"{answer.ABSTAIN} too long" if len(prompt) % 2 else f"See {answer.RANK_LABEL}: 1 and {answer.RANK_LABEL}: 9."
+
+
+@published(
+    f"""WITH {_SQL_MARKED}, b AS (SELECT query_id, array_to_string(list(chunk_id ORDER BY rank), ',') AS retrieved, array_to_string(list(chunk_id ORDER BY rank) FILTER (kept), ',') AS used,
+  coalesce(array_to_string(list(chunk_id ORDER BY rank) FILTER (NOT kept), ','), '') AS truncated, array_to_string(list(document_id || '/' || page_number ORDER BY rank) FILTER (kept), ',') AS sources,
+  count(*) FILTER (kept) AS n, string_agg('{answer.RANK_LABEL}: ' || rank || {_NL} || '{answer.CHUNK_LABEL}: ' || chunk_id || {_NL} || '{answer.DOCUMENT_LABEL}: ' || document_id || {_NL} || '{answer.PAGE_LABEL}: ' || page_number || {_NL} || '{answer.TEXT_LABEL}:' || {_NL} || text || {_NL} || '---', {_NL} ORDER BY rank) FILTER (kept) AS e FROM marked GROUP BY query_id),
+p AS (SELECT *, length('{answer.HEADER}' || {_NL} || 'EVALUATED_QUESTION:' || {_NL} || items.text || {_NL} || {_NL} || 'TOTAL_SUPPLIED_EVIDENCE_ITEMS: ' || n || {_NL} || 'SUPPLIED_EVIDENCE:' || {_NL} || {_NL} || e || {_NL} || {_NL} || '{_SQL_FOOTER}' || {_NL}) % 2 = 1 AS odd FROM items JOIN b USING (query_id))
+SELECT query_id, CAST(5 AS INT) AS top_k, retrieved, used, truncated, sources, CASE WHEN odd THEN 'abstained' ELSE 'ok' END AS status, odd AS abstained, CASE WHEN odd THEN '' ELSE 'rank=9' END AS invalid FROM p"""
+)
+def execution_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    queries, results = _lexical_results(spark, sf_dir)
+    answers = answer.generate_answers(context.build_context(results, queries, MAX_CHARS), answer.ScriptedProvider(_scripted))
+    recorded = records.execution_records(answers, results, 5).join(answers.select("query_id", "invalid_citations"), "query_id")
+    field = lambda c, name: F.array_join(F.transform(c, lambda x: x[name]), ",")
+    return recorded.select(
+        "query_id", "retrieval.top_k", field("retrieval.chunks", "chunk_id").alias("retrieved"), F.array_join("context.chunk_ids_used", ",").alias("used"), F.array_join("context.truncated_chunk_ids", ",").alias("truncated"),
+        F.array_join(F.transform("sources", lambda s: F.concat_ws("/", s["document_id"], s["page_number"].cast("string"))), ",").alias("sources"), "generation.status", "generation.abstained",
+        F.array_join(F.transform("invalid_citations", lambda b: F.concat_ws("=", b["kind"], b["value"])), ",").alias("invalid"),
+    )
+
+
+@published()
+def run_queries_trace(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All benchmark items end to end with BLAKE2b hashing and a scripted model; what each run used and answered."""
+    chunks, provider = fx.chunk_table(spark, sf_dir), embedding.HashProvider()
+    index = idx.build_index(chunks, embedding.generate_embeddings(chunks, provider), fx.catalog(spark, sf_dir))
+    run = run_queries(index, fx.text_queries(spark, sf_dir), provider, answer.ScriptedProvider(_scripted), 5, MAX_CHARS)
+    return run.answers.select("query_id", "evidence_count", "answer", "status", "attempts", F.to_json("invalid_citations").alias("invalid_citations"))
+
+
+# --- evaluation -------------------------------------------------------------------
+
+_SQL_METRICS = """w AS (SELECT case_id, unnest(expected) AS chunk_id FROM cases), m AS (SELECT case_id, w.chunk_id, rank FROM w LEFT JOIN ranking USING (case_id, chunk_id)),
+metrics AS (SELECT case_id, CAST(min(rank) FILTER (rank <= 5) AS INT) AS first_relevant_rank, coalesce(array_to_string(list(rank ORDER BY rank) FILTER (rank <= 5), ','), '') AS relevant_ranks,
+  CAST(coalesce(min(rank) FILTER (rank <= 5) <= 1, false) AS INT) AS hit1, CAST(min(rank) FILTER (rank <= 5) IS NOT NULL AS INT) AS hitk, coalesce(1.0::DOUBLE / min(rank) FILTER (rank <= 5), 0) AS reciprocal_rank FROM m GROUP BY case_id)"""
+_SQL_VECTOR_CASES = f"""{fx.SQL_SCORED}, ranking AS (SELECT query_id AS case_id, chunk_id, {_RANK} AS rank FROM scored WHERE query_id <> chunk_id),
+cases AS (SELECT query_id AS case_id, list(chunk_id) AS expected FROM qs JOIN idx USING (document_id) WHERE query_id <> chunk_id GROUP BY query_id)"""
+
+
+def _vector_cases(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """(ranking, cases): each query's relevant records are the others of its label."""
+    index, queries = fx.vector_index(spark, sf_dir), fx.vector_queries(spark, sf_dir)
+    others = retrieval.scores(index, queries).where("query_id <> chunk_id")
+    ranking = retrieval.full_ranking(others, 5).withColumnRenamed("query_id", "case_id")
+    same = queries.select(F.col("query_id").alias("case_id"), "document_id").join(index.select("document_id", "chunk_id"), "document_id").where("case_id <> chunk_id")
+    return ranking, same.groupBy("case_id").agg(F.collect_list("chunk_id").alias("expected_chunk_ids"))
+
+
+@published(f"WITH {_SQL_VECTOR_CASES}, {_SQL_METRICS} SELECT * FROM metrics")
+def retrieval_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ranking, cases = _vector_cases(spark, sf_dir)
+    return evaluation.case_metrics(ranking, evaluation.valid_cases(cases)).drop("full_ranks").withColumn("relevant_ranks", joined("relevant_ranks"))
+
+
+@published(f"WITH {_SQL_VECTOR_CASES}, {_SQL_METRICS} SELECT count(*) AS n_cases, CAST(sum(hit1) AS BIGINT) AS hit1, CAST(sum(hitk) AS BIGINT) AS hitk, round(avg(reciprocal_rank), 9) AS mrr FROM metrics")
+def retrieval_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ranking, cases = _vector_cases(spark, sf_dir)
+    return evaluation.summary(evaluation.case_metrics(ranking, cases)).withColumn("mrr", F.round("mrr", 9))
+
+
+@published(
+    f"""WITH {_SQL_VECTOR_CASES}, {_SQL_METRICS} SELECT case_id, chunk_id, CAST(rank AS INT) AS rank FROM m WHERE case_id IN (SELECT case_id FROM metrics WHERE hitk = 0)"""
+)
+def full_rank_diagnostic(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of cases that the first five miss, where in the whole ranking each relevant record stands."""
+    ranking, cases = _vector_cases(spark, sf_dir)
+    return evaluation.case_metrics(ranking, cases).select("case_id", F.explode("full_ranks").alias("f")).select("case_id", "f.chunk_id", "f.rank")
+
+
+_SQL_TEXT_CASES = """cases AS (SELECT query_id AS case_id, list(chunk_id) AS expected FROM items JOIN chunks ON contains(chunks.text, items.text) GROUP BY query_id), ranking AS (SELECT query_id AS case_id, chunk_id, rank FROM ranked)"""
+
+
+def _text_metrics(spark: SparkSession, sf_dir: str, idf: bool) -> DataFrame:
+    """Metrics of the benchmark items that a chunk holds whole."""
+    chunks, queries, scored = _lexical(spark, sf_dir, idf)
+    held = chunks.join(F.broadcast(queries), F.contains("text", "query")).groupBy(F.col("query_id").alias("case_id")).agg(F.collect_list("chunk_id").alias("expected_chunk_ids"))
+    return evaluation.case_metrics(retrieval.full_ranking(scored, 5).withColumnRenamed("query_id", "case_id"), held)
+
+
+_SQL_PROVIDERS = [f"WITH {fx.sql_lexical(idf)}, {_SQL_TEXT_CASES}, {_SQL_METRICS} SELECT '{name}' AS provider, * FROM metrics" for name, idf in (("hash", False), ("idf", True))]
+
+
+@published(
+    f"""SELECT provider, count(*) AS n_cases, CAST(sum(hit1) AS BIGINT) AS hit1, CAST(sum(hitk) AS BIGINT) AS hitk, round(avg(reciprocal_rank), 6) AS mrr
+FROM (({_SQL_PROVIDERS[0]}) UNION ALL ({_SQL_PROVIDERS[1]})) GROUP BY provider"""
+)
+def provider_comparison(spark: SparkSession, sf_dir: str) -> DataFrame:
+    runs = [_text_metrics(spark, sf_dir, idf).withColumn("provider", F.lit(name)) for name, idf in (("hash", False), ("idf", True))]
+    return evaluation.summary(runs[0].unionByName(runs[1]), "provider").withColumn("mrr", F.round("mrr", 6))
+
+
+@published(
+    f"""WITH a AS ({_SQL_PROVIDERS[0]}), b AS ({_SQL_PROVIDERS[1]}), j AS (SELECT coalesce(a.first_relevant_rank, 2147483647) AS x, coalesce(b.first_relevant_rank, 2147483647) AS y FROM a FULL JOIN b USING (case_id))
+SELECT CASE WHEN y < x THEN 'improved' WHEN y > x THEN 'regressed' ELSE 'unchanged' END AS movement, count(*) AS cases FROM j GROUP BY 1"""
+)
+def rank_movement(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return evaluation.movement(_text_metrics(spark, sf_dir, False), _text_metrics(spark, sf_dir, True))
+
+
+@published(
+    f"""WITH {fx.sql_chunks()}, n AS (SELECT document_id, count(*) AS n FROM chunks GROUP BY ALL)
+SELECT document_id, count(*) AS total_pages, count(*) FILTER (extraction_status <> 'failed') AS parsed_pages, coalesce({_NUMBERS("extraction_status = 'failed'")}, '') AS failed_pages,
+  any_value(n) AS total_chunks, any_value(n) AS embedded_chunks, any_value(n) AS indexed_chunks, CASE WHEN count(*) FILTER (extraction_status = 'failed') = 0 THEN 'success' ELSE 'partial' END AS ingestion_status
+FROM pages JOIN n USING (document_id) GROUP BY document_id"""
+)
+def ingestion_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    chunks = fx.chunk_table(spark, sf_dir)
+    report = reports.ingestion_report(fx.page_table(spark, sf_dir), chunks, chunks.select("chunk_id", "document_id"))
+    parsed = F.col("parsed_pages").cast("long")
+    return report.withColumn("failed_pages", joined("failed_pages")).withColumn("parsed_pages", parsed)
+
+
+# --- layout ------------------------------------------------------------------------
+
+
+@published(f"WITH {fx.SQL_WORDS} SELECT * FROM segments")
+def line_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return layout.line_segments(layout.upright(fx.words(spark, sf_dir)))
+
+
+@published(f"WITH {fx.SQL_COVERAGE} SELECT page_id, i, x, covered, total, frac FROM coverage")
+def coverage_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return layout.coverage_profile(layout.line_segments(layout.upright(fx.words(spark, sf_dir))), fx.layout_pages(spark, sf_dir))
+
+
+def _gutters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return layout.gutters(layout.line_segments(layout.upright(fx.words(spark, sf_dir))), fx.layout_pages(spark, sf_dir))
+
+
+@published(f'WITH {fx.SQL_GUTTERS} SELECT page_id, "start", "end", max_coverage, width, mid, left_lines, right_lines FROM gutters')
+def gutters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _gutters(spark, sf_dir)
+
+
+@published(f"WITH {fx.SQL_GUTTERS} SELECT page_id, mid, rejected FROM guarded")
+def table_guard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return layout.guard_tables(_gutters(spark, sf_dir), fx.cells(spark, sf_dir)).select("page_id", "mid", "rejected")
+
+
+@published(
+    f"""WITH {fx.SQL_GUTTERS}, bounds AS (SELECT page_id, list(mid) AS b FROM guarded WHERE NOT rejected GROUP BY page_id),
+placed AS (SELECT u.*, coalesce(len(list_filter(b, lambda m: m <= (x0 + x1) / 2)), 0) AS region FROM up u LEFT JOIN bounds USING (page_id)),
+lines AS (SELECT page_id, region, row, min(x0) AS x0, max(x1) AS x1, count(*) AS n, string_agg(text, ' ' ORDER BY x0, word_index) AS text FROM placed GROUP BY ALL)
+SELECT page_id, CAST(region AS INT) AS region, min(x0) AS x0, max(x1) AS x1, CAST(sum(n) AS BIGINT) AS word_count, string_agg(text, chr(10) ORDER BY row) AS text FROM lines GROUP BY ALL"""
+)
+def region_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = layout.guard_tables(_gutters(spark, sf_dir), fx.cells(spark, sf_dir)).where("not rejected")
+    return layout.region_texts(layout.regions(layout.upright(fx.words(spark, sf_dir)), kept))
+
+
+@published(
+    f"""WITH {fx.SQL_GUTTERS}, bounds AS (SELECT page_id, list(mid ORDER BY mid) AS b FROM guarded WHERE NOT rejected GROUP BY page_id),
+placed AS (SELECT u.*, coalesce(len(list_filter(b, lambda m: m <= (x0 + x1) / 2)), 0) AS region FROM up u LEFT JOIN bounds USING (page_id)),
+lines AS (SELECT page_id, region, row, count(*) AS n, string_agg(text, ' ' ORDER BY x0, word_index) AS text FROM placed GROUP BY ALL),
+texts AS (SELECT page_id, region, sum(n) AS n, string_agg(text, chr(10) ORDER BY row) AS text FROM lines GROUP BY ALL),
+p AS (SELECT page_id, sum(n) AS n, string_agg(text, chr(10) ORDER BY region) AS text FROM texts GROUP BY ALL),
+ids AS (SELECT 'page-' || lpad(CAST(doc_id AS VARCHAR), 6, '0') AS page_id FROM documents)
+SELECT page_id, CAST(coalesce(len(b), 0) + 1 AS INT) AS region_count, b[1] AS split_x, CAST(coalesce(n, 0) AS BIGINT) AS word_count, coalesce(text, '') AS text FROM ids LEFT JOIN p USING (page_id) LEFT JOIN bounds USING (page_id)"""
+)
+def reading_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = layout.reading_order(fx.words(spark, sf_dir), fx.cells(spark, sf_dir), fx.layout_pages(spark, sf_dir))
+    return found.select("page_id", "region_count", "split_x", "word_count", "text")
+
+
+@published("SELECT event_id, event_type AS message, user_id AS status FROM events")
+def access_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as JSON log lines with the allowed fields, read back; the properties never reach the log."""
+    events = fx.table(spark, sf_dir, "events").select(F.col("event_id").cast("string").alias("run_id"), F.col("event_type").alias("message"), F.col("user_id").alias("status"), "props")
+    parsed = records.log_lines(events).select(F.from_json("line", "message string, status long, run_id string, props string").alias("r"))
+    return parsed.where("r.props is null").select(F.col("r.run_id").cast("long").alias("event_id"), "r.message", "r.status")
