@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..staging import Staging
-from .text import slices, split_words, strings, word_ids
+from .text import over_texts, slices, split_words, strings, word_ids
 
 #: Rounds of run and pair naming; after three, a name depends on some 30 words.
 ROUNDS = 3
@@ -247,7 +247,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     staging = Staging(docs.sparkSession, "repeats")
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("th"))
-    parsed = staging.write(rows.mapInArrow(_parse(window), "doc_id long, th long, n_words long, sha string, name array<long>, extent array<long>, p0 array<int>, p1 array<int>"), "parsed")
+    parsed = staging.write(over_texts(rows, _parse(window), "doc_id long, th long, n_words long, sha string, name array<long>, extent array<long>, p0 array<int>, p1 array<int>"), "parsed")
     stretch = parsed.where("doc_id is not null").select("doc_id", "th", F.explode(F.arrays_zip("name", "extent", "p0", "p1")).alias("r")).select("doc_id", "th", "r.*")
     shared = stretch.groupBy("name").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"), (F.min("extent") < F.max("extent")).alias("several")).where("lo < hi")
     shared = staging.write(shared.select("name", "several"), "shared")
@@ -257,14 +257,14 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     staging.drop("shared", "found", "least")
     whole = placed.where("lo < doc_id").select("doc_id", "th", "p0", (F.col("p1") + window).alias("p1"))
     firsts = placed.where("lo = doc_id and several").groupBy("doc_id", "th").agg(F.collect_list(F.struct("p0", "p1")).alias("ranges"))
-    windows = rows.join(firsts, ["doc_id", "th"]).select("doc_id", "th", "text", "ranges").mapInArrow(_windows(window), "h long, h2 int, doc_id long, th long, p0 int")
+    windows = over_texts(rows.join(firsts, ["doc_id", "th"]).select("doc_id", "th", "text", "ranges"), _windows(window), "h long, h2 int, doc_id long, th long, p0 int")
     windows = staging.write(windows, "windows")
     first_of = windows.groupBy("h", "h2").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").select("h", "h2", "lo")
     first_of = staging.write(first_of, "first_of")
     alone = windows.join(first_of, ["h", "h2"]).where("lo < doc_id").select("doc_id", "th", "p0", (F.col("p0") + window).alias("p1"))
     covered = staging.write(whole.union(alone).groupBy("doc_id", "th").agg(F.collect_set(F.struct("p0", "p1")).alias("ranges")), "covered")
     staging.drop("windows", "first_of", "placed")
-    cut = rows.join(covered, ["doc_id", "th"]).select("doc_id", "th", "text", "ranges").mapInArrow(_cut, "doc_id long, th long, n_removed long, kept_sha256 string")
+    cut = over_texts(rows.join(covered, ["doc_id", "th"]).select("doc_id", "th", "text", "ranges"), _cut, "doc_id long, th long, n_removed long, kept_sha256 string")
     cut = staging.write(cut.distinct(), "cut")
     return (
         parsed.select("doc_id", "th", "n_words", "sha")

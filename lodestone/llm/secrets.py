@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..staging import Staging
-from .text import slices, strings
+from .text import over_texts, slices, strings
 
 # The kinds in their order, and their patterns and least lengths.
 KINDS = ("assign", "access", "hex")
@@ -225,7 +225,7 @@ def found_spans(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("th"))
-    return rows.mapInArrow(run, f"doc_id long, th long, base {_KINDS_SQL}, candidates {_KINDS_SQL}, word string")
+    return over_texts(rows, run, f"doc_id long, th long, base {_KINDS_SQL}, candidates {_KINDS_SQL}, word string")
 
 
 def formats_of(found: DataFrame, config: SecretConfig) -> Formats:

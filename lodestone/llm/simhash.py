@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..staging import Staging
 from .components import components
-from .text import slices, strings
+from .text import over_texts, slices, strings
 
 #: Buckets of more members than this link through shared neighbours instead of pairs.
 PAIR_BUCKET = 16
@@ -53,7 +53,7 @@ def fingerprints(docs: DataFrame, id_col: str, text_col: str, width: int = 3) ->
 
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text).alias("th"), text.alias("text"))
-    return rows.mapInArrow(run, "doc_id long, th long, fp long")
+    return over_texts(rows, run, "doc_id long, th long, fp long")
 
 
 def _apart(a: Column, b: Column) -> Column:

@@ -2,11 +2,22 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+from collections.abc import Callable, Iterator
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
+from pyspark.sql import DataFrame
 
+#: Rows of an Arrow batch of texts, at most: what a task and its worker hold of the texts at once.
+BATCH_ROWS = 1000
+#: Functions that empty what a worker keeps between tasks.
+CACHES: list[Callable[[], None]] = []
+Task = Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]
+_BATCH_CONF = "spark.sql.execution.arrow.maxRecordsPerBatch"
 #: What separates words: space and the ASCII controls TAB to CR.
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -41,6 +52,38 @@ def word_ids(words: pa.Array, seed: int = 0) -> np.ndarray:
     return names[np.asarray(coded.indices)]
 
 
+def empty_caches() -> None:
+    for empty in CACHES:
+        empty()
+
+
+def give_back() -> None:
+    """Returns freed memory to the machine, which a worker that waits for its next task would keep."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def over_texts(rows: DataFrame, run: Task, schema: str, keep: bool = False) -> DataFrame:
+    """rows.mapInArrow(run, schema) in batches of at most BATCH_ROWS rows; the session keeps that bound.
+
+    Unless `keep`, a task first empties what earlier ones left in its worker
+    for their like (CACHES), so that workers which serve several operators
+    hold one's state at a time.
+    """
+    conf = rows.sparkSession.conf
+    if not 0 < int(conf.get(_BATCH_CONF)) <= BATCH_ROWS:
+        conf.set(_BATCH_CONF, str(BATCH_ROWS))
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        if not keep:
+            empty_caches()
+        yield from run(batches)
+        give_back()
+
+    return rows.mapInArrow(task, schema)
+
+
 def slices(batch: pa.RecordBatch, column: str, most: int = 4_000_000):
     """Cuts a batch into runs of rows of about `most` bytes of text each, so that memory stays bounded.
 

@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 
 from ..staging import Staging
 from .encoder import encoder
-from .text import slices, strings
+from .text import over_texts, slices, strings
 
 MAGIC = b"LSTOKEN1"
 FOOTER = struct.Struct("<QQQQ32s")
@@ -147,7 +147,7 @@ def write_token_files(
         for _, cells in _cells(batches, tokenizer, keeps_space, end_id, width):
             yield pa.RecordBatch.from_arrays([pa.array([cells[:TRAIN_BYTES]], pa.binary())], names=["cells"])
 
-    samples = [bytes(r.cells) for r in rows.join(F.broadcast(chosen), "doc_id", "left_semi").mapInArrow(sample, "cells binary").limit(2 * TRAIN_DOCS).collect()]
+    samples = [bytes(r.cells) for r in over_texts(rows.join(F.broadcast(chosen), "doc_id", "left_semi"), sample, "cells binary", keep=True).limit(2 * TRAIN_DOCS).collect()]
     dictionary = train_dictionary(sorted(samples))
     name = f"{uri}/{hashlib.sha256(dictionary).hexdigest()}.dictionary"
     write_whole(name, iter([dictionary]))
@@ -159,7 +159,7 @@ def write_token_files(
         yield pa.RecordBatch.from_arrays([pa.array([shard], pa.int64()), pa.array([where]), pa.array([name]), pa.array([seen["docs"]], pa.int64()), pa.array([seen["tokens"]], pa.int64())], names=["shard", "uri", "dictionary", "docs", "tokens"])
 
     ordered = rows.repartitionByRange(F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
-    return staging.write(ordered.mapInArrow(run, "shard long, uri string, dictionary string, docs long, tokens long").where("docs > 0"), "manifest")
+    return staging.write(over_texts(ordered, run, "shard long, uri string, dictionary string, docs long, tokens long", keep=True).where("docs > 0"), "manifest")
 
 
 def read_token_files(manifest: DataFrame) -> DataFrame:

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..staging import Staging
-from .text import slices, split_words, strings
+from .text import over_texts, slices, split_words, strings
 
 GRAM = 5
 _FLAT = 24  # classes of token scores in a document's counts, half a unit wide
@@ -80,7 +80,7 @@ def token_counts(rows: DataFrame) -> DataFrame:
                 sums = [np.bincount(at, weights=counts[owner, k], minlength=len(names)).astype(np.int64) for k in (1, 0, 2)]
                 yield pa.RecordBatch.from_arrays([names, *map(pa.array, sums)], names=["token", "toxic", "clean", "others"])
 
-    found = rows.mapInArrow(run, "token string, toxic long, clean long, others long")
+    found = over_texts(rows, run, "token string, toxic long, clean long, others long")
     return found.groupBy("token").agg(*[F.sum(c).alias(c) for c in ("toxic", "clean", "others")])
 
 
@@ -167,7 +167,7 @@ def scan(rows: DataFrame, model: dict[str, float], config: ToxicityConfig) -> Da
                     [batch.column("doc_id"), batch.column("th"), pa.array(np.diff(bounds), pa.int64()), pa.array(found, kind), pa.array(counts, pa.list_(pa.int64()))], names=["doc_id", "th", "n_words", "segments", "counts"]
                 )
 
-    return rows.mapInArrow(run, "doc_id long, th long, n_words long, segments array<struct<begin:int,end:int,score:double>>, counts array<bigint>")
+    return over_texts(rows, run, "doc_id long, th long, n_words long, segments array<struct<begin:int,end:int,score:double>>, counts array<bigint>")
 
 
 @dataclass(frozen=True)

@@ -69,6 +69,17 @@ def test_run(spark, tables):
     assert out.agg(F.max("length")).first()[0] <= 1024
 
 
+def test_clashing_columns(spark, tables):
+    where, _, _ = tables
+    docs = spark.read.parquet(f"{where}/documents.parquet").limit(60)
+    for name in ("k", "th", "spans", "words", "reps", "i", "copy", "score", "count", "fp", "size", "key"):
+        docs = docs.withColumn(name, F.lit(f"own {name}"))
+    for _, stage in pipeline.STAGES[:-1]:
+        docs = stage(spark, docs, where)
+        assert len(docs.columns) == 17 and {r.th for r in docs.select("th").distinct().collect()} <= {"own th"}
+    assert docs.where("k = 'own k' and reps = 'own reps'").count() == docs.count() > 0
+
+
 def test_empty(spark, tables, tmp_path):
     where, _, _ = tables
     spark.read.parquet(f"{where}/documents.parquet").limit(0).write.parquet(f"{tmp_path}/documents.parquet")
