@@ -90,5 +90,5 @@ def mix(
     within = Window.partitionBy("skey", "b").orderBy("h", "doc_id", "size").rowsBetween(Window.unboundedPreceding, 0)
     middle = F.col("before") + F.sum("size").over(within) - F.col("size") / 2
     more = F.when((F.col("part") > 0) & (middle <= F.col("part")), 1).otherwise(0)
-    taken = rows.join(placed, ["skey", "b"]).withColumn("reps", F.col("whole") + more)
+    taken = rows.join(placed.hint("merge"), ["skey", "b"]).withColumn("reps", F.col("whole") + more)
     return taken.select("doc_id", "source", "size", "source_size", "target", "reps", (F.col("size") * F.col("reps")).alias("taken"))
