@@ -52,11 +52,9 @@ def _cells(elements: Column, width: int) -> Column:
     """The cells of a sketch: signed count, and exclusive ors of digests and of their checks."""
     empty = F.struct(F.lit(0).alias("n"), F.lit(0).cast("long").alias("k"), F.lit(0).cast("long").alias("h"))
 
-    def cell(c: Column) -> Column:
-        held = F.filter(elements, lambda e: (e["p0"] == c) | (e["p1"] == c) | (e["p2"] == c))
-        return F.aggregate(held, empty, lambda a, e: F.struct((a["n"] + e["s"]).alias("n"), a["k"].bitwiseXOR(e["k"]).alias("k"), a["h"].bitwiseXOR(e["h"]).alias("h")))
-
-    return F.transform(F.sequence(F.lit(0), F.lit(HASHES * width - 1)), cell)
+    add = lambda a, e: F.struct((a["n"] + e["s"]).alias("n"), a["k"].bitwiseXOR(e["k"]).alias("k"), a["h"].bitwiseXOR(e["h"]).alias("h"))
+    cell = lambda j: lambda c: F.aggregate(F.filter(elements, lambda e: e[f"p{j}"] == c), empty, add)
+    return F.concat(*[F.transform(F.sequence(F.lit(j * width), F.lit((j + 1) * width - 1)), cell(j)) for j in range(HASHES)])
 
 
 def sketch(keys: Column) -> Column:
@@ -106,7 +104,9 @@ def _recovered(cells: Column, steps: Column, width: int) -> Column:
 def _divided(x: Column, y: Column) -> Column:
     """struct(a, r) by many sketches, each of the digests of one residue; a sketch that fails is built larger."""
     tagged = F.concat(F.transform(x, lambda k: F.struct(k.alias("k"), F.lit(1).alias("s"))), F.transform(y, lambda k: F.struct(k.alias("k"), F.lit(-1).alias("s"))))
-    parts = F.greatest(F.ceil((F.size(x) + F.size(y)) / LOAD), F.lit(1)).cast("int")
+    # two levels, so that a text of n paragraphs is divided in n * sqrt(n) steps
+    outer = F.greatest(F.ceil(F.sqrt((F.size(x) + F.size(y)) / LOAD)), F.lit(1)).cast("int")
+    inner = F.greatest(F.ceil((F.size(x) + F.size(y)) / LOAD / outer), F.lit(1)).cast("int")
     none = F.struct(F.lit(0).alias("a"), F.lit(0).alias("r"))
 
     def attempt(own: Column, width: int) -> Column:
@@ -122,8 +122,10 @@ def _divided(x: Column, y: Column) -> Column:
         return F.when(F.size(own) == 0, none).otherwise(F.coalesce(*[attempt(own, w) for w in RETRIES], plain))
 
     def total(elements: Column) -> Column:
-        solved = F.transform(F.sequence(F.lit(0), parts - 1), lambda i: _let(F.filter(elements, lambda e: F.pmod(F.shiftright(e["k"], 7), parts) == i), solve))
-        return F.aggregate(solved, none, lambda t, s: F.struct((t["a"] + s["a"]).alias("a"), (t["r"] + s["r"]).alias("r")))
+        add = lambda t, s: F.struct((t["a"] + s["a"]).alias("a"), (t["r"] + s["r"]).alias("r"))
+        part = lambda own, shift, parts, i: F.filter(own, lambda e: F.pmod(F.shiftright(e["k"], shift), parts) == i)
+        within = lambda own: F.aggregate(F.transform(F.sequence(F.lit(0), inner - 1), lambda i: _let(part(own, 33, inner, i), solve)), none, add)
+        return F.aggregate(F.transform(F.sequence(F.lit(0), outer - 1), lambda i: _let(part(elements, 7, outer, i), within)), none, add)
 
     return _let(tagged, total)
 
