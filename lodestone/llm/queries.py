@@ -120,7 +120,18 @@ r AS (SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY sc
 SELECT * FROM r WHERE rank <= 10
 """
 
+_OP10 = """
+WITH d AS (SELECT doc_id, row_number() OVER () AS rid, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+u AS (SELECT doc_id, rid, len(w) AS n, unnest(w) AS word, generate_subscripts(w, 1) AS j FROM d),
+s AS (SELECT doc_id, rid, n, j, md5(string_agg(word, ' ') OVER (PARTITION BY rid ORDER BY j ROWS BETWEEN CURRENT ROW AND 49 FOLLOWING)) AS h FROM u WHERE n >= 50),
+f AS (SELECT h, min(doc_id) AS lo FROM s WHERE j <= n - 49 GROUP BY h),
+c AS (SELECT DISTINCT rid, unnest(range(j, j + 50)) AS j FROM s JOIN f USING (h) WHERE s.j <= n - 49 AND lo < doc_id),
+k AS (SELECT rid, string_agg(word, ' ' ORDER BY j) AS kept, count(*) AS n_kept FROM u ANTI JOIN c USING (rid, j) GROUP BY rid)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(w) - coalesce(n_kept, 0) AS BIGINT) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM d LEFT JOIN k USING (rid)
+"""
+
 ORACLE_SQL: dict[str, str] = {
     "op1_topk": _OP1,
     "op5_mixing": _OP5,
+    "op10_recompression": _OP10,
 }
