@@ -9,14 +9,17 @@ pieces that it has met, under 128-bit hashes.
 from __future__ import annotations
 
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
 
-#: A worker forgets its pieces beyond so many (some 50 bytes each), which bounds its memory.
-PIECES = 1_500_000
+from .text import CACHES
+
+#: Beyond so many pieces (some 50 bytes each) a worker forgets those that it met once; this bounds its memory.
+PIECES = 1_200_000
 #: Two white-space characters in a row, in any script, or the mark that cuts pieces: such texts are encoded whole.
 _ODD = r"[\s\x0b\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]{2}|\x00"
 #: A mark of punctuation after a letter or digit begins a piece.
@@ -36,36 +39,58 @@ class Encoder:
         self._forget()
 
     def _forget(self) -> None:
-        self.known = np.zeros((0, 2), dtype=np.uint64)  # hashes of pieces, sorted by the first half
+        self.known = np.zeros(0, dtype=np.uint64)  # the first halves of pieces' hashes, sorted
+        self.other = np.zeros(0, dtype=np.uint64)  # their second halves
         self.slot_of = np.zeros(0, dtype=np.int32)
+        self.again = np.zeros(0, dtype=bool)  # pieces that were met again
         self.flat = np.array([self.end_id], dtype=np.uint32)  # slot 0 is the end id
         self.starts = np.array([0], dtype=np.int64)
         self.lengths = np.array([1], dtype=np.int32)
 
+    def _forget_some(self) -> None:
+        """Keeps the pieces that were met again since the last time, or none if those are too many."""
+        keep = self.again if 2 * self.again.sum() <= PIECES else np.zeros(len(self.again), dtype=bool)
+        known, other, slots = self.known[keep], self.other[keep], self.slot_of[keep]
+        starts, lengths = self.starts[slots], self.lengths[slots]
+        ends = np.cumsum(lengths, dtype=np.int64)
+        total = int(ends[-1]) if len(ends) else 0
+        flat = self.flat[np.repeat(starts - (ends - lengths), lengths) + np.arange(total)]
+        self._forget()
+        self.known, self.other, self.slot_of, self.again = known, other, np.arange(1, len(known) + 1, dtype=np.int32), np.zeros(len(known), dtype=bool)
+        self.flat = np.concatenate((self.flat, flat))
+        self.starts = np.concatenate((self.starts, 1 + ends - lengths))
+        self.lengths = np.concatenate((self.lengths, lengths))
+
     def _encoded(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def _slots(self, pieces: pa.Array) -> np.ndarray:
         """The slot of each of these distinct pieces; new ones are encoded."""
         digest = xxhash.xxh3_128_digest
-        hashes = np.frombuffer(b"".join(map(digest, pieces.cast(pa.large_binary()).to_pylist())), dtype=np.uint64).reshape(-1, 2)
-        at = np.searchsorted(self.known[:, 0], hashes[:, 0])
+        both = np.frombuffer(b"".join(map(digest, pieces.cast(pa.large_binary()).to_pylist())), dtype=np.uint64).reshape(-1, 2)
+        order = np.argsort(both[:, 0])
+        first, second = both[order, 0], both[order, 1]
+        at = np.searchsorted(self.known, first)
         inside = np.minimum(at, max(0, len(self.known) - 1))
-        hit = (self.known[inside] == hashes).all(axis=1) if len(self.known) else np.zeros(len(hashes), dtype=bool)
-        slots = np.zeros(len(hashes), dtype=np.int64)
-        slots[hit] = self.slot_of[inside[hit]]
+        hit = (self.known[inside] == first) & (self.other[inside] == second) if len(self.known) else np.zeros(len(first), dtype=bool)
+        found = np.zeros(len(first), dtype=np.int64)
+        found[hit] = self.slot_of[inside[hit]]
+        self.again[inside[hit]] = True
         new = np.flatnonzero(~hit)
         if len(new):
-            ids = self._encoded(pieces.take(pa.array(new)).to_pylist())
+            ids = self._encoded(pieces.take(pa.array(order[new])).to_pylist())
             lengths = np.fromiter(map(len, ids), dtype=np.int32, count=len(ids))
-            slots[new] = len(self.starts) + np.arange(len(new))
+            found[new] = len(self.starts) + np.arange(len(new))
             self.starts = np.concatenate((self.starts, len(self.flat) + np.cumsum(lengths, dtype=np.int64) - lengths))
-            self.flat = np.concatenate((self.flat, np.array([x for e in ids for x in e], dtype=np.uint32)))
+            self.flat = np.concatenate((self.flat, np.fromiter(chain.from_iterable(ids), dtype=np.uint32, count=int(lengths.sum()))))
             self.lengths = np.concatenate((self.lengths, lengths))
-            order = new[np.argsort(hashes[new, 0])]
-            place = np.searchsorted(self.known[:, 0], hashes[order, 0])
-            self.known = np.insert(self.known, place, hashes[order], axis=0)
-            self.slot_of = np.insert(self.slot_of, place, slots[order])
+            place = at[new]
+            self.known = np.insert(self.known, place, first[new])
+            self.other = np.insert(self.other, place, second[new])
+            self.slot_of = np.insert(self.slot_of, place, found[new])
+            self.again = np.insert(self.again, place, False)
+        slots = np.empty(len(first), dtype=np.int64)
+        slots[order] = found
         return slots
 
     def _pieces(self, texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
@@ -81,7 +106,7 @@ class Encoder:
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts in turn, each with the end id, and where each begins (one more entry than texts)."""
         if len(self.known) > PIECES:
-            self._forget()
+            self._forget_some()
         odd = np.asarray(pc.match_substring_regex(texts, _ODD)) if len(texts) else np.zeros(0, dtype=bool)
         plain = pc.if_else(pa.array(odd), pa.scalar("", pa.large_string()), texts) if odd.any() else texts
         pieces, offsets = self._pieces(plain)
@@ -107,3 +132,6 @@ class Encoder:
 def encoder(path: str, keeps_space: bool, end_id: int) -> Encoder:
     """One encoder for each worker process."""
     return Encoder(path, keeps_space, end_id)
+
+
+CACHES.append(encoder.cache_clear)

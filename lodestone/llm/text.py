@@ -76,8 +76,10 @@ def over_texts(rows: DataFrame, run: Task, schema: str, keep: bool = False) -> D
         conf.set(_BATCH_CONF, str(BATCH_ROWS))
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if not keep:
-            empty_caches()
+        if keep:
+            yield from run(batches)
+            return
+        empty_caches()
         yield from run(batches)
         give_back()
 

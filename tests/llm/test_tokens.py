@@ -107,3 +107,14 @@ def test_target_weights_and_odd_tables(spark, rows, docs, empty):
     assert packing.pack(empty, BYTES).count() == 0
     odd = spark.createDataFrame([(None, None, None), (1, "x y", None), (1, "x y", None)], "doc_id long, text string, source string")
     assert sum(r.length for r in packing.pack(odd, BYTES).collect()) == sum(len(plain(BYTES, t, 0)) for t in ("", "x y", "x y"))
+
+
+@pytest.mark.parametrize("most", [0, 5, 40])
+def test_pieces_that_are_forgotten(monkeypatch, rows, most):
+    from lodestone.llm import encoder
+
+    monkeypatch.setattr(encoder, "PIECES", most)
+    coder = Encoder(BYTES, True, 0)
+    for r in rows:
+        ids, _ = coder.encode(pa.array([r[1] or "", "the same words"], pa.large_string()))
+        assert ids.tolist() == plain(BYTES, r[1], 0) + plain(BYTES, "the same words", 0)
