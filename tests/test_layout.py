@@ -26,7 +26,7 @@ def pages(spark):
 
 def test_reading_order(pages):
     got = {r.page_id: r for r in layout.reading_order(*pages).collect()}
-    assert {p: r.region_count for p, r in got.items()} == {"one": 1, "two": 2, "three": 3, "few": 1, "table": 2, "blank": 1}
+    assert {p: r.region_count for p, r in got.items()} == {"one": 1, "two": 2, "three": 3, "few": 1, "table": 1, "blank": 1}
     two = got["two"]
     assert two.is_two_column and not two.fallback_used and two.left_word_count == two.right_word_count == 200
     assert "SIDE" not in two.text and two.text.index("r0l39w4") < two.text.index("r1l0w0")
