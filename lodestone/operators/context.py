@@ -10,7 +10,12 @@ from ..errors import ContextError
 
 
 def valid_results(results: DataFrame) -> DataFrame:
-    """Required fields must be there, and a chunk appears once for each query."""
+    """Required fields must be there, and a chunk appears once for each query.
+
+    The results are kept, as the checks and what follows all read them: a few
+    rows for each query, which a ranking made.
+    """
+    results = results.persist()
     missing = F.col("chunk_id").isNull() | (F.col("chunk_id") == "") | F.col("document_id").isNull() | (F.col("document_id") == "")
     missing = missing | F.col("page_number").isNull() | F.col("score").isNull() | F.col("text").isNull()
     checks.none(results, missing, "retrieval result with an empty field", ContextError, "query_id")

@@ -175,7 +175,7 @@ def hash_embedding_blake2b(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _sha(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, embedding.HashProvider]:
-    return fx.chunk_table(spark, sf_dir), embedding.HashProvider(hasher=embedding.sha_bucket)
+    return fx.chunk_table(spark, sf_dir).persist(), embedding.HashProvider(hasher=embedding.sha_bucket)
 
 
 @published(f"WITH {fx.sql_chunks()}, {fx.sql_sparse('chunks', 'chunk_id', 'cv')} SELECT chunk_id, bucket, round(weight, 6) AS weight FROM cv")
@@ -186,7 +186,7 @@ def hash_embedding_sha(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @published(f"WITH {fx.sql_chunks()}, {fx.sql_sparse('chunks', 'chunk_id', 'cv', True)} SELECT chunk_id, bucket, round(weight, 6) AS weight FROM cv")
 def idf_hash_embedding_sha(spark: SparkSession, sf_dir: str) -> DataFrame:
-    chunks = fx.chunk_table(spark, sf_dir)
+    chunks = fx.chunk_table(spark, sf_dir).persist()
     provider = embedding.TermWeightedProvider(chunks, "chunk_id", "text", hasher=embedding.sha_bucket)
     return provider.embed_sparse(chunks, "chunk_id", "text").select("chunk_id", "bucket", F.round("weight", 6).alias("weight"))
 
@@ -254,7 +254,7 @@ def routed_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _lexical(spark: SparkSession, sf_dir: str, idf: bool = False) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(chunks, queries, all scores of queries with chunks)."""
-    chunks, queries = fx.chunk_table(spark, sf_dir), fx.text_queries(spark, sf_dir)
+    chunks, queries = fx.chunk_table(spark, sf_dir).persist(), fx.text_queries(spark, sf_dir)
     provider = embedding.TermWeightedProvider(chunks, "chunk_id", "text", hasher=embedding.sha_bucket) if idf else embedding.HashProvider(hasher=embedding.sha_bucket)
     scored = retrieval.lexical_scores(provider.embed_sparse(chunks, "chunk_id", "text"), provider.embed_sparse(queries, "query_id", "query"), chunks, 9)
     return chunks, queries, scored
