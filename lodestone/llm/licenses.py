@@ -7,6 +7,7 @@ from the templates below and a bounded number of ordinary paragraphs.
 from __future__ import annotations
 
 import json
+import math
 import random
 import re
 from dataclasses import dataclass
@@ -38,7 +39,7 @@ ORDINARY = (
     "A lecture on copyright law was held on Monday.", "The public domain of the village ends at the river.", "The warranty covers the engine for two years.", "All seats are reserved for the guests of the house.",
     "He works on a version of the song.", "The general public may visit the garden.", "The software was released in May.", "Redistribution of land was debated in the council.",
 )
-# Every template holds one of these, in lower case; paragraphs without any are unknown.
+# Words of licences, in lower case; paragraphs with one are classified even if no template can confirm them.
 ANCHORS = ("licen", "rights reserved", "copyright", "public domain", "permission", "redistribut", "prohibited", "free software")
 _WORD = r"[a-z0-9]+"
 
@@ -159,6 +160,16 @@ def _grams(paragraph: Column) -> Column:
     return F.array_distinct(F.concat(words, pairs))
 
 
+def confirmable(paragraph: Column, config: LicenseConfig) -> Column:
+    """Whether enough n-grams of any template stand in a paragraph to confirm it."""
+    own = [grams(t) for ts in TEMPLATES.values() for t in ts]
+    least = min(math.ceil(config.least_similarity * len(t)) for t in own)
+    # one pass over the paragraph leaves few n-grams for the templates to be held against
+    held = F.array_intersect(_grams(paragraph), _constant(sorted({g for t in own for g in t}), "array<string>"))
+    near = lambda found: F.exists(_constant(own, "array<array<string>>"), lambda t: F.size(F.array_intersect(t, found)) / F.size(t) >= config.least_similarity)
+    return F.exists(F.array(held), lambda found: F.when(F.size(found) >= least, near(found)).otherwise(False))
+
+
 def _constant(values: object, kind: str) -> Column:
     """A value as one foldable literal."""
     return F.from_json(F.lit(json.dumps(values)), kind)
@@ -214,8 +225,8 @@ def ordinary_paragraphs(docs: DataFrame, text_col: str, config: LicenseConfig) -
 def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", config: LicenseConfig | None = None, model: LicenseModel | None = None) -> DataFrame:
     """(doc_id, n_paragraphs, licenses) for every row; licenses: (paragraph, family, probability, similarity, confirmed).
 
-    A paragraph with the words of licences is classified by hashed word 1- and
-    2-grams; the most probable family counts from half a probability on, else
+    A paragraph with the words of licences, or with n-grams enough to confirm
+    any template, is classified by hashed word 1- and 2-grams; the most probable family counts from half a probability on, else
     it is unknown, and it is confirmed if half the n-grams of one of the
     family's templates stand in the paragraph. Null and empty texts have one
     empty paragraph and no licences; rows repeat as they come; null ids stay;
@@ -224,7 +235,7 @@ def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     config = config or LicenseConfig()
     model = model or train(ordinary_paragraphs(docs, text_col, config), config)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).withColumn("p", paragraphs(F.col("text"), config))
-    held = F.when(anchored(F.lower("text")), F.filter(F.transform("p", lambda p, i: F.struct((i + 1).alias("i"), p.alias("p"))), lambda x: anchored(F.lower(x["p"]))))
+    held = F.filter(F.transform("p", lambda p, i: F.struct((i + 1).alias("i"), p.alias("p"))), lambda x: anchored(F.lower(x["p"])) | confirmable(x["p"], config))
     rows = rows.select("doc_id", F.size("p").cast("long").alias("n_paragraphs"), held.alias("held"))
 
     def judged(x: Column) -> Column:

@@ -60,3 +60,14 @@ def test_expressions_match_the_model(spark, model, empty):
     assert L.scan_licenses(empty).count() == 0
     odd = spark.createDataFrame([(None, "All rights reserved."), (1, "x"), (1, "x")], "doc_id long, text string")
     assert L.families(L.scan_licenses(odd)).where(F.col("families") == "all-rights-reserved").count() == 1
+
+
+def test_notices_without_anchor_words(spark, model):
+    notices = ["Released under CC BY 4.0.", "Released under the BSD 3-Clause.", "Thon er.\nReleased under CC BY-SA 4.0.\nonst", "The driver works in the garden of the house."]
+    rows = spark.createDataFrame(list(enumerate(notices)), "doc_id long, text string")
+    got = {r.doc_id: r.licenses for r in L.scan_licenses(rows, model=model).collect()}
+    for i, text in enumerate(notices):
+        near = [n for n, p in enumerate(text.split("\n"), 1) if any(len(set(L.grams(p)) & set(L.grams(t))) >= 0.5 * len(L.grams(t)) for ts in L.TEMPLATES.values() for t in ts)]
+        assert [x.paragraph for x in got[i]] == near and (len(near) == 1) == (i < 3)
+        for x in got[i]:
+            assert x.probability == pytest.approx(float(model.probabilities(text.split("\n")[x.paragraph - 1]).max()), abs=1e-9)
