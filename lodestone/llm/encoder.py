@@ -18,22 +18,26 @@ import xxhash
 
 from .text import CACHES
 
-#: Beyond so many pieces (some 50 bytes each) a worker forgets those that it met once; this bounds its memory.
-PIECES = 1_200_000
-#: Two white-space characters in a row, in any script, or the mark that cuts pieces: such texts are encoded whole.
-_ODD = r"[\s\x0b\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]{2}|\x00"
-#: A mark of punctuation after a letter or digit begins a piece.
-_MARK = r"([\pL\pN])([.,;:!?])"
+#: Beyond so many pieces (some 50 bytes each), or so many ids of theirs, a worker forgets those that it met once.
+PIECES, PIECE_IDS = 1_000_000, 6_000_000
+#: Two white-space characters in a row, in any script, the mark that cuts pieces, or what begins the strings of
+#: added tokens: such texts are encoded whole.
+_ODD = r"[\s\x0b\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]{2}|\x00|<\|"
+#: A mark of punctuation after a letter or digit begins a piece. The letters are those of Latin that stay one letter
+#: in lower case and in normal form; others (capital dotted I, and letters that decompose) may end in a mark.
+_MARK = r"([A-Za-z0-9\x{c0}-\x{d6}\x{d8}-\x{f6}\x{f8}-\x{12f}\x{131}-\x{17f}])([.,;:!?])"
 
 
 class Encoder:
-    """`keeps_space`: the tokenizer puts a space with the word after it (byte-level); else it drops white space and case."""
+    """`keeps_space`: the tokenizer puts a space with the word after it (byte-level); else it drops white space. Strings of added tokens in a text give those tokens."""
 
     def __init__(self, path: str, keeps_space: bool, end_id: int) -> None:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # in a text their strings are ordinary text
+        strange = [t.content for t in self.tokenizer.get_added_tokens_decoder().values() if not t.content.startswith("<|")]
+        if strange:
+            raise ValueError(f"{path}: added tokens {strange} can stand across pieces")
         self.keeps_space = keeps_space
         self.end_id = end_id
         self._forget()
@@ -49,7 +53,9 @@ class Encoder:
 
     def _forget_some(self) -> None:
         """Keeps the pieces that were met again since the last time, or none if those are too many."""
-        keep = self.again if 2 * self.again.sum() <= PIECES else np.zeros(len(self.again), dtype=bool)
+        keep = self.again
+        if 2 * keep.sum() > PIECES or 2 * int(self.lengths[self.slot_of[keep]].sum()) > PIECE_IDS:
+            keep = np.zeros(len(self.again), dtype=bool)
         known, other, slots = self.known[keep], self.other[keep], self.slot_of[keep]
         starts, lengths = self.starts[slots], self.lengths[slots]
         ends = np.cumsum(lengths, dtype=np.int64)
@@ -98,14 +104,14 @@ class Encoder:
         if self.keeps_space:
             texts = pc.replace_substring(pc.replace_substring(texts, " ", "\0 "), "\n", "\0\n\0")
         else:
-            texts = pc.replace_substring(pc.replace_substring(pc.ascii_lower(texts), " ", "\0"), "\n", "\0")
+            texts = pc.replace_substring(pc.replace_substring(texts, " ", "\0"), "\n", "\0")
         lists = pc.split_pattern(pc.replace_substring_regex(texts, _MARK, "\\1\0\\2"), "\0")
         offsets = np.asarray(lists.offsets, dtype=np.int64)
         return lists.flatten(), offsets - offsets[0]
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts in turn, each with the end id, and where each begins (one more entry than texts)."""
-        if len(self.known) > PIECES:
+        if len(self.known) > PIECES or len(self.flat) > PIECE_IDS:
             self._forget_some()
         odd = np.asarray(pc.match_substring_regex(texts, _ODD)) if len(texts) else np.zeros(0, dtype=bool)
         plain = pc.if_else(pa.array(odd), pa.scalar("", pa.large_string()), texts) if odd.any() else texts

@@ -37,9 +37,11 @@ from .text import over_texts, slices, strings
 
 MAGIC = b"LSTOKEN1"
 FOOTER = struct.Struct("<QQQQ32s")
-#: Documents, and bytes of each one's ids, that the dictionary is trained on.
+#: Documents that the dictionary is trained on, bytes of each one's ids (of longer ones, stretches from all over), and its size.
 TRAIN_DOCS, TRAIN_BYTES, DICTIONARY = 1000, 1 << 16, 1 << 15
 
+MANIFEST = ("shard", "uri", "dictionary", "docs", "tokens", "first_id", "last_id", "without_id")
+
 
 def place(uri: str) -> tuple[fs.FileSystem, str]:
     """The file system of a URI (file, hdfs, s3, gs ...) or plain path, and the path there."""
@@ -58,14 +60,22 @@ def write_whole(uri: str, parts: Iterator[bytes]) -> None:
 
 
 def train_dictionary(samples: list[bytes], size: int = DICTIONARY) -> bytes:
-    """A dictionary of at most `size` bytes; empty if the samples are too few to train one."""
+    """A dictionary of at most `size` bytes; where the samples are too few or too alike to train one, their own content."""
     samples = [s for s in samples if s]
-    if len(samples) < 8 or sum(map(len, samples)) < 4 * size:
-        return b""
-    try:
-        return zstandard.train_dictionary(size, samples).as_bytes()
-    except zstandard.ZstdError:
-        return b""
+    if len(samples) >= 8:
+        try:
+            return zstandard.train_dictionary(min(size, max(256, sum(map(len, samples)) // 4)), samples).as_bytes()
+        except zstandard.ZstdError:
+            pass
+    return b"".join(dict.fromkeys(samples))[-size:]
+
+
+def stretches(cells: bytes, most: int, parts: int = 16) -> bytes:
+    """At most `most` bytes of a document's cells: all, or stretches of equal length evenly spread over it."""
+    if len(cells) <= most:
+        return cells
+    each = most // parts // 8 * 8
+    return b"".join(cells[at : at + each] for at in (i * (len(cells) - each) // (parts - 1) // 8 * 8 for i in range(parts)))
 
 
 class Codec:
@@ -76,7 +86,7 @@ class Codec:
 
 
 def shard_parts(docs: Iterator[tuple[int | None, bytes]], dictionary: bytes, width: int, seen: dict) -> Iterator[bytes]:
-    """The bytes of a shard; `seen` gets the numbers of documents and tokens."""
+    """The bytes of a shard; `seen` gets the numbers of documents and tokens and the range of ids."""
     codec, at, ids, offsets, counts = Codec(dictionary), len(MAGIC), [], [], []
     yield MAGIC
     for doc_id, cells in docs:
@@ -90,7 +100,8 @@ def shard_parts(docs: Iterator[tuple[int | None, bytes]], dictionary: bytes, wid
     index = zstandard.compress(b"".join(c.tobytes() for c in columns))
     yield index
     yield FOOTER.pack(len(ids), at, len(index), width, hashlib.sha256(dictionary).digest())
-    seen |= {"docs": len(ids), "tokens": sum(counts)}
+    known = [i for i in ids if i is not None]
+    seen |= {"docs": len(ids), "tokens": sum(counts), "first_id": min(known, default=None), "last_id": max(known, default=None), "without_id": len(ids) - len(known)}
 
 
 class Shard:
@@ -107,6 +118,9 @@ class Shard:
         index = io.BytesIO(zstandard.decompress(self.file.read_at(length, where), max_output_size=25 * n + 1))
         ids, known, self.offsets, self.counts = (np.frombuffer(index.read(w * n), dtype) for w, dtype in ((8, "<i8"), (1, "u1"), (8, "<u8"), (8, "<u8")))
         self.ids = [int(i) if k else None for i, k in zip(ids, known, strict=True)]
+        self.place = np.flatnonzero(known)
+        self.place = self.place[np.argsort(ids[self.place], kind="stable")]
+        self.sorted = ids[self.place]
         self.ends = np.append(self.offsets[1:], where).astype(np.int64) if n else np.zeros(0, np.int64)
 
     def document(self, i: int) -> np.ndarray:
@@ -114,9 +128,10 @@ class Shard:
         cells = self.codec.unpack(self.file.read_at(b - a, a), max_output_size=int(self.counts[i]) * self.width + 1)
         return np.frombuffer(cells, f"<u{self.width}")
 
-    def find(self, doc_id: int) -> np.ndarray:
-        """The ids of one document, read without the others."""
-        return self.document(self.ids.index(doc_id))
+    def find(self, doc_id: int) -> np.ndarray | None:
+        """The ids of one document (the first of this id), found in the sorted index and read without the others."""
+        at = int(np.searchsorted(self.sorted, doc_id))
+        return self.document(int(self.place[at])) if at < len(self.sorted) and self.sorted[at] == doc_id else None
 
 
 def _cells(batches: Iterator[pa.RecordBatch], path: str, keeps_space: bool, end_id: int, width: int) -> Iterator[tuple[int | None, bytes]]:
@@ -135,19 +150,28 @@ def write_token_files(
     """Writes the shards of `docs` below `uri` in ascending id order; gives (shard, uri, docs, tokens).
 
     The dictionary is trained on the ids of at most TRAIN_DOCS documents, those
-    first in the order of a hash of their ids, TRAIN_BYTES of each; all
-    documents are written. The order is made by ranges of ids before texts are
-    encoded, so each text is encoded once, where its shard is written.
+    first in the order of a hash of their ids and texts; all documents are
+    written. The order is made by ranges of ids, then of texts' hashes, then of
+    the rows as they are read, before texts are encoded: so each text is encoded
+    once, where its shard is written, and null or repeated ids don't meet in one
+    shard. Ids beyond `width` bytes are refused. The manifest also has each
+    shard's dictionary, its first and last id and its documents without one.
     """
     staging = staging or Staging(docs.sparkSession, "tokens")
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    chosen = rows.select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(TRAIN_DOCS)
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text"))
+    most = max(end_id, *encoder(tokenizer, keeps_space, end_id).tokenizer.get_vocab(with_added_tokens=True).values())
+    if most >> (8 * width):
+        raise ValueError(f"token ids up to {most} don't fit in {width} bytes")
+    hashed = rows.withColumn("h", F.xxhash64("doc_id", "text"))
+    chosen = hashed.select("h").distinct().orderBy("h").limit(TRAIN_DOCS)
 
     def sample(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, cells in _cells(batches, tokenizer, keeps_space, end_id, width):
-            yield pa.RecordBatch.from_arrays([pa.array([cells[:TRAIN_BYTES]], pa.binary())], names=["cells"])
+            yield pa.RecordBatch.from_arrays([pa.array([stretches(cells, TRAIN_BYTES)], pa.binary())], names=["cells"])
 
-    samples = [bytes(r.cells) for r in over_texts(rows.join(F.broadcast(chosen), "doc_id", "left_semi"), sample, "cells binary", keep=True).limit(2 * TRAIN_DOCS).collect()]
+    picked = hashed.join(F.broadcast(chosen), "h", "left_semi").dropDuplicates(["h"])  # TRAIN_DOCS rows at most
+    samples = [bytes(r.cells) for r in over_texts(picked.select("doc_id", "text"), sample, "cells binary", keep=True).collect()]
     dictionary = train_dictionary(sorted(samples))
     name = f"{uri}/{hashlib.sha256(dictionary).hexdigest()}.dictionary"
     write_whole(name, iter([dictionary]))
@@ -156,10 +180,13 @@ def write_token_files(
         shard, seen = TaskContext.get().partitionId(), {}
         where = f"{uri}/shard-{shard:06d}.tokens"
         write_whole(where, shard_parts(_cells(batches, tokenizer, keeps_space, end_id, width), dictionary, width, seen))
-        yield pa.RecordBatch.from_arrays([pa.array([shard], pa.int64()), pa.array([where]), pa.array([name]), pa.array([seen["docs"]], pa.int64()), pa.array([seen["tokens"]], pa.int64())], names=["shard", "uri", "dictionary", "docs", "tokens"])
+        found = {"shard": shard, "uri": where, "dictionary": name, **seen}
+        yield pa.RecordBatch.from_pylist([found], schema=pa.schema([(c, pa.string() if c in ("uri", "dictionary") else pa.int64()) for c in MANIFEST]))
 
-    ordered = rows.repartitionByRange(F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
-    return staging.write(over_texts(ordered, run, "shard long, uri string, dictionary string, docs long, tokens long", keep=True).where("docs > 0"), "manifest")
+    order = [F.col("doc_id").asc_nulls_first(), F.xxhash64("text"), F.col("row")]
+    ordered = rows.withColumn("row", F.monotonically_increasing_id()).repartitionByRange(*order).sortWithinPartitions(*order)
+    schema = ", ".join(f"{c} {'string' if c in ('uri', 'dictionary') else 'long'}" for c in MANIFEST)
+    return staging.write(over_texts(ordered.select("doc_id", "text"), run, schema, keep=True).where("docs > 0"), "manifest")
 
 
 def read_token_files(manifest: DataFrame) -> DataFrame:
@@ -190,19 +217,21 @@ def round_trip(docs: DataFrame, tokenizer: str, keeps_space: bool = False, end_i
     """Writes token files and reads them back: doc_id, start, n_tokens, ids_crc32 for every row.
 
     Null texts are empty and give the end id alone; null ids come first and
-    stay null; rows of one id follow each other by text; an empty table writes
-    no shards and gives no rows; other columns are not read.
+    stay null; rows of one id follow each other by a hash of their text, and
+    repeated rows are documents each; very long texts are encoded whole, a few
+    megabytes of other texts at a time; an empty table writes no shards and
+    gives no rows; other columns are not read, whatever their names.
     """
     staging = Staging(docs.sparkSession, "tokens")
     return read_token_files(write_token_files(docs, tokenizer, uri or staging.path("files"), keeps_space, end_id, id_col, text_col, staging=staging))
 
 
 def read_document(spark: SparkSession, manifest: DataFrame, doc_id: int) -> list[int] | None:
-    """The ids of one document, by the shards' offset indexes; None if there is none."""
-    for row in manifest.orderBy("shard").toLocalIterator():
+    """The ids of one document (the first of this id); only a shard whose range of ids holds it is opened. None if there is none."""
+    for row in manifest.where(F.lit(doc_id).between(F.col("first_id"), F.col("last_id"))).orderBy("shard").toLocalIterator():
         at, path = place(row.dictionary)
         with at.open_input_file(path) as f:
-            shard = Shard(row.uri, f.read())
-        if doc_id in shard.ids:
-            return shard.find(doc_id).tolist()
+            found = Shard(row.uri, f.read()).find(doc_id)
+        if found is not None:
+            return found.tolist()
     return None

@@ -1,5 +1,7 @@
+import random
 import zlib
 from collections import defaultdict
+from functools import lru_cache
 
 import numpy as np
 import public_tokenizers
@@ -12,7 +14,7 @@ from lodestone.llm.encoder import Encoder
 from lodestone.staging import Staging
 
 WORDS, BYTES = public_tokenizers.path("word_bpe_49k.json"), public_tokenizers.path("byte_bpe_50k.json")
-TEXTS = ["", " ", "a", " a", "a ", "a  b", "a   b c", "x\n y", "x \ny z", "x\n\ny", "Don't  'S it's", "é   x", "a  b", "\x1c \x1d", "<|endoftext|> b", "日本 語\t x", "Σας ΟΔΟΣ é ́x", "12 3456,  7!!", "a\x85 b \x0b c"]
+TEXTS = ["", " ", "a", " a", "a ", "a  b", "a   b c", "x\n y", "x \ny z", "x\n\ny", "Don't  'S it's", "é   x", "a  b", "\x1c \x1d", "<|endoftext|> b", "日本 語\t x", "Σας ΟΔΟΣ é ́x", "12 3456,  7!!", "a\x85 b \x0b c", "İ!", "x İ. y", "hello <|endoftext|> there", "<|startoftext|>a,b", "\u0958! \ufb2a? \u212b.", "H\u0331 t\u0308."]
 
 
 def crc(ids):
@@ -20,9 +22,12 @@ def crc(ids):
 
 
 def plain(path, text, end):
-    t = Tokenizer.from_file(path)
-    t.encode_special_tokens = True
-    return t.encode(text or "", add_special_tokens=False).ids + [end]
+    return _tokenizer(path).encode(text or "", add_special_tokens=False).ids + [end]
+
+
+@lru_cache
+def _tokenizer(path):
+    return Tokenizer.from_file(path)
 
 
 @pytest.mark.parametrize(("path", "keeps"), [(WORDS, False), (BYTES, True)])
@@ -34,6 +39,18 @@ def test_pieces_give_the_ids_of_whole_texts(path, keeps, rows):
         assert [ids[a:b].tolist() for a, b in zip(begins[:-1], begins[1:], strict=True)] == [plain(path, t, 0) for t in some]
 
 
+@pytest.mark.parametrize(("path", "keeps"), [(WORDS, False), (BYTES, True)])
+def test_ids_of_odd_texts(path, keeps):
+    r = random.Random(11)
+    odd = [chr(c) for c in range(0x250)] + list("ſK\u212b\u0958\ufb2a\ufb01…—’“日本語한ᄀ\u200b\u200d\x85\u2028\u3000 Σςαйё٣①½ªº")
+    plain_ones, marks = list("abchijkstwyzABHIJKTWY") + list(" .,;:!?'\"-\n") * 2, [chr(c) for c in range(0x300, 0x340)]
+    whole = ["<|endoftext|>", "<|startoftext|>", "<|ENDOFTEXT|>", "<|", "'s", "'LL", "n't", "  ", "İ", "H\u0331"]
+    kinds = [(0.75, plain_ones), (0.82, marks), (0.96, odd), (1.0, whole)]
+    texts = ["".join(r.choice(next(k for p, k in kinds if x <= p)) for x in (r.random() for _ in range(r.randint(1, 14)))) for _ in range(5000)]
+    ids, begins = Encoder(path, keeps, 0).encode(pa.array(texts, pa.large_string()))
+    assert [ids[a:b].tolist() for a, b in zip(begins[:-1], begins[1:], strict=True)] == [plain(path, t, 0) for t in texts]
+
+
 def test_token_files(spark, docs, rows, empty):
     staging = Staging(spark, "t")
     manifest = tokenfiles.write_token_files(docs, WORDS, staging.path("files"), False, 2, staging=staging)
@@ -49,6 +66,35 @@ def test_token_files(spark, docs, rows, empty):
     assert tokenfiles.round_trip(empty, WORDS).count() == 0
 
 
+def test_odd_tables_of_token_files(spark):
+    long = "ab, " * 300_000
+    rows = [(None, "a b", 1), (None, None, 2), (None, "c", 3), (4, "d", 4), (4, "d", 4), (4, "e", 5), (2**63 - 1, long, 6), (-(2**63), "f", 7)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, start long").repartition(3)
+    got = sorted(tokenfiles.round_trip(frame, WORDS).collect(), key=lambda r: r.start)
+    assert sorted((str(r.doc_id), r.n_tokens, r.ids_crc32) for r in got) == sorted((str(i), len(plain(WORDS, t, 2)), crc(plain(WORDS, t, 2))) for i, t, _ in rows)
+    assert [r.doc_id for r in got] == [None] * 3 + sorted(r[0] for r in rows if r[0] is not None)
+    assert [r.start for r in got] == [0, *np.cumsum([r.n_tokens for r in got])[:-1]]
+    staging = Staging(spark, "t")
+    manifest = tokenfiles.write_token_files(frame.where("doc_id is null"), WORDS, staging.path("files"), False, 2, staging=staging)
+    assert manifest.first().without_id > 0 and tokenfiles.read_document(spark, manifest, 4) is None
+    with pytest.raises(ValueError, match="bytes"):
+        tokenfiles.write_token_files(frame, WORDS, staging.path("files"), False, 2, width=1)
+
+
+@pytest.mark.parametrize("samples", [[b"\x02\x00"], [bytes([i, 0] * 9) for i in range(5)], [np.random.default_rng(i).integers(0, 99, 100).astype("<u2").tobytes() for i in range(500)]])
+def test_small_tables_have_a_dictionary(samples):
+    dictionary = tokenfiles.train_dictionary(samples)
+    assert dictionary
+    codec = tokenfiles.Codec(dictionary)
+    assert all(codec.unpack(codec.pack(s)) == s for s in samples)
+
+
+def test_stretches_cover_long_documents():
+    cells = np.arange(100_000, dtype="<u2").tobytes()
+    some = np.frombuffer(tokenfiles.stretches(cells, 1 << 14), "<u2")
+    assert len(some) <= 1 << 13 and some.min() == 0 and some.max() > 30_000 and tokenfiles.stretches(cells[:100], 1 << 14) == cells[:100]
+
+
 def test_shards_name_their_dictionary(tmp_path):
     samples = [np.random.default_rng(i).integers(0, 99, 400).astype("<u2").tobytes() for i in range(300)]
     dictionary = tokenfiles.train_dictionary(samples, 4096)
