@@ -32,11 +32,11 @@ def components(edges: DataFrame, staging: Staging, name: str = "cc") -> DataFram
     columns a, b; loops and repeats do no harm, and no edges give no rows.
     """
     now = staging.write(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), f"{name}-0")
-    sign = None
-    for i in range(1, 100):
-        was = f"{name}-{i - 1}"
+    sign, i = None, 0
+    while True:
+        i += 1
         now = staging.write(_small(_stars(now)), f"{name}-{i}")
-        staging.drop(was)
+        staging.drop(f"{name}-{i - 1}")
         row = now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if tuple(row) == sign:
             break
