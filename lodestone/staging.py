@@ -2,8 +2,8 @@
 
 A written table cuts lineage: what reads it can be recomputed without the plan
 above it, and it survives the loss of any executor. The folder is the one that
-the session names in ``spark.checkpoint.dir``; only where that is unset (tests,
-a single machine) is a temporary folder of this machine used.
+the session names in ``spark.checkpoint.dir``; only where that is unset and all
+tasks run on this machine (a local master) is a temporary folder used.
 """
 
 from __future__ import annotations
@@ -24,6 +24,8 @@ def shared_root(spark: SparkSession) -> str:
     global _own
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not named:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all machines of the cluster share")
         _own = _own or tempfile.mkdtemp(prefix="lodestone-")
         named = f"file://{_own}"
     return f"{named.rstrip('/')}/lodestone-{spark.sparkContext.applicationId}"
