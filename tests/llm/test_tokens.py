@@ -148,6 +148,32 @@ def test_windows_hold_the_sources_in_proportion(spark):
             assert all(abs(h[s] - 1024 * total[s] / sum(total.values())) <= 2 * 128 for s in total)
 
 
+@pytest.mark.parametrize("weights", [None, {"s1": 5.0, "s3": 1.0}])
+def test_many_sources(spark, monkeypatch, weights):
+    """Beyond QUEUES sources, a sorted table of quanta gives every source its proportion as well."""
+    rows = [(i, f"word{i} " * (30 + i % 90), None, "hot" if i % 3 == 0 else f"s{i % 40}" if i % 41 else None) for i in range(600)]
+    rows.append((601, "long text " * 20_000, None, "hot"))
+    frame = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").repartition(5)
+    source = {r[0]: r[3] for r in rows}
+    monkeypatch.setattr(packing, "QUEUES", 10)
+    got = packing.pack(frame, BYTES, weights).collect()
+    check_pack(rows, got, 1024)
+    held, total = defaultdict(lambda: defaultdict(int)), defaultdict(int)
+    for r in got:
+        held[r.sequence_id][source[r.doc_id]] += r.length
+        total[source[r.doc_id]] += r.length
+    if weights is None:
+        for h in held.values():
+            if sum(h.values()) == 1024:
+                assert all(abs(h[s] - 1024 * total[s] / sum(total.values())) <= (4 if s == "hot" else 2) * 128 for s in total)
+    else:
+        first = defaultdict(int)
+        for number in range(sum(total.values()) // 1024 // 20):
+            for s, n in held[number].items():
+                first[s] += n
+        assert first["s1"] > 2 * first["s3"]
+
+
 def test_target_weights_and_odd_tables(spark, rows, docs, empty):
     check_pack(rows, packing.pack(docs, BYTES, weights={"a": 1.0, "b": 3.0, None: 0.5}, window=64, quantum=16).collect(), 64)
     assert packing.pack(empty, BYTES).count() == 0
