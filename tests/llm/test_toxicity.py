@@ -1,5 +1,8 @@
+import math
 import random
+import time
 import zlib
+from collections import defaultdict
 
 import numpy as np
 import pyarrow as pa
@@ -46,7 +49,109 @@ def test_tokens_and_words():
     pairs = sorted(zip(owner.tolist(), found.to_pylist(), strict=True))
     assert pairs == sorted([(0, "^ab$"), (2, "^éß$"), *((1, g) for g in ("^thon", "thond", "honde", "onder", "nder$"))])
     scorer = Scorer({"thond": 3.0, "onder": 4.0, "^ab$": 1.0}, -0.1)
-    assert scorer.words(pa.array(["Ab,", "thonder", "éß"])).tolist() == [1.0, 4.0, -0.1]
+    assert scorer.words(pa.array(["Ab,", "thonder", "éß"]))[0].tolist() == [1.0, 4.0, -0.1]
+    signed = Scorer({"thond": 3.0, "onder": -4.0, "^ab$": -1.0}, -0.1)
+    scores, known = signed.words(pa.array(["Ab,", "thonder", "éß"]))
+    assert scores.tolist() == [-1.0, -4.0, -0.1] and known.tolist() == [True, True, False]
+
+
+def test_long_words_take_linear_time():
+    r = random.Random(4)
+    for n in (0, 1, 3, 4, 58, 59, 60, 61, 62, 63, 64, 65, 119, 120, 121, 122, 123, 124, 125, 300):
+        word = "".join(r.choice("abc") for _ in range(n))
+        padded = f"^{word}$"
+        grams = [padded[i : i + 5] for i in range(len(padded) - 4)] or [padded]
+        owner, found = tokens(pa.array(["xy", word, "z"]))
+        assert sorted(t for o, t in zip(owner.tolist(), found.to_pylist(), strict=True) if o == 1) == sorted(grams)
+    began = time.perf_counter()
+    owner, _ = tokens(pa.array(["x" * 1_000_000, *(f"word{i}" for i in range(5000))]))
+    assert (owner == 0).sum() == 999_998 and time.perf_counter() - began < 10
+
+
+def brute_scores(rows, labels, hashes, config):
+    """Scores by their definition, from Python alone; hashes are xxhash64(doc_id) and the calibrating ids."""
+    order, calibrating = hashes
+    known = dict(labels)
+    chosen = sorted(known, key=lambda i: (order[i], i))[: config.train_rows]
+    held = [i for i in chosen if i in calibrating]
+    split = min(sum(known[i] for i in held), sum(1 - known[i] for i in held)) >= config.enough
+    teach, curve = ([i for i in chosen if i not in calibrating], held) if split else (chosen, chosen)
+
+    def grams(word):
+        padded = "^" + word.lower().strip(".,;:!?\"'()[]") + "$"
+        return {padded[i : i + 5] for i in range(len(padded) - 4)} or {padded}
+
+    counts = defaultdict(lambda: [0, 0, 0])
+    for i, text in rows:
+        kind = known[i] if i in teach else 2
+        for word in set(text.split()):
+            for g in grams(word):
+                counts[g][kind] += 1
+    clean_all, toxic_all, others_all = (sum(c[k] for c in counts.values()) for k in range(3))
+    weight = config.prior * (clean_all + toxic_all)
+    odds = {}
+    for g, (c, t, o) in counts.items():
+        if c + t:
+            prior = (c + t + o) / (clean_all + toxic_all + others_all) * weight
+            value = math.log((t + prior) / (toxic_all + weight - t - prior)) - math.log((c + prior) / (clean_all + weight - c - prior))
+            if abs(value) >= config.least_odds and abs(value) / math.sqrt(1 / (t + prior) + 1 / (c + prior)) >= config.least_z:
+                odds[g] = value
+
+    def word_scores(text):
+        out = []
+        for word in text.split():
+            values = [odds[g] for g in grams(word) if g in odds]
+            high, low = max([*values, 0.0]), min([*values, 0.0])
+            out.append(((high if high >= -low else low) or config.rest, high != 0 or low != 0))
+        return out
+
+    scored = {i: word_scores(text) for i, text in rows}
+    found = {i: sorted((s for _, _, s in segments(np.array([x for x, _ in w])) if s >= config.segment_score), reverse=True) for i, w in scored.items()}
+    clean = [i for i in curve if not known[i]]
+    words = sum(len(scored[i]) for i in clean)
+    spread = np.zeros(48)
+    for i in clean:
+        for x, k in scored[i]:
+            if k:
+                spread[min(47, max(0, math.floor(2 * x) + 24))] += 1
+    decay = decay_of(float(words), spread[24:], config.rest, spread[:24][::-1])
+    k = max(1e-6, (sum(len(found[i]) for i in clean) + 0.5) / max(1.0, words) * math.exp(decay * config.segment_score))
+
+    def evidence(i):
+        total = best = 0.0
+        for r, s in enumerate(found[i]):
+            total += decay * s - math.log(k * max(1, len(scored[i])) + 1) + math.log(r + 1)
+            best = max(best, total)
+        return math.log1p(best)
+
+    points = defaultdict(lambda: [0, 0])
+    for i in curve:
+        points[round(evidence(i), 2)][known[i]] += 1
+    x = sorted(points)
+    slope, bias = fit_curve(np.array(x), np.array([points[v][1] for v in x], float), np.array([points[v][0] for v in x], float))
+    return {i: 1 / (1 + math.exp(-(slope * evidence(i) + bias))) for i, _ in rows}
+
+
+@pytest.mark.parametrize("enough", [5, 1000])
+def test_scores_against_their_definition(spark, enough):
+    rows, labels = corpus(300)
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    config = ToxicityConfig(least_z=2.0, enough=enough)
+    hashed = docs.select("doc_id", F.xxhash64("doc_id").alias("h"), (F.pmod(F.xxhash64("doc_id", F.lit("calibrates")), F.lit(config.calibrating)) == 0).alias("c")).collect()
+    known = labels[:250]
+    expected = brute_scores(rows, known, ({r.doc_id: r.h for r in hashed}, {r.doc_id for r in hashed if r.c}), config)
+    got = {r.doc_id: r.score for r in toxicity.score(docs, spark.createDataFrame(known, "doc_id long, toxic int"), config).collect()}
+    assert got == pytest.approx(expected, abs=1e-6)
+
+
+def test_long_texts_and_clashing_columns(spark):
+    rows, labels = corpus(200)
+    rows.append((1000, " ".join(t for _, t in rows * 40) + " " + "x" * 200_000))
+    frame = spark.createDataFrame([(*r, 1, "s", 0.5) for r in rows], "doc_id long, text string, toxic int, segments string, score double")
+    got = toxicity.score(frame, spark.createDataFrame([(*x, "y") for x in labels], "doc_id long, toxic int, text string"))
+    assert got.columns == ["doc_id", "th", "n_words", "score", "passages"]
+    long = got.where("doc_id = 1000").first()
+    assert long.n_words == sum(len(t.split()) for _, t in rows[:-1]) * 40 + 1 and long.passages
 
 
 def test_calibration_parts():
@@ -99,5 +204,5 @@ def test_odd_tables(spark, empty):
     for marks in (labels, labels.limit(0)):
         got = toxicity.score(docs, marks).collect()
         assert len(got) == 5 and all(0 <= r.score <= 1 and r.passages == [] for r in got)
-    small = toxicity.score(docs, labels, ToxicityConfig(train_rows=1, features=1)).collect()
+    small = toxicity.score(docs, labels, ToxicityConfig(train_rows=1)).collect()
     assert len(small) == 5
