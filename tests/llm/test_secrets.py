@@ -44,6 +44,38 @@ def test_base_spans_and_learnt_ones(spark):
     assert found >= 50 and false <= 5, (found, false)
 
 
+def test_short_and_letter_only_formats_are_learnt(spark):
+    """Values of 8 letters that a keyword marks teach their format; the same format is found without the keyword."""
+    r = random.Random(3)
+    key = lambda: "".join(r.choice("QXZWKJVB") for _ in range(8))
+    word = lambda: "".join(r.choice(["th", "on", "er", "an", "ing", "ed", "re"]) for _ in range(r.randint(2, 5)))
+    text = lambda extra: " ".join([*(word() for _ in range(20)), extra, *(word() for _ in range(5))])
+    bare = [key() for _ in range(100)]
+    rows = [(i, text(f"token={key()}")) for i in range(200)] + [(1000 + i, text(f"({k})")) for i, k in enumerate(bare)] + [(2000 + i, text(word())) for i in range(200)]
+    got = {r.doc_id: [s.value for s in r.spans if s.kind == "format"] for r in secrets.scan_secrets(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()}
+    assert sum(k in got[1000 + i] for i, k in enumerate(bare)) >= 90
+    assert sum(bool(v) for i, v in got.items() if not 1000 <= i < 2000) <= 4
+
+
+def test_scores_of_all_strings_at_once(monkeypatch):
+    import pyarrow as pa
+
+    r = random.Random(5)
+    words = ["".join(r.choice("abcAB01+/_.=-") for _ in range(r.randint(1, 40))) for _ in range(300)]
+    automata = [secrets.Automaton(words[:100], 0.05), secrets.Automaton(["abc", "ab", "ba"] * 20, 0.05)]
+    monkeypatch.setattr(secrets, "_FAR", 30)
+    for automaton, scores in zip(automata, secrets.score_all(automata, pa.array(words, pa.large_string())), strict=True):
+        assert [round(x, 9) for x in scores] == [round(automaton.score(w), 9) for w in words]
+
+
+def test_long_texts_and_clashing_columns(spark):
+    long = "word " * 200_000 + "token=" + "a1" * 20 + " " + "x" * 500_000 + " AKIA" + "Q" * 16
+    frame = spark.createDataFrame([(1, long, "s", "v", 0.5)], "doc_id long, text string, spans string, value string, score double")
+    got = secrets.scan_secrets(frame)
+    assert got.columns == ["doc_id", "th", "spans"]
+    assert [(s.kind, s.start, s.end) for s in got.first().spans] == [("assign", 1_000_000, 1_000_046), ("hex", 1_000_006, 1_000_046), ("access", len(long) - 20, len(long))]
+
+
 def test_automata_tell_formats_apart():
     r = random.Random(1)
     hexes = ["".join(r.choice("0123456789abcdef") for _ in range(r.choice([18, 40]))) for _ in range(300)]
