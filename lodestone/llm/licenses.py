@@ -31,7 +31,7 @@ NAMES: dict[str, tuple[str, ...]] = {
     "cc0-1.0": ("Creative Commons Zero 1.0 Universal", "CC0 1.0 Universal", "CC0 1.0", "CC0-1.0", "public domain dedication"),
     "gpl": ("GNU General Public License", "GNU General Public License version 3", "GNU General Public License version 2", "GPLv3", "GPLv2", "GPL-3.0", "GNU GPL"),
     "lgpl": ("GNU Lesser General Public License", "GNU Lesser General Public License version 2.1", "LGPL-2.1", "LGPLv3", "GNU LGPL"),
-    "mit": ("MIT License", "MIT-style license", "Expat License", "MIT"),
+    "mit": ("MIT License", "MIT-style license", "Expat License", "SPDX MIT"),
     "mpl-2.0": ("Mozilla Public License", "Mozilla Public License version 2.0", "MPL 2.0", "MPL-2.0"),
 }
 # Sentences of the licences themselves.
@@ -254,13 +254,19 @@ def ordinary_paragraphs(docs: DataFrame, text_col: str, config: LicenseConfig) -
     texts = docs.select(F.col(text_col).cast("string").alias("t")).where(F.length("t") > 0).withColumn("h", F.xxhash64("t"))
     chosen = texts.select("h").distinct().orderBy("h").limit(config.texts)  # hashes alone meet in one task
     rows = texts.join(F.broadcast(chosen), "h", "left_semi").dropDuplicates(["h"])
-    own = [grams(t) for ts in TEMPLATES.values() for t in ts]
-    known = _constant(sorted({g for t in own for g in t}), "array<string>")
-    parts = rows.select(F.explode(paragraphs(F.col("t"), config)).alias("p")).where(F.length("p") > 0).select("p", F.array_intersect(F.array_distinct(_grams(F.col("p"))), known).alias("found"))
-    parts = parts.where(F.when(F.size("found") == 0, True).otherwise(similar(F.col("found"), own) < config.least_similarity)).select("p", F.size("found").alias("n"), F.xxhash64("p").alias("h")).distinct()
+    own = [set(grams(t)) for ts in TEMPLATES.values() for t in ts]
+    held = set().union(*(buckets_of(t, config.buckets) for ts in TEMPLATES.values() for t in ts))
+    index = _constant([b in held for b in range(config.buckets)], "array<boolean>")
+    count = F.size(F.filter(_grams(F.col("p")), lambda g: F.get(index, F.pmod(F.xxhash64(g), F.lit(config.buckets)).cast("int"))))
+    parts = rows.select(F.explode(paragraphs(F.col("t"), config)).alias("p")).where(F.length("p") > 0).select("p", count.alias("n"), F.xxhash64("p").alias("h")).distinct()
+
+    def some(order: list, most: int) -> list[str]:
+        found = [r.p for r in parts.orderBy(*order).limit(4 * most).collect()]
+        plain = [p for p in found if all(len(t & set(grams(p))) < config.least_similarity * len(t) for t in own)]
+        return plain[:most]
+
     half = config.ordinary // 2
-    hard = [r.p for r in parts.orderBy(F.col("n").desc(), "h", "p").limit(half).collect()]
-    return sorted({*hard, *(r.p for r in parts.orderBy("h", "p").limit(config.ordinary - half).collect())})
+    return sorted({*some([F.col("n").desc(), "h", "p"], half), *some(["h", "p"], config.ordinary - half)})
 
 
 def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", config: LicenseConfig | None = None, model: LicenseModel | None = None) -> DataFrame:
