@@ -3,19 +3,24 @@
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..staging import Staging
 from .text import over_texts, slices, split_words, strings, word_ids
 
-#: Rounds of run and pair naming; after three, a name depends on some 30 words.
-ROUNDS = 3
-BASES = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93))
+BASE = np.uint64(0x9E3779B97F4A7C15)
+
+
+def rounds(window: int) -> int:
+    """Rounds of run and pair naming after which a name depends on some half of a window's words; each triples them."""
+    return max(1, round(math.log(max(2, window) / 2, 3)))
 
 
 def mix(x: np.ndarray, seed: int = 0) -> np.ndarray:
@@ -85,11 +90,11 @@ class Level:
         return Level(name, low, high, self.doc[first], self.bounds)
 
 
-def levels(names: np.ndarray, bounds: np.ndarray) -> list[Level]:
+def levels(names: np.ndarray, bounds: np.ndarray, count: int = 3) -> list[Level]:
     """The symbols at all levels; level 0 has the words themselves."""
     at = np.arange(len(names))
     out = [Level(names, at, at + 1, np.repeat(np.arange(len(bounds) - 1), np.diff(bounds)), bounds)]
-    for r in range(ROUNDS):
+    for r in range(count):
         out.append(out[-1].runs(10 * r + 11).pairs(10 * r + 14))
     return out
 
@@ -118,7 +123,8 @@ def anchored(names: np.ndarray, bounds: np.ndarray, window: int) -> tuple[np.nda
     depends on the window's words alone, and equal windows have equal anchors.
     A symbol may be a single word that never met a partner; it is hashed with
     all the words on which it depends, so that documents share an anchor only
-    if they share some 30 words in a row.
+    if they share half a window in a row (or hashes collide, which makes
+    candidates and no results).
     """
     starts = np.flatnonzero(np.arange(len(names)) + window <= np.repeat(bounds[1:], np.diff(bounds)))
     if not len(starts):
@@ -126,8 +132,9 @@ def anchored(names: np.ndarray, bounds: np.ndarray, window: int) -> tuple[np.nda
     doc = np.searchsorted(bounds, starts, side="right") - 1
     anchor = np.zeros(len(starts), np.uint64)
     place = np.zeros(len(starts), np.int64)
-    rest, ranges = np.arange(len(starts)), Ranges(names, BASES[0])
-    for number, level in reversed(list(enumerate(levels(names, bounds)))):
+    rest, ranges = np.arange(len(starts)), Ranges(names, BASE)
+    count = rounds(window)
+    for number, level in reversed(list(enumerate(levels(names, bounds, count)))):
         p = starts[rest]
         low = np.searchsorted(level.low, p, side="left")
         high = np.searchsorted(level.high, p + window, side="right") - 1
@@ -135,7 +142,7 @@ def anchored(names: np.ndarray, bounds: np.ndarray, window: int) -> tuple[np.nda
         value = mix(ranges(np.maximum(level.low, 0), np.minimum(level.high, len(names))) + level.name, 1000 + number)
         best = _least(value, low[held], high[held])
         anchor[rest[held]] = value[best]
-        place[rest[held]] = best * (ROUNDS + 1) + number
+        place[rest[held]] = best * (count + 1) + number
         rest = rest[~held]
         if not len(rest):
             break
@@ -144,19 +151,36 @@ def anchored(names: np.ndarray, bounds: np.ndarray, window: int) -> tuple[np.nda
     return starts[heads], starts[tails], anchor[heads]
 
 
-def _named(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
-    """The names of all words of the texts, and where each text's begin."""
-    words, bounds = split_words(strings(batch.column("text")))
-    return mix(word_ids(words)), bounds
+class Words:
+    """The words of a batch's texts: their names, where each text's begin, and the words themselves."""
+
+    def __init__(self, batch: pa.RecordBatch) -> None:
+        words, self.bounds = split_words(strings(batch.column("text")))
+        self.names = mix(word_ids(words))
+        spaced = pc.binary_join_element_wise(words, pa.scalar("", words.type), pa.scalar(" ", words.type)).cast(pa.large_binary())
+        self.at = np.frombuffer(spaced.buffers()[1], np.int64)[spaced.offset : spaced.offset + len(spaced) + 1]
+        self.bytes = memoryview(spaced.buffers()[2] or b"")
+
+    def digests(self, low: np.ndarray, high: np.ndarray) -> tuple[pa.Array, pa.Array]:
+        """128 bits of BLAKE2b of the words low to high of each stretch, as two columns: what equal stretches are told by."""
+        cells = b"".join(hashlib.blake2b(self.bytes[a:b], digest_size=16).digest() for a, b in zip(self.at[low].tolist(), self.at[high].tolist(), strict=True))
+        both = np.frombuffer(cells, dtype="<i8").reshape(-1, 2)
+        return pa.array(both[:, 0].copy()), pa.array(both[:, 1].copy())
+
+    def shas(self) -> list[str]:
+        """SHA-256 of each text's words joined by one space."""
+        edges = self.at[self.bounds].tolist()
+        return [hashlib.sha256(self.bytes[a : max(a, b - 1)]).hexdigest() for a, b in zip(edges[:-1], edges[1:], strict=True)]
 
 
 def _parse(window: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in slices(whole, "text"):
-                names, bounds = _named(batch)
-                first, last, anchor = anchored(names, bounds, window)
-                extent = Ranges(names, BASES[0])(first, last + window)
+                words = Words(batch)
+                bounds = words.bounds
+                first, last, anchor = anchored(words.names, bounds, window)
+                k1, k2 = words.digests(first, last + window)
                 doc = np.searchsorted(bounds, first, side="right") - 1
                 cuts = np.searchsorted(doc, np.arange(len(bounds))).astype(np.int32)
                 lists = lambda x, kind: pa.ListArray.from_arrays(pa.array(cuts), pa.array(x, kind))  # noqa: E731, B023
@@ -164,9 +188,10 @@ def _parse(window: int):
                     "doc_id": batch.column("doc_id"),
                     "th": batch.column("th"),
                     "n_words": pa.array(np.diff(bounds), pa.int64()),
-                    "sha": pa.array(_digests(batch), pa.string()),
+                    "sha": pa.array(words.shas(), pa.string()),
                     "name": lists(anchor.view(np.int64), pa.int64()),
-                    "extent": lists(extent.view(np.int64), pa.int64()),
+                    "k1": lists(k1, pa.int64()),
+                    "k2": lists(k2, pa.int64()),
                     "p0": lists((first - bounds[doc]).astype(np.int32), pa.int32()),
                     "p1": lists((last - bounds[doc]).astype(np.int32), pa.int32()),
                 }
@@ -175,17 +200,11 @@ def _parse(window: int):
     return run
 
 
-def _digests(batch: pa.RecordBatch) -> list[str]:
-    """SHA-256 of each text's words joined by one space."""
-    texts = strings(batch.column("text")).cast(pa.large_binary())
-    return [hashlib.sha256(b" ".join(t.as_py().split())).hexdigest() for t in texts]
-
-
 def _windows(window: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in slices(whole, "text", 1_000_000):
-                names, bounds = _named(batch)
+                words = Words(batch)
                 ranges = batch.column("ranges")
                 cuts = np.asarray(ranges.offsets, dtype=np.int64)
                 flat = ranges.flatten()
@@ -194,18 +213,11 @@ def _windows(window: int):
                 counts = p1 - p0 + 1
                 pos = np.repeat(p0 - (np.cumsum(counts) - counts), counts) + np.arange(int(counts.sum()))
                 of = np.repeat(doc, counts)
-                at = pos + bounds[of]
-                take = pa.array(of)
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(Ranges(names, BASES[0])(at, at + window).view(np.int64)),
-                        pa.array((Ranges(names, BASES[1])(at, at + window) >> np.uint64(32)).astype(np.uint32).view(np.int32)),
-                        batch.column("doc_id").take(take),
-                        batch.column("th").take(take),
-                        pa.array(pos.astype(np.int32)),
-                    ],
-                    names=["h", "h2", "doc_id", "th", "p0"],
-                )
+                at = pos + words.bounds[of]
+                for low in range(0, len(pos), 200_000):
+                    part = slice(low, low + 200_000)
+                    take = pa.array(of[part])
+                    yield pa.RecordBatch.from_arrays([*words.digests(at[part], at[part] + window), batch.column("doc_id").take(take), batch.column("th").take(take), pa.array(pos[part].astype(np.int32))], names=["k1", "k2", "doc_id", "th", "p0"])
 
     return run
 
@@ -236,32 +248,35 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     names. Each window is filed under one symbol that its words alone decide;
     consecutive windows of one symbol are one row. Rows whose symbol only one
     document has are done. For the others, equal stretches of windows are
-    settled by the hash of the whole stretch, and only the first document of
-    each stretch gives single windows, by 96-bit hashes, to compare with those
-    of other stretches of its symbol.
+    settled whole, and only the first document of each stretch gives single
+    windows to compare with those of other stretches of its symbol. Symbols
+    only find candidates: stretches and windows are verified by cryptographic
+    digests of their words, so names that collide change no result.
 
     Null texts have no words. Documents with a null id stay whole and remove
     nothing. Rows of one id are one document each, and none has the smaller
-    id. An empty table gives no rows; other columns are not read.
+    id. Very long texts are read whole. An empty table gives no rows; other
+    columns are not read, whatever their names.
     """
     staging = Staging(docs.sparkSession, "repeats")
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("th"))
-    parsed = staging.write(over_texts(rows, _parse(window), "doc_id long, th long, n_words long, sha string, name array<long>, extent array<long>, p0 array<int>, p1 array<int>"), "parsed")
-    stretch = parsed.where("doc_id is not null").select("doc_id", "th", F.explode(F.arrays_zip("name", "extent", "p0", "p1")).alias("r")).select("doc_id", "th", "r.*")
-    shared = stretch.groupBy("name").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"), (F.min("extent") < F.max("extent")).alias("several")).where("lo < hi")
+    parsed = staging.write(over_texts(rows, _parse(window), "doc_id long, th long, n_words long, sha string, name array<long>, k1 array<long>, k2 array<long>, p0 array<int>, p1 array<int>"), "parsed")
+    stretch = parsed.where("doc_id is not null").select("doc_id", "th", F.explode(F.arrays_zip("name", "k1", "k2", "p0", "p1")).alias("r")).select("doc_id", "th", "r.*")
+    differ = (F.min("k1") < F.max("k1")) | (F.min("k2") < F.max("k2"))
+    shared = stretch.groupBy("name").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"), differ.alias("several")).where("lo < hi")
     shared = staging.write(shared.select("name", "several"), "shared")
-    found = staging.write(stretch.join(shared, "name").select("doc_id", "th", "extent", "p0", "p1", "several").distinct(), "found")
-    least = staging.write(found.groupBy("extent").agg(F.min("doc_id").alias("lo")), "least")
-    placed = staging.write(found.join(least, "extent").select("doc_id", "th", "p0", "p1", "several", "lo"), "placed")
+    found = staging.write(stretch.join(shared, "name").select("doc_id", "th", "k1", "k2", "p0", "p1", "several").distinct(), "found")
+    least = staging.write(found.groupBy("k1", "k2").agg(F.min("doc_id").alias("lo")), "least")
+    placed = staging.write(found.join(least, ["k1", "k2"]).select("doc_id", "th", "p0", "p1", "several", "lo"), "placed")
     staging.drop("shared", "found", "least")
     whole = placed.where("lo < doc_id").select("doc_id", "th", "p0", (F.col("p1") + window).alias("p1"))
     firsts = placed.where("lo = doc_id and several").groupBy("doc_id", "th").agg(F.collect_list(F.struct("p0", "p1")).alias("ranges"))
-    windows = over_texts(rows.join(firsts, ["doc_id", "th"]).select("doc_id", "th", "text", "ranges"), _windows(window), "h long, h2 int, doc_id long, th long, p0 int")
+    windows = over_texts(rows.join(firsts, ["doc_id", "th"]).select("doc_id", "th", "text", "ranges"), _windows(window), "k1 long, k2 long, doc_id long, th long, p0 int")
     windows = staging.write(windows, "windows")
-    first_of = windows.groupBy("h", "h2").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").select("h", "h2", "lo")
+    first_of = windows.groupBy("k1", "k2").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").select("k1", "k2", "lo")
     first_of = staging.write(first_of, "first_of")
-    alone = windows.join(first_of, ["h", "h2"]).where("lo < doc_id").select("doc_id", "th", "p0", (F.col("p0") + window).alias("p1"))
+    alone = windows.join(first_of, ["k1", "k2"]).where("lo < doc_id").select("doc_id", "th", "p0", (F.col("p0") + window).alias("p1"))
     covered = staging.write(whole.union(alone).groupBy("doc_id", "th").agg(F.collect_set(F.struct("p0", "p1")).alias("ranges")), "covered")
     staging.drop("windows", "first_of", "placed")
     cut = over_texts(rows.join(covered, ["doc_id", "th"]).select("doc_id", "th", "text", "ranges"), _cut, "doc_id long, th long, n_removed long, kept_sha256 string")
