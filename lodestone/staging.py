@@ -11,7 +11,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
 #: A staged write needs its shuffle files no longer than it runs.
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
@@ -60,6 +61,21 @@ class Staging:
             conf.set(CLEANUP, was)
         return self.spark.read.schema(df.schema).parquet(path)
 
+    def numbered(self, df: DataFrame, order: list[Column], column: str, name: str) -> DataFrame:
+        """`df`, written, with the place of each row (from 0) in an order, which no single task sorts.
+
+        Ranges of rows are sorted and number their own rows; those before each
+        range are added.
+        """
+        sorted_ = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn(column, F.monotonically_increasing_id())
+        rows = self.write(sorted_, name)
+        part = F.shiftright(column, 33)  # how the built-in puts together a partition's number and a row's
+        held = rows.groupBy(part.alias("__part")).agg(F.count("*").alias("__held"))  # a row for each range
+        before = F.coalesce(F.sum("__held").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+        bases = F.broadcast(held.select("__part", before.alias("__before")))
+        joined = rows.withColumn("__part", part).join(bases, "__part")
+        return joined.withColumn(column, F.col("__before") + F.col(column).bitwiseAND(F.lit((1 << 33) - 1))).select(rows.columns)
+
     def drop(self, *names: str) -> None:
         """Removes staged tables that nothing reads any more."""
         for name in names:
