@@ -17,33 +17,34 @@ def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)).cast("long"), F.lit(0).cast("long"))
 
 
-def water_fill(sources: DataFrame, max_epochs: float, total: Column | None = None) -> DataFrame:
+def water_fill(sources: DataFrame, max_epochs: float, total: float | None = None) -> DataFrame:
     """Adds `target` to (…, source_size, weight): shares of the total by weight, clamped at max_epochs times the size.
 
-    Clamping a source passes its excess to the others by weight, which may
-    clamp more. The fixed point of that is found in order of size to weight:
-    a source is clamped if its share of what those clamped before it leave is
-    above its limit, and the clamped ones are the first in this order. One row
-    for each source takes part, so one task orders them.
+    Sources whose share is above their limit are clamped to it, and what they
+    leave is shared by weight among the others, which may clamp more, until a
+    round clamps none. A round is one sum over the table of sources; the driver
+    holds two numbers.
     """
-    every = Window.partitionBy()
-    before = Window.orderBy(F.col("source_size") / F.col("weight"), "skey").rowsBetween(Window.unboundedPreceding, -1)
-    cap = F.col("source_size") * F.lit(float(max_epochs))
-    known = sources.withColumn("cap", cap).withColumn("all_size", (total if total is not None else F.sum("source_size").over(every)).cast("double")).withColumn("all_weight", F.sum("weight").over(every))
-    left = F.col("all_size") - F.coalesce(F.sum("cap").over(before), F.lit(0.0))
-    known = known.withColumn("left_size", left).withColumn("left_weight", F.col("all_weight") - F.coalesce(F.sum("weight").over(before), F.lit(0)))
-    known = known.withColumn("clamped", F.col("weight") * (F.col("left_size") / F.col("left_weight")) > F.col("cap"))
-    unclamped = F.when(~F.col("clamped"), F.lit(1))
-    level_size = F.max(F.when(unclamped == 1, F.col("left_size"))).over(every)
-    level_weight = F.max(F.when(unclamped == 1, F.col("left_weight"))).over(every)
-    target = F.when(F.col("clamped"), F.col("cap")).otherwise(F.col("weight") * (level_size / level_weight))
-    return known.withColumn("target", target).drop("cap", "all_size", "all_weight", "left_size", "left_weight", "clamped")
+    known = sources.withColumn("cap", F.col("source_size") * F.lit(float(max_epochs)))
+    every = known.agg(F.sum("source_size"), F.sum("weight")).first()
+    size, level, clamped = float((every[0] or 0) if total is None else total), None, 0
+    over = F.lit(False)
+    if every[1]:
+        level = size / float(every[1])
+        while level is not None:
+            over = F.col("weight") * F.lit(level) > F.col("cap")
+            held, left, count = known.agg(F.sum(F.when(over, F.col("cap"))), F.sum(F.when(~over, F.col("weight"))), F.sum(over.cast("long"))).first()
+            if count == clamped:
+                break
+            clamped, level = count, (size - (held or 0.0)) / float(left) if left else None
+    target = F.col("cap") if level is None else F.when(over, F.col("cap")).otherwise(F.col("weight") * F.lit(level))
+    return known.withColumn("target", target).drop("cap")
 
 
-def cyclic_weights(sources: DataFrame, cycle: tuple[int, ...]) -> DataFrame:
+def cyclic_weights(sources: DataFrame, cycle: tuple[int, ...], staging: Staging) -> DataFrame:
     """Adds `weight`: the cycle's numbers in turn, over sources by code point, null last."""
-    place = F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last())) - 1
-    return sources.withColumn("weight", F.element_at(F.array(*[F.lit(w) for w in cycle]), (place % len(cycle) + 1).cast("int")))
+    placed = staging.numbered(sources, [F.col("source").asc_nulls_last()], "place", "placed-sources")
+    return placed.withColumn("weight", F.element_at(F.array(*[F.lit(w) for w in cycle]), (F.col("place") % len(cycle) + 1).cast("int"))).drop("place")
 
 
 def mix(
@@ -77,15 +78,15 @@ def mix(
     ).withColumn("skey", F.coalesce(F.concat(F.lit("s"), "source"), F.lit("n"))).withColumn("b", F.shiftright("h", 20).cast("int"))
     rows = staging.write(rows, "sizes")
     sums = staging.write(rows.groupBy("skey", "source", "b").agg(F.sum("size").alias("bucket_size")), "sums")
-    sources = sums.groupBy("skey", "source").agg(F.sum("bucket_size").alias("source_size"))
-    weighed = cyclic_weights(sources, weights) if isinstance(weights, tuple) else sources.join(
+    sources = staging.write(sums.groupBy("skey", "source").agg(F.sum("bucket_size").alias("source_size")), "sources")
+    weighed = cyclic_weights(sources, weights, staging) if isinstance(weights, tuple) else sources.join(
         weights.select(F.coalesce(F.concat(F.lit("s"), F.col("source").cast("string")), F.lit("n")).alias("skey"), F.col("weight")), "skey"
     )
-    filled = water_fill(weighed, max_epochs, None if total is None else F.lit(total))
+    filled = water_fill(weighed, max_epochs, total)
     whole = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("long")
     filled = filled.withColumn("whole", whole).withColumn("part", F.col("target") - F.col("whole") * F.col("source_size"))
     earlier = F.coalesce(F.sum("bucket_size").over(Window.partitionBy("skey").orderBy("b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    placed = sums.withColumn("before", earlier).join(filled.drop("source"), "skey").select("skey", "b", "before", "source_size", "target", "whole", "part")
+    placed = sums.withColumn("before", earlier).join(filled.drop("source").hint("merge"), "skey").select("skey", "b", "before", "source_size", "target", "whole", "part")
     placed = staging.write(placed, "placed")
     within = Window.partitionBy("skey", "b").orderBy("h", "doc_id", "size").rowsBetween(Window.unboundedPreceding, 0)
     middle = F.col("before") + F.sum("size").over(within) - F.col("size") / 2

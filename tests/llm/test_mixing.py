@@ -49,3 +49,20 @@ def test_odd_tables(spark, empty):
     odd = spark.createDataFrame([(None, None, None), (1, "", "a"), (1, "x y", "b"), (1, "x y", "b")], "doc_id long, text string, source string")
     got = [(r.source, r["size"], r.source_size) for r in mixing.mix(odd).collect()]
     assert sorted(got, key=str) == sorted([(None, 0, 0), ("a", 0, 0), ("b", 2, 4), ("b", 2, 4)], key=str)
+
+
+def test_many_sources_that_clamp_in_turn(spark):
+    """Small sources clamp round by round, each raising the share of the others."""
+    rows = [(i, "w " * (2 ** (i % 12)), f"s{i % 12:02}", None) for i in range(120)] + [(1000 + i, "x y z", None, None) for i in range(5)]
+    rows = [(i, t, None, s) for i, t, s, _ in rows]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, cap string, source string").repartition(4)
+    got = {r.doc_id: (r["size"], r.source_size, r.target, r.taken) for r in mixing.mix(frame).collect()}
+    assert got == brute(rows)
+    fixed = mixing.mix(frame, max_epochs=1.0, total=10**9).select("source_size", "target").distinct().collect()
+    assert all(r.target == r.source_size for r in fixed)
+
+
+def test_long_texts_and_clashing_columns(spark):
+    rows = [(1, "ab " * 2_000_000, "a", 1.0), (2, "ab", "a", 2.0), (3, "c d", "b", 3.0)]
+    got = mixing.mix(spark.createDataFrame(rows, "doc_id long, text string, source string, target double"))
+    assert sorted((r.doc_id, r["size"]) for r in got.collect()) == [(1, 2_000_000), (2, 1), (3, 2)]
