@@ -26,10 +26,12 @@ _ODD = r"[\s\x0b\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x
 #: A mark of punctuation after a letter or digit begins a piece. The letters are those of Latin that stay one letter
 #: in lower case and in normal form; others (capital dotted I, and letters that decompose) may end in a mark.
 _MARK = r"([A-Za-z0-9\x{c0}-\x{d6}\x{d8}-\x{f6}\x{f8}-\x{12f}\x{131}-\x{17f}])([.,;:!?])"
+#: Beyond Latin: in texts with such characters, case and normal form may depend on each other.
+_FAR = r"[^\x00-\x{17f}]"
 
 
 class Encoder:
-    """`keeps_space`: the tokenizer puts a space with the word after it (byte-level); else it drops white space. Strings of added tokens in a text give those tokens."""
+    """`keeps_space`: the tokenizer puts a space with the word after it (byte-level); else it drops white space and case. Strings of added tokens in a text give those tokens."""
 
     def __init__(self, path: str, keeps_space: bool, end_id: int) -> None:
         from tokenizers import Tokenizer
@@ -104,6 +106,8 @@ class Encoder:
         if self.keeps_space:
             texts = pc.replace_substring(pc.replace_substring(texts, " ", "\0 "), "\n", "\0\n\0")
         else:
+            # the tokenizer lowers case itself; where that is the same, lower case first has fewer pieces
+            texts = pc.if_else(pc.match_substring_regex(texts, _FAR), texts, pc.ascii_lower(texts))
             texts = pc.replace_substring(pc.replace_substring(texts, " ", "\0"), "\n", "\0")
         lists = pc.split_pattern(pc.replace_substring_regex(texts, _MARK, "\\1\0\\2"), "\0")
         offsets = np.asarray(lists.offsets, dtype=np.int64)
