@@ -18,8 +18,8 @@ import xxhash
 
 from .text import CACHES
 
-#: Beyond so many pieces (some 50 bytes each), or so many ids of theirs, a worker forgets those that it met once.
-PIECES, PIECE_IDS = 1_000_000, 6_000_000
+#: Beyond so many pieces (some 50 bytes each), or so many ids for each, a worker forgets those that it met once.
+PIECES, IDS = 1_000_000, 6
 #: Two white-space characters in a row, in any script, the mark that cuts pieces, or what begins the strings of
 #: added tokens: such texts are encoded whole.
 _ODD = r"[\s\x0b\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]{2}|\x00|<\|"
@@ -33,7 +33,7 @@ _FAR = r"[^\x00-\x{17f}]"
 class Encoder:
     """`keeps_space`: the tokenizer puts a space with the word after it (byte-level); else it drops white space and case. Strings of added tokens in a text give those tokens."""
 
-    def __init__(self, path: str, keeps_space: bool, end_id: int) -> None:
+    def __init__(self, path: str, keeps_space: bool, end_id: int, pieces: int | None = None) -> None:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -42,6 +42,7 @@ class Encoder:
             raise ValueError(f"{path}: added tokens {strange} can stand across pieces")
         self.keeps_space = keeps_space
         self.end_id = end_id
+        self.most = PIECES if pieces is None else pieces
         self._forget()
 
     def _forget(self) -> None:
@@ -56,7 +57,7 @@ class Encoder:
     def _forget_some(self) -> None:
         """Keeps the pieces that were met again since the last time, or none if those are too many."""
         keep = self.again
-        if 2 * keep.sum() > PIECES or 2 * int(self.lengths[self.slot_of[keep]].sum()) > PIECE_IDS:
+        if 2 * keep.sum() > self.most or 2 * int(self.lengths[self.slot_of[keep]].sum()) > IDS * self.most:
             keep = np.zeros(len(self.again), dtype=bool)
         known, other, slots = self.known[keep], self.other[keep], self.slot_of[keep]
         starts, lengths = self.starts[slots], self.lengths[slots]
@@ -115,7 +116,7 @@ class Encoder:
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts in turn, each with the end id, and where each begins (one more entry than texts)."""
-        if len(self.known) > PIECES or len(self.flat) > PIECE_IDS:
+        if len(self.known) > self.most or len(self.flat) > IDS * self.most:
             self._forget_some()
         odd = np.asarray(pc.match_substring_regex(texts, _ODD)) if len(texts) else np.zeros(0, dtype=bool)
         plain = pc.if_else(pa.array(odd), pa.scalar("", pa.large_string()), texts) if odd.any() else texts
@@ -139,9 +140,9 @@ class Encoder:
 
 
 @lru_cache(maxsize=4)
-def encoder(path: str, keeps_space: bool, end_id: int) -> Encoder:
+def encoder(path: str, keeps_space: bool, end_id: int, pieces: int | None = None) -> Encoder:
     """One encoder for each worker process."""
-    return Encoder(path, keeps_space, end_id)
+    return Encoder(path, keeps_space, end_id, pieces)
 
 
 CACHES.append(encoder.cache_clear)

@@ -20,6 +20,10 @@ from .text import over_texts, slices, strings
 QUEUES = 256
 
 
+#: Pieces that a worker keeps, and bytes of text that it encodes at a time: packing follows other stages, whose memory executors still hold.
+PIECES, TEXT_BYTES = 500_000, 1_500_000
+
+
 class Sequences:
     """The sequences that all tokens fill: whole windows, then powers of two, which need no padding."""
 
@@ -107,11 +111,11 @@ def tokenized(docs: DataFrame, path: str, id_col: str, source_col: str, text_col
     """(doc_id, queue, pid, start, n, ids): each document's ids, and where it stands among its partition's of its source."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = encoder(path, True, end_id)
+        coder = encoder(path, True, end_id, PIECES)
         pid = TaskContext.get().partitionId()
         running: dict[str | None, int] = {}
         for whole in batches:
-            for batch in slices(whole, "text"):
+            for batch in slices(whole, "text", TEXT_BYTES):
                 ids, begins = coder.encode(strings(batch.column("text")))
                 sources = batch.column("source").to_pylist()
                 counts = np.diff(begins).tolist()

@@ -16,7 +16,7 @@ from ..staging import Staging
 from .text import over_texts, slices, split_words, strings
 
 GRAM = 5
-_PART = 64  # longer words are cut into overlapping parts, so that tokens take time in proportion to a word's length
+LONG = 64
 _FLAT = 24  # classes of token scores on either side of 0, half a unit wide
 _SEGMENTS = "array<struct<begin:int,end:int,score:double>>"
 
@@ -44,27 +44,22 @@ class ToxicityConfig:
 def tokens(words: pa.Array) -> tuple[np.ndarray, pa.Array]:
     """The tokens of each distinct word: all runs of GRAM characters of the word between ^ and $, in lower case.
 
-    A word of fewer is one token. Gives (word, token) pairs.
+    A word of fewer is one token. Gives (word, token) pairs; a word of more than
+    LONG characters gives each of its tokens once.
     """
     padded = pc.binary_join_element_wise("^", pc.utf8_trim(pc.utf8_lower(words.cast(pa.string())), ".,;:!?\"'()[]"), "$", "")
     length = np.asarray(pc.utf8_length(padded), dtype=np.int64)
-    whole = np.arange(len(padded))
-    if length.max(initial=0) > _PART:
-        short = length <= _PART
-        owners, parts = [np.flatnonzero(short)], [padded.filter(pa.array(short))]
-        for i in np.flatnonzero(~short).tolist():
-            word = padded[i].as_py()
-            cut = [word[at : at + _PART] for at in range(0, len(word) - GRAM + 1, _PART - GRAM + 1)]
-            owners.append(np.full(len(cut), i))
-            parts.append(pa.array(cut, padded.type))
-        whole, padded = np.concatenate(owners), pa.concat_arrays(parts)
-        length = np.asarray(pc.utf8_length(padded), dtype=np.int64)
     owners, parts = [np.flatnonzero(length < GRAM)], [padded.filter(pa.array(length < GRAM))]
-    for k in range(int(length.max(initial=0)) - GRAM + 1):
-        held = np.flatnonzero(length >= k + GRAM)
+    for i in np.flatnonzero(length > LONG).tolist():
+        word = padded[i].as_py()
+        found = list(dict.fromkeys(word[k : k + GRAM] for k in range(len(word) - GRAM + 1)))
+        owners.append(np.full(len(found), i))
+        parts.append(pa.array(found, padded.type))
+    for k in range(min(LONG, int(length.max(initial=0))) - GRAM + 1):
+        held = np.flatnonzero((length >= k + GRAM) & (length <= LONG))
         owners.append(held)
         parts.append(pc.utf8_slice_codeunits(padded.take(pa.array(held)), k, k + GRAM))
-    return whole[np.concatenate(owners)], pa.concat_arrays(parts)
+    return np.concatenate(owners), pa.concat_arrays(parts)
 
 
 def _distinct(words: pa.Array) -> tuple[pa.Array, np.ndarray]:
@@ -80,7 +75,7 @@ def training_labels(labels: DataFrame, config: ToxicityConfig) -> DataFrame:
 
 
 def token_counts(rows: DataFrame) -> DataFrame:
-    """(token, toxic, clean, others): in how many distinct words of texts of each kind each token stands. `rows` is (toxic, text)."""
+    """(token, toxic, clean, others): how often each token stands in the distinct words of texts of each kind. `rows` is (toxic, text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -95,8 +90,6 @@ def token_counts(rows: DataFrame) -> DataFrame:
                 counts = np.bincount(once % len(distinct) * 3 + kind[once // len(distinct)], minlength=3 * len(distinct)).reshape(-1, 3)
                 owner, found = tokens(distinct)
                 names, at = _distinct(found)
-                pairs = np.unique(owner * len(names) + at)  # a token that a word repeats counts once
-                owner, at = pairs // len(names), pairs % len(names)
                 sums = [np.bincount(at, weights=counts[owner, k], minlength=len(names)).astype(np.int64) for k in (1, 0, 2)]
                 yield pa.RecordBatch.from_arrays([names, *map(pa.array, sums)], names=["token", "toxic", "clean", "others"])
 
