@@ -176,7 +176,7 @@ class Words:
 def _parse(window: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for batch in slices(whole, "text"):
+            for batch in slices(whole, "text", 2_000_000):
                 words = Words(batch)
                 bounds = words.bounds
                 first, last, anchor = anchored(words.names, bounds, window)
