@@ -21,7 +21,7 @@ QUEUES = 256
 
 
 #: Pieces that a worker keeps, and bytes of text that it encodes at a time: packing follows other stages, whose memory executors still hold.
-PIECES, TEXT_BYTES = 500_000, 1_500_000
+PIECES, TEXT_BYTES = 250_000, 1_000_000
 
 
 class Sequences:
