@@ -20,8 +20,8 @@ FIRST_ROWS, SHARD_ROWS = 256, 4096
 PASS_QUERIES, BLOCK_QUERIES = 16_384, 256
 #: Rows of the vectors that a task has at least, if there are so many.
 TASK_ROWS = 8192
-#: Shares of the lists to which they are read, in stages; upper bounds are exact at the end of a stage and looser before.
-DEPTHS = ((0.1, 0.2, 0.3, 0.4, 0.5), (0.6, 0.7, 0.8), (0.9, 1.0))
+#: Shares of the lists to which they are read one after the other, until outsiders cannot qualify.
+DEPTHS = (0.35, 0.5, 0.65, 0.8, 1.0)
 #: Candidates for each result at which final scores are resolved.
 ENOUGH = 8
 
@@ -55,8 +55,9 @@ class Lists:
         starts from the least of every list. Reading an entry adds to it what
         the component is above the least; the row's upper bound is its lower
         bound and what the lists that are not read yet can add at most, by the
-        last values read. Both are running sums, to which each depth adds the
-        entries between the last depth and this one. A row stays while its
+        last values read. Lower bounds are running sums, to which each depth
+        adds the entries between the last depth and this one; what is unread
+        is summed once a depth. A row stays while its
         upper bound reaches the k-th best lower bound and the floor. When few
         stay, or all is read, their scores are resolved. Sums are exact.
         """
@@ -74,51 +75,43 @@ class Lists:
         lower = np.zeros((n, len(queries)), dtype=kind) + (first @ positive + last @ negative if dims else 0)
         done_to = 0
         self.held += n * dims * len(queries)
-        for stage in DEPTHS:
-            to = min(n, max(1, int(np.ceil(stage[-1] * n))))
-            # what an entry read by the end of this stage takes off the bound on what is unread
-            off_high, off_low = positive * (order[n - to] - first)[:, None], negative * (order[to - 1] - last)[:, None]
-            gone = np.zeros((n, len(open_)), dtype=kind)
-            if done_to:
-                gone += self._seen(n - done_to, n).astype(kind) @ off_high + self._seen(0, done_to).astype(kind) @ off_low
-            for share in stage:
-                depth = min(n, max(1, int(np.ceil(share * n))))
-                for j in range(dims):
-                    # a row stands once in each part of a list
-                    top, low = slice(n - depth, n - done_to), slice(done_to, depth)
-                    rows = self.by[top, j]
-                    lower[rows] += (order[top, j] - first[j])[:, None] * positive[j]
-                    gone[rows] += off_high[j]
-                    rows = self.by[low, j]
-                    lower[rows] += (order[low, j] - last[j])[:, None] * negative[j]
-                    gone[rows] += off_low[j]
-                self.read += (depth - done_to) * dims * len(open_)
-                done_to = depth
-                above = ((order[n - depth] - first) @ positive + (order[depth - 1] - last) @ negative) if dims else np.zeros(len(open_), dtype=kind)
-                upper = lower + above - gone
-                allowed = np.ones((n, len(open_)), dtype=bool)
-                for i in np.flatnonzero(own_high[open_] > own_low[open_]).tolist():
-                    allowed[own_low[open_[i]] : own_high[open_[i]], i] = False
-                stays = allowed
-                for i, q in enumerate(open_.tolist()):
-                    bound = least[q]
-                    sure = lower[allowed[:, i], i]
-                    if len(sure) > k:
-                        best = int((np.sort(sure)[::-1] if kind is object else np.partition(sure, len(sure) - k)[len(sure) - k :][::-1])[k - 1 if kind is object else -1])
-                        bound = best if bound is None else max(bound, best)
-                    if bound is not None:
-                        stays[:, i] &= (upper[:, i] >= bound).astype(bool)
-                done = (stays.sum(axis=0) <= ENOUGH * k) | (depth == n)
-                for i in np.flatnonzero(done).tolist():
-                    rows = np.flatnonzero(stays[:, i])
-                    scores = vectors[rows] @ asked[:, i] if dims else np.zeros(len(rows), dtype=kind)
-                    keep = np.lexsort((rows, -scores.astype(object) if kind is object else -scores))[:k] if len(rows) > k else slice(None)
-                    out[open_[i]] = (self.ids[rows[keep]], scores[keep])
-                if done.any():
-                    open_, asked, positive, negative = open_[~done], asked[:, ~done], positive[:, ~done], negative[:, ~done]
-                    lower, gone, off_high, off_low = lower[:, ~done], gone[:, ~done], off_high[:, ~done], off_low[:, ~done]
-                if not len(open_):
-                    return out
+        for share in DEPTHS:
+            depth = min(n, max(1, int(np.ceil(share * n))))
+            for j in range(dims):
+                # a row stands once in each part of a list
+                top, low = slice(n - depth, n - done_to), slice(done_to, depth)
+                lower[self.by[top, j]] += (order[top, j] - first[j])[:, None] * positive[j]
+                lower[self.by[low, j]] += (order[low, j] - last[j])[:, None] * negative[j]
+            self.read += (depth - done_to) * dims * len(open_)
+            done_to = depth
+            above = ((order[n - depth] - first) @ positive + (order[depth - 1] - last) @ negative) if dims else np.zeros(len(open_), dtype=kind)
+            # what the entries read so far take off the bound on what is unread
+            off_high, off_low = positive * (order[n - depth] - first)[:, None], negative * (order[depth - 1] - last)[:, None]
+            gone = self._seen(n - depth, n).astype(kind) @ off_high + self._seen(0, depth).astype(kind) @ off_low if dims and depth < n else above
+            upper = lower + above - gone
+            allowed = np.ones((n, len(open_)), dtype=bool)
+            for i in np.flatnonzero(own_high[open_] > own_low[open_]).tolist():
+                allowed[own_low[open_[i]] : own_high[open_[i]], i] = False
+            stays = allowed
+            for i, q in enumerate(open_.tolist()):
+                bound = least[q]
+                sure = lower[allowed[:, i], i]
+                if len(sure) > k:
+                    best = int((np.sort(sure)[::-1] if kind is object else np.partition(sure, len(sure) - k)[len(sure) - k :][::-1])[k - 1 if kind is object else -1])
+                    bound = best if bound is None else max(bound, best)
+                if bound is not None:
+                    stays[:, i] &= (upper[:, i] >= bound).astype(bool)
+            done = (stays.sum(axis=0) <= ENOUGH * k) | (depth == n)
+            for i in np.flatnonzero(done).tolist():
+                rows = np.flatnonzero(stays[:, i])
+                scores = vectors[rows] @ asked[:, i] if dims else np.zeros(len(rows), dtype=kind)
+                keep = np.lexsort((rows, -scores.astype(object) if kind is object else -scores))[:k] if len(rows) > k else slice(None)
+                out[open_[i]] = (self.ids[rows[keep]], scores[keep])
+            if done.any():
+                open_, asked, positive, negative = open_[~done], asked[:, ~done], positive[:, ~done], negative[:, ~done]
+                lower = lower[:, ~done]
+            if not len(open_):
+                return out
         return out
 
     def _seen(self, low: int, high: int) -> np.ndarray:
