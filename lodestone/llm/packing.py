@@ -20,8 +20,8 @@ from .text import over_texts, slices, strings
 QUEUES = 256
 
 
-#: Pieces that a worker keeps, and bytes of text that it encodes at a time: packing follows other stages, whose memory executors still hold.
-PIECES, TEXT_BYTES = 250_000, 1_000_000
+#: Pieces that a worker keeps, and bytes of text that it encodes at a time, by default.
+PIECES, TEXT_BYTES = 1_000_000, 4_000_000
 
 
 class Sequences:
@@ -107,15 +107,15 @@ class Schedule:
         return doc[which], begin[which] + low, length, sequence, offset
 
 
-def tokenized(docs: DataFrame, path: str, id_col: str, source_col: str, text_col: str, end_id: int) -> DataFrame:
+def tokenized(docs: DataFrame, path: str, id_col: str, source_col: str, text_col: str, end_id: int, pieces: int = PIECES, text_bytes: int = TEXT_BYTES) -> DataFrame:
     """(doc_id, queue, pid, start, n, ids): each document's ids, and where it stands among its partition's of its source."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = encoder(path, True, end_id, PIECES)
+        coder = encoder(path, True, end_id, pieces)
         pid = TaskContext.get().partitionId()
         running: dict[str | None, int] = {}
         for whole in batches:
-            for batch in slices(whole, "text", TEXT_BYTES):
+            for batch in slices(whole, "text", text_bytes):
                 ids, begins = coder.encode(strings(batch.column("text")))
                 sources = batch.column("source").to_pylist()
                 counts = np.diff(begins).tolist()
@@ -148,6 +148,8 @@ def pack(
     window: int = 1024,
     quantum: int = 128,
     end_id: int = 0,
+    pieces: int = PIECES,
+    text_bytes: int = TEXT_BYTES,
 ) -> DataFrame:
     """One row for each piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset.
 
@@ -161,9 +163,10 @@ def pack(
     text is empty and packs its end id; a null id stays null; repeated rows are
     packed each; very long texts are packed whole; an empty table gives no rows;
     columns other than the three named are not read, whatever their names.
+    `pieces` and `text_bytes` bound a worker's memory.
     """
     staging = Staging(docs.sparkSession, "packing")
-    rows = staging.write(tokenized(docs, tokenizer, id_col, source_col, text_col, end_id), "ids")
+    rows = staging.write(tokenized(docs, tokenizer, id_col, source_col, text_col, end_id, pieces, text_bytes), "ids")
     held = staging.write(rows.groupBy("queue", "pid").agg(F.sum("n").alias("n")), "held")
     lanes = staging.write(held.groupBy("queue").agg(F.sum("n").alias("total")), "lanes")
     given = {("n" if k is None else f"s{k}"): float(v) for k, v in (weights or {}).items()}
