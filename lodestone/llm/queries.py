@@ -1,4 +1,4 @@
-"""The queries op1 to op10 over the driver's tables, and their SQL where SQL can express them."""
+"""The queries op1 to op13 over the driver's tables, and their SQL where SQL can express them."""
 
 from __future__ import annotations
 
@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import licenses, mixing, packing, recompression, secrets, simhash, tokenfiles, topk, toxicity, versions
+from . import licenses, mixing, owners, packing, recompression, secrets, simhash, tokenfiles, topk, toxicity, versions
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -77,6 +77,11 @@ def op10_recompression(spark: SparkSession, sf_dir: str) -> DataFrame:
     return recompression.remove_repeats(_table(spark, sf_dir, "documents"), window=50)
 
 
+def op13_owners(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents with the document of largest id that has their text, case of A-Z aside."""
+    return owners.owners(_table(spark, sf_dir, "documents"), keep="largest").members
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_topk": op1_topk,
     "op2_simhash": op2_simhash,
@@ -88,6 +93,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_packing": op8_packing,
     "op9_licenses": op9_licenses,
     "op10_recompression": op10_recompression,
+    "op13_owners": op13_owners,
 }
 
 _OP5 = """
@@ -130,8 +136,16 @@ k AS (SELECT rid, string_agg(word, ' ' ORDER BY j) AS kept, count(*) AS n_kept F
 SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(w) - coalesce(n_kept, 0) AS BIGINT) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM d LEFT JOIN k USING (rid)
 """
 
+_OP13 = """
+WITH d AS (SELECT doc_id, row_number() OVER () AS rid, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents)
+SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
+       row_number() OVER (PARTITION BY t ORDER BY doc_id DESC NULLS LAST, rid) = 1 AS kept, sha256(t) AS text_sha256
+FROM d WINDOW w AS (PARTITION BY t)
+"""
+
 ORACLE_SQL: dict[str, str] = {
     "op1_topk": _OP1,
     "op5_mixing": _OP5,
     "op10_recompression": _OP10,
+    "op13_owners": _OP13,
 }
