@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import licenses, mixing, owners, packing, recompression, secrets, simhash, tokenfiles, topk, toxicity, versions
+from . import collocations, licenses, mixing, owners, packing, prefixtrie, recompression, secrets, simhash, tokenfiles, topk, toxicity, versions
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -77,6 +77,16 @@ def op10_recompression(spark: SparkSession, sf_dir: str) -> DataFrame:
     return recompression.remove_repeats(_table(spark, sf_dir, "documents"), window=50)
 
 
+def op11_prefixtrie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The prefix trie of all conversations, rebuilt on the first one of each hundred."""
+    return prefixtrie.conversation_trie(_table(spark, sf_dir, "conversations"), block=100, shared_turns=6)
+
+
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first 2000 phrases of two and three words of each language."""
+    return collocations.collocations(_table(spark, sf_dir, "documents"), max_words=3, min_count=10, subsumed_percent=50, top=2000)
+
+
 def op13_owners(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents with the document of largest id that has their text, case of A-Z aside."""
     return owners.owners(_table(spark, sf_dir, "documents"), keep="largest").members
@@ -93,6 +103,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_packing": op8_packing,
     "op9_licenses": op9_licenses,
     "op10_recompression": op10_recompression,
+    "op11_prefixtrie": op11_prefixtrie,
+    "op12_collocations": op12_collocations,
     "op13_owners": op13_owners,
 }
 
@@ -136,6 +148,53 @@ k AS (SELECT rid, string_agg(word, ' ' ORDER BY j) AS kept, count(*) AS n_kept F
 SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(w) - coalesce(n_kept, 0) AS BIGINT) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM d LEFT JOIN k USING (rid)
 """
 
+#: crc32 of the decimal id, bit by bit and polynomial 3988292384, as DuckDB has no such function.
+_OP11 = """
+WITH t AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL),
+g AS (SELECT conv_id, turn, {'d': sha256(length(role)::VARCHAR || ':' || role || text), 'n': CAST(length(text) AS BIGINT)} AS x FROM t),
+own AS (SELECT conv_id, list(x ORDER BY turn NULLS FIRST, x.d) AS x FROM g GROUP BY conv_id),
+h AS (SELECT conv_id, x, conv_id - conv_id % 100 AS base,
+             CAST(xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(conv_id::VARCHAR, ''), lambda c: ascii(c)::BIGINT)),
+               lambda a, b: list_reduce(list_prepend(xor(a, b), [0::BIGINT, 0, 0, 0, 0, 0, 0, 0]), lambda s, z: CASE WHEN s % 2 = 1 THEN xor(s // 2, 3988292384::BIGINT) ELSE s // 2 END)),
+               4294967295::BIGINT) % 6 AS INT) AS h FROM own),
+r AS (SELECT h.conv_id, list_concat(coalesce(list_slice(b.x, 1, h.h), []), list_slice(h.x, h.h + 1, len(h.x))) AS x FROM h LEFT JOIN own b ON b.conv_id = h.base),
+p AS (SELECT conv_id, len(x) AS len, unnest(range(0, len(x) + 1)) AS depth, x FROM r),
+k AS (SELECT conv_id, len, depth, sha256(array_to_string(list_transform(list_slice(x, 1, depth), lambda y: y.d), '')) AS key,
+             sha256(array_to_string(list_transform(list_slice(x, 1, depth - 1), lambda y: y.d), '')) AS up, coalesce(x[depth].n, 0) AS chars FROM p),
+n AS (SELECT depth, key, any_value(up) AS up, any_value(chars) AS chars, min(conv_id) AS conv_id, count(*) AS n_convs,
+             sha256(coalesce(string_agg(CASE WHEN len = depth THEN conv_id::VARCHAR END, ',' ORDER BY conv_id), '')) AS ends_sha256 FROM k GROUP BY depth, key),
+c AS (SELECT n.*, count(z.key) AS n_children FROM n LEFT JOIN n z ON z.depth = n.depth + 1 AND z.up = n.key GROUP BY ALL),
+s AS (SELECT k.depth, k.key, sum(CASE WHEN c.n_children = 0 THEN 1 ELSE 0 END) AS n_leaves, sum((c.n_convs - 1) * c.chars) AS saved_tokens
+      FROM c JOIN k ON k.conv_id = c.conv_id AND k.depth <= c.depth GROUP BY k.depth, k.key)
+SELECT c.conv_id, CAST(c.depth AS BIGINT) AS depth, u.conv_id AS parent_conv_id, c.n_convs, c.n_children, CAST(s.n_leaves AS BIGINT) AS n_leaves,
+       CAST(s.saved_tokens AS BIGINT) AS saved_tokens, c.ends_sha256
+FROM c JOIN s USING (depth, key) LEFT JOIN n u ON u.depth = c.depth - 1 AND u.key = c.up
+"""
+
+_OP12 = """
+WITH d AS (SELECT row_number() OVER () AS rid, coalesce(lang, 'und') AS lang,
+                  string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\\x0A-\\x0D]') AS p FROM documents),
+e AS (SELECT rid, lang, unnest(p) AS p, generate_subscripts(p, 1) AS i FROM d),
+f AS (SELECT rid, lang, i, regexp_extract_all(p, '[^\\x20\\x09]+') AS w FROM e),
+u AS (SELECT rid, lang, i, unnest(w) AS w1, generate_subscripts(w, 1) AS j FROM f),
+v AS (SELECT lang, w1, lead(w1) OVER s AS w2, lead(w1, 2) OVER s AS w3 FROM u WINDOW s AS (PARTITION BY rid, i ORDER BY j)),
+c1 AS (SELECT lang, w1, count(*) AS f FROM v GROUP BY ALL),
+c2 AS (SELECT lang, w1, w2, count(*) AS f FROM v WHERE w2 IS NOT NULL GROUP BY ALL HAVING f >= 10),
+c3 AS (SELECT lang, w1, w2, w3, count(*) AS f FROM v WHERE w3 IS NOT NULL GROUP BY ALL HAVING f >= 10),
+m AS (SELECT lang, w1, w2, max(f) AS f FROM (SELECT lang, w1, w2, f FROM c3 UNION ALL SELECT lang, w2, w3, f FROM c3) GROUP BY ALL),
+x AS (SELECT lang, c2.w1 || ' ' || c2.w2 AS phrase, c2.f AS a, a.f AS l, b.f AS r, 1 AS k
+      FROM c2 JOIN c1 a USING (lang, w1) JOIN c1 b ON b.lang = c2.lang AND b.w1 = c2.w2 LEFT JOIN m USING (lang, w1, w2) WHERE m.f IS NULL OR 100 * m.f < 50 * c2.f
+      UNION ALL
+      SELECT lang, c3.w1 || ' ' || c3.w2 || ' ' || c3.w3, c3.f, a.f, b.f, 1 FROM c3 JOIN c1 a USING (lang, w1) JOIN c2 b ON b.lang = c3.lang AND b.w1 = c3.w2 AND b.w2 = c3.w3
+      UNION ALL
+      SELECT lang, c3.w1 || ' ' || c3.w2 || ' ' || c3.w3, c3.f, a.f, b.f, 2 FROM c3 JOIN c2 a USING (lang, w1, w2) JOIN c1 b ON b.lang = c3.lang AND b.w1 = c3.w3),
+y AS (SELECT *, CAST((1000000::HUGEINT * a * a) // (l::HUGEINT * r) AS BIGINT) AS score FROM x),
+z AS (SELECT * FROM y QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+o AS (SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, score FROM z),
+t AS (SELECT lang, CAST(sum(f) AS BIGINT) AS n FROM c1 GROUP BY lang)
+SELECT lang, rank, phrase, a, l, r, n, score FROM o JOIN t USING (lang) WHERE rank <= 2000
+"""
+
 _OP13 = """
 WITH d AS (SELECT doc_id, row_number() OVER () AS rid, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents)
 SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
@@ -147,5 +206,7 @@ ORACLE_SQL: dict[str, str] = {
     "op1_topk": _OP1,
     "op5_mixing": _OP5,
     "op10_recompression": _OP10,
+    "op11_prefixtrie": _OP11,
+    "op12_collocations": _OP12,
     "op13_owners": _OP13,
 }
