@@ -13,10 +13,10 @@ from pyspark.sql import functions as F
 
 from ..staging import Staging
 from .recompression import mix
-from .text import over_texts, slices, strings, word_ids
+from .text import give_back, over_texts, slices, strings, word_ids
 
 #: Bytes of text that a task numbers together as one block.
-BLOCK_BYTES = 16 << 20
+BLOCK_BYTES = 8 << 20
 #: Numbers in one row of a block's sequence.
 PART = 1 << 16
 #: Dictionary entries that a task names at a time, on average and at most (each distinct pair of a block is one).
@@ -146,6 +146,7 @@ def _named(min_count: int, pairs: bool):
     """A function that gives ids to the frequent words or pairs of one bucket, from the dictionaries of all blocks."""
 
     def run(rows: pa.Table) -> pa.Table:
+        give_back()  # what the group before has used
         counts = _numbers(rows, "counts")
         sizes = np.array([len(c) for c in counts])
         if pairs:
@@ -190,6 +191,7 @@ def _pair_blocks(last: bool, buckets: int):
     """A function that puts table ids for a block's codes and numbers the pairs of neighbours."""
 
     def run(parts: pa.Table, names: pa.Table) -> pa.Table:
+        give_back()  # what the group before has used
         empty = _BLOCKS.empty_table()
         if not parts.num_rows or not names.num_rows:
             return empty
