@@ -19,6 +19,8 @@ from .. import checks
 from ..errors import EmbeddingError
 from ..functions import text as T
 from ..functions import vectors as V
+from ..staging import Staging
+from .calls import AnswerTable, Caller, Policy
 
 Hasher = Callable[[Column, int], Column]
 
@@ -159,25 +161,31 @@ def sentence_model(name: str, dimension: int, prefix: str = "", device: str = "c
     return ModelProvider(name, dimension, load, prefix)
 
 
-def remote_model(name: str, dimension: int, post: Callable[[list[str]], list[list[float]]], batch: int = 32, retries: int = 5) -> ModelProvider:
-    """A model behind a network call on batches, retried on status 429."""
+class RemoteProvider:
+    """Vectors of a metered model, which are kept in a table of answers; texts and questions are different tasks of it."""
 
-    def load() -> Callable[[list[str]], list[list[float]]]:
-        def embed(texts: list[str]) -> list[list[float]]:
-            out: list[list[float]] = []
-            for at in range(0, len(texts), batch):
-                for attempt in range(retries + 1):
-                    try:
-                        out += post(texts[at : at + batch])
-                        break
-                    except Exception as failed:
-                        if getattr(failed, "status", None) != 429 or attempt == retries:
-                            raise
-            return out
+    def __init__(self, name: str, dimension: int, texts: Caller, questions: Caller | None = None, answers: AnswerTable | None = None, policy: Policy | None = None) -> None:
+        checks.positive_int(dimension, "dimension", EmbeddingError)
+        self.name, self.dimension, self.texts, self.questions, self.answers, self.policy = name, dimension, texts, questions or texts, answers, policy
+
+    def params(self) -> dict:
+        return {"method": "remote", "texts": self.texts.identity, "questions": self.questions.identity, "batch_size": self.texts.batch, "external": True}
+
+    def _embed(self, rows: DataFrame, key: str, text: str, caller: Caller) -> DataFrame:
+        answers = self.answers or AnswerTable.temporary(rows.sparkSession)
+        found = answers.with_answers(require_text(rows, key, text).select(key, text), text, caller, self.policy, EmbeddingError)
+        return found.select(key, F.from_json("answer", "vector array<double>")["vector"].alias("vector"))
+
+    def embed(self, texts: DataFrame, key: str, text: str) -> DataFrame:
+        return self._embed(texts, key, text, self.texts)
+
+    def embed_questions(self, texts: DataFrame, key: str, text: str) -> DataFrame:
+        return self._embed(texts, key, text, self.questions)
 
-        return embed
 
-    return ModelProvider(name, dimension, load)
+def embed_questions(provider: EmbeddingProvider, questions: DataFrame, key: str, text: str) -> DataFrame:
+    """Vectors of questions, by the provider's own way for them where it has one."""
+    return getattr(provider, "embed_questions", provider.embed)(questions, key, text)
 
 
 def named_provider(name: str) -> HashProvider | ModelProvider:
@@ -192,12 +200,10 @@ def named_provider(name: str) -> HashProvider | ModelProvider:
 def generate_embeddings(chunks: DataFrame, provider: EmbeddingProvider | None = None) -> DataFrame:
     """(chunk_id, document_id, page_number, vector) of all chunks, or an error: ids unique, vectors one to one and valid."""
     provider = provider or HashProvider()
-    checks.unique(chunks, ["chunk_id"], EmbeddingError)
-    vectors = chunks.select("chunk_id", "document_id", "page_number").join(provider.embed(chunks.select("chunk_id", "text"), "chunk_id", "text"), "chunk_id", "left").persist()
+    found = chunks.select("chunk_id", "document_id", "page_number").join(provider.embed(chunks.select("chunk_id", "text"), "chunk_id", "text"), "chunk_id", "left")
+    vectors = Staging(chunks.sparkSession, "embeddings").write(found, "vectors")  # computed once, checked in one pass
     wrong = V.problem(F.col("vector"), provider.dimension)
-    checks.none(vectors, wrong.isNotNull(), f"{provider.name} gave bad vectors", EmbeddingError, "chunk_id")
-    if vectors.count() != chunks.count():
-        raise EmbeddingError(f"{provider.name} gave more or fewer vectors than chunks")
+    checks.require(checks.rules(vectors, {f"{provider.name} gave bad vectors": wrong.isNotNull()}, ["chunk_id"], "chunk_id"), EmbeddingError)
     return vectors
 
 
