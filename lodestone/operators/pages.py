@@ -12,6 +12,7 @@ from ..functions import text as T
 LOW_TEXT_RATIO = 0.10
 CONTROL_RATIO = 0.01
 TRACEABLE = ("document_id", "filename", "page_number")
+REQUIRED = (*TRACEABLE, "text", "text_sha256", "char_count", "word_count", "page_width", "page_height", "extraction_status", "extraction_error")
 
 
 def page_records(pages: DataFrame) -> DataFrame:
@@ -60,14 +61,19 @@ def page_statistics(pages: DataFrame) -> DataFrame:
 
 
 def provenance_problems(pages: DataFrame) -> DataFrame:
-    """(document_id, page_number, problem) for each empty field that a page must carry to be traced."""
-    empty = [F.when(F.col(c).isNull() | (F.col(c).cast("string") == ""), F.lit(f"empty traceability field '{c}'")) for c in TRACEABLE]
-    return pages.select("document_id", "page_number", F.explode(F.array_compact(F.array(*empty))).alias("problem"))
+    """(document_id, page_number, problem): fields that a page must have and the table has not, then empty ones that trace it."""
+    absent = [F.lit(f"missing field '{c}'") for c in REQUIRED if c not in pages.columns]
+    empty = [F.when(F.col(c).isNull() | (F.col(c).cast("string") == ""), F.lit(f"empty traceability field '{c}'")) for c in TRACEABLE if c in pages.columns]
+    keys = [F.col(c) if c in pages.columns else F.lit(None).cast(t).alias(c) for c, t in (("document_id", "string"), ("page_number", "int"))]
+    return pages.select(*keys, F.explode(F.array_compact(F.array(*absent, *empty))).alias("problem"))
 
 
-def validation_checks(pages: DataFrame, expected: DataFrame) -> DataFrame:
-    """(document_id, name, status, detail): eight checks of each document of `expected` (document_id, source_sha256, expected_pages)."""
-    stats = page_statistics(pages)
+def validation_checks(pages: DataFrame, expected: DataFrame, stats: DataFrame | None = None) -> DataFrame:
+    """(document_id, name, status, detail): eight checks of each document of `expected` (document_id, source_sha256, expected_pages).
+
+    `stats` may be the pages' statistics, where they are there already.
+    """
+    stats = page_statistics(pages) if stats is None else stats
     problems = provenance_problems(pages).groupBy("document_id").agg(
         F.slice(F.array_sort(F.collect_list(F.concat(F.lit("page "), F.col("page_number").cast("string"), F.lit(": "), F.col("problem")))), 1, 10).alias("problems")
     )

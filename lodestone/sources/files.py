@@ -2,71 +2,31 @@
 
 from __future__ import annotations
 
-import io
-from collections.abc import Callable, Iterator
 from pathlib import PurePosixPath
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
-from .. import schemas
+from .. import checks, schemas
 from ..errors import IngestionError
 from ..functions import text as T
 
-#: The metadata keys that a scan reports, each null where absent.
-METADATA_KEYS = ("title", "author", "subject", "creator", "producer", "creation_date", "mod_date")
-
-#: Opens a document's bytes: gives (pages, encrypted, metadata), where pages are (text or error, width, height).
-Opener = Callable[[bytes], tuple[list[tuple[str | Exception, float | None, float | None]], bool, dict]]
-
-
 def binary_files(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
     """(path, filename, length, content, sha256): whole files with their SHA-256 in upper case."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", "true").load(path)
     return files.select("path", F.regexp_replace("path", "^.*/", "").alias("filename"), "length", "content", F.upper(F.sha2("content", 256)).alias("sha256"))
 
 
-def open_pdf(content: bytes) -> tuple[list[tuple[str | Exception, float | None, float | None]], bool, dict]:
-    """Opens a PDF with an installed library; raises where there is none."""
-    try:
-        import pypdf
-    except ImportError as missing:
-        raise IngestionError("reading PDF files needs pypdf") from missing
-    reader = pypdf.PdfReader(io.BytesIO(content))
-    if reader.is_encrypted:
-        return [], True, {}
-    pages: list[tuple[str | Exception, float | None, float | None]] = []
-    for i in range(len(reader.pages)):
-        try:
-            page = reader.pages[i]
-            pages.append((page.extract_text() or "", float(page.mediabox.width), float(page.mediabox.height)))
-        except Exception as failed:
-            pages.append((failed, None, None))
-    return pages, False, {k: getattr(reader.metadata, k, None) for k in METADATA_KEYS}
-
-
-def verify(files: DataFrame, manifest: DataFrame, opener: Opener = open_pdf) -> DataFrame:
-    """(filename, document_id, sha256, page_count, reason): every manifest row, reason null if it passes all gates.
-
-    Gates in order: the file is there, its SHA-256 is the manifest's in either
-    case, it opens, is not encrypted, and has the manifest's number of pages.
-    """
+def verify(scanned: DataFrame, manifest: DataFrame) -> DataFrame:
+    """(filename, document_id, sha256, page_count, metadata, reason): every manifest row, reason null if it passes all gates.
 
-    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            rows = []
-            for name, content in zip(batch.filename, batch.content, strict=True):
-                try:
-                    pages, encrypted, _ = opener(content)
-                    rows.append((name, len(pages), encrypted, None))
-                except Exception as failed:
-                    rows.append((name, None, None, f"{type(failed).__name__}: {failed}"))
-            yield pd.DataFrame(rows, columns=["filename", "page_count", "encrypted", "error"]).astype({"page_count": "Int64", "encrypted": "boolean"})
-
-    listed = manifest.join(files.select("filename", "sha256"), "filename", "left")
-    matched = listed.where(F.col("sha256") == F.upper("expected_sha256")).select("filename")
-    opened = files.join(matched, "filename", "left_semi").select("filename", "content").mapInPandas(count, "filename string, page_count int, encrypted boolean, error string")
+    `scanned` are rows of the pages source. Gates in order: the file is there,
+    its SHA-256 is the manifest's in either case, it opens, is not encrypted, and
+    has the manifest's number of pages.
+    """
+    found = scanned.where("page_number IS NULL").select("filename", "sha256", "page_count", "encrypted", "error", "metadata")
+    listed = manifest.join(found, "filename", "left")
     reason = (
         F.when(F.col("sha256").isNull(), "missing")
         .when(F.col("sha256") != F.upper("expected_sha256"), "checksum differs")
@@ -75,7 +35,7 @@ def verify(files: DataFrame, manifest: DataFrame, opener: Opener = open_pdf) ->
         .when(F.col("page_count") != F.col("expected_pages"), "page count differs")
     )
     document = F.coalesce("document_id", T.document_id(F.col("filename")))
-    return listed.join(opened, "filename", "left").select("filename", document.alias("document_id"), "sha256", "page_count", reason.alias("reason"))
+    return listed.select("filename", document.alias("document_id"), "sha256", "page_count", "metadata", reason.alias("reason"))
 
 
 def require_verified(verified: DataFrame) -> DataFrame:
@@ -85,42 +45,6 @@ def require_verified(verified: DataFrame) -> DataFrame:
     return verified
 
 
-def scan_pages(files: DataFrame, opener: Opener = open_pdf) -> DataFrame:
-    """One row for each page, with status failed and the error where a page can't be read; a page is never dropped."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        columns = ["document_id", "filename", "page_number", "text", "page_width", "page_height", "extraction_status", "extraction_error"]
-        for batch in batches:
-            rows = []
-            for document, name, content in zip(batch.document_id, batch.filename, batch.content, strict=True):
-                for number, (text, width, height) in enumerate(opener(content)[0], 1):
-                    failed = isinstance(text, Exception)
-                    rows.append((document, name, number, "" if failed else text, width, height, "failed" if failed else None, f"{type(text).__name__}: {text}" if failed else None))
-            yield pd.DataFrame(rows, columns=columns)
-
-    named = files if "document_id" in files.columns else files.withColumn("document_id", T.document_id(F.col("filename")))
-    return named.select("document_id", "filename", "content").mapInPandas(
-        run, "document_id string, filename string, page_number int, text string, page_width double, page_height double, extraction_status string, extraction_error string"
-    )
-
-
-def metadata(files: DataFrame, opener: Opener = open_pdf) -> DataFrame:
-    """(filename, metadata): the fixed keys, each null where it can't be read."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            rows = []
-            for name, content in zip(batch.filename, batch.content, strict=True):
-                try:
-                    found = opener(content)[2]
-                except Exception:
-                    found = {}
-                rows.append((name, {k: None if found.get(k) is None else str(found[k]) for k in METADATA_KEYS}))
-            yield pd.DataFrame(rows, columns=["filename", "metadata"])
-
-    return files.select("filename", "content").mapInPandas(run, "filename string, metadata map<string,string>")
-
-
 def write_json(df: DataFrame, path: str, mode: str = "overwrite") -> None:
     df.write.mode(mode).option("ignoreNullFields", "false").json(path)
 
@@ -131,9 +55,9 @@ def read_json(spark: SparkSession, path: str, schema: str, multi_line: bool = Fa
 
 
 def round_trip_equal(df: DataFrame, path: str, kind: str = "json") -> bool:
-    """Whether what was written reads back as the same rows, repeats included."""
+    """Whether what was written reads back as the same rows, repeats included: one pass over each side."""
     again = df.sparkSession.read.schema(df.schema).format(kind).load(path)
-    return df.exceptAll(again).isEmpty() and again.exceptAll(df).isEmpty()
+    return checks.checksum(df) == checks.checksum(again)
 
 
 def artifact_path(root: str, stage: str, corpus_version: str, document_id: str, kind: str) -> str:
@@ -151,16 +75,27 @@ def embedding_dir(provider: str) -> str:
     return known[provider]
 
 
-def write_partitioned(df: DataFrame, path: str, corpus_version: str, kind: str = "parquet") -> None:
-    """One folder for each corpus version and document, so that readers of one document open no other."""
+def write_partitioned(df: DataFrame, path: str, corpus_version: str, kind: str = "parquet", within: tuple[str, ...] = ()) -> None:
+    """One folder for each corpus version and document (and the columns `within`), so that readers of one document open no other.
+
+    Rows are dealt by document first, so a task opens few files; a large
+    document is written by several tasks.
+    """
     if "document_id" not in df.columns:
         raise IngestionError("rows must carry a document_id")
-    df.withColumn("corpus_version", F.lit(corpus_version)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("corpus_version", "document_id").format(kind).save(path)
+    dealt = df.withColumn("corpus_version", F.lit(corpus_version)).hint("rebalance", F.col("document_id"))
+    dealt.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("corpus_version", *within, "document_id").format(kind).save(path)
 
 
-def read_partitioned(spark: SparkSession, path: str, corpus_version: str, document_id: str | None = None, kind: str = "parquet") -> DataFrame:
-    """A corpus version's rows, or one document's; other folders are not listed for reading."""
-    rows = spark.read.format(kind).load(path).where(F.col("corpus_version") == corpus_version)
+def read_partitioned(spark: SparkSession, path: str, corpus_version: str, document_id: str | None = None, kind: str = "parquet", schema: StructType | None = None) -> DataFrame:
+    """A corpus version's rows, or one document's; other folders are not listed for reading.
+
+    With a schema, ids stay texts even where all of them look like numbers.
+    """
+    reader = spark.read.format(kind)
+    if schema is not None:
+        reader = reader.schema(StructType([*(f for f in schema.fields if f.name != "corpus_version"), StructField("corpus_version", StringType())]))
+    rows = reader.load(path).where(F.col("corpus_version") == corpus_version)
     return rows.where(F.col("document_id") == document_id) if document_id is not None else rows
 
 
