@@ -7,19 +7,20 @@ from pyspark.sql import functions as F
 
 from .. import checks
 from ..errors import ContextError
+from ..staging import Staging
 
 
 def valid_results(results: DataFrame) -> DataFrame:
     """Required fields must be there, and a chunk appears once for each query.
 
-    The results are kept, as the checks and what follows all read them: a few
-    rows for each query, which a ranking made.
+    The results are written, as the check and what follows both read them: a few
+    rows for each query, which a ranking made. One job checks all.
     """
-    results = results.persist()
+    results = Staging(results.sparkSession, "results").write(results, "results")
     missing = F.col("chunk_id").isNull() | (F.col("chunk_id") == "") | F.col("document_id").isNull() | (F.col("document_id") == "")
     missing = missing | F.col("page_number").isNull() | F.col("score").isNull() | F.col("text").isNull()
-    checks.none(results, missing, "retrieval result with an empty field", ContextError, "query_id")
-    return checks.unique(results, ["query_id", "chunk_id"], ContextError)
+    checks.require(checks.rules(results, {"retrieval result with an empty field": missing}, ["query_id", "chunk_id"], "query_id"), ContextError)
+    return results
 
 
 def budgeted(results: DataFrame, max_chars: int | None) -> DataFrame:

@@ -28,16 +28,39 @@ def orphans(chunks: DataFrame, embeddings: DataFrame) -> DataFrame:
     return sided.select("chunk_id", F.when(F.col("r").isNull(), "chunk without vector").otherwise("vector without chunk").alias("side"))
 
 
+#: Rules of an index, in the order in which they are reported.
+RULES = ("chunk repeated", "vector repeated", "chunk without vector", "vector without chunk", "bad vector", "chunk and vector of different documents", "vectors of different dimensions")
+
+
+def index_checks(chunks: DataFrame, embeddings: DataFrame, dimension: int | None = None) -> DataFrame:
+    """(rule, violations, example): what keeps two sides from being an index, one row for each of RULES.
+
+    Both sides are read once: their ids, documents and the vectors' state meet
+    by chunk_id, and one aggregate counts all rules. Examples are the smallest ids.
+    """
+    size = F.lit(dimension) if dimension else F.size("vector")
+    left = chunks.select("chunk_id", F.lit(1).alias("l"), F.lit(0).alias("r"), "document_id", F.lit(None).cast("boolean").alias("bad"), F.lit(None).cast("int").alias("d"))
+    right = embeddings.select("chunk_id", F.lit(0).alias("l"), F.lit(1).alias("r"), "document_id", V.problem(F.col("vector"), size).isNotNull().alias("bad"), F.size("vector").alias("d"))
+    of = lambda side: F.collect_set(F.when(F.col(side) == 1, F.coalesce("document_id", F.lit("")))).alias(f"of_{side}")  # noqa: E731  a value a row, as ids should be unique
+    ids = left.unionByName(right).groupBy("chunk_id").agg(F.sum("l").alias("l"), F.sum("r").alias("r"), F.max("bad").alias("bad"), F.max("d").alias("d"), of("l"), of("r"))
+    broken = [
+        F.col("l") > 1, F.col("r") > 1, F.col("r") == 0, F.col("l") == 0, F.coalesce("bad", F.lit(False)),
+        (F.col("l") > 0) & (F.col("r") > 0) & (F.col("of_l") != F.col("of_r")),
+    ]
+    totals = ids.agg(
+        *[c for i, b in enumerate(broken) for c in (F.count_if(b).alias(f"n{i}"), F.min(F.when(b, F.col("chunk_id"))).alias(f"e{i}"))],
+        F.min("d").alias("least"), F.max("d").alias("most"), F.max_by("chunk_id", F.struct("d", "chunk_id")).alias("widest"),
+    )
+    rows = [F.struct(F.lit(RULES[i]).alias("rule"), F.col(f"n{i}").alias("violations"), F.col(f"e{i}").alias("example")) for i in range(len(broken))]
+    differ = F.coalesce(F.col("least") != F.col("most"), F.lit(False))
+    rows.append(F.struct(F.lit(RULES[-1]).alias("rule"), differ.cast("long").alias("violations"), F.when(differ, F.col("widest")).alias("example")))
+    return totals.select(F.inline(F.array(*rows)))
+
+
 def build_index(chunks: DataFrame, embeddings: DataFrame, catalog: DataFrame | None = None, dimension: int | None = None) -> DataFrame:
-    """(chunk_id, document_id, page_number, text, vector, norm[, document_name]); any disagreement raises."""
-    checks.unique(chunks, ["chunk_id"], RetrievalError)
-    checks.unique(embeddings, ["chunk_id"], RetrievalError)
-    checks.none(orphans(chunks, embeddings), F.lit(True), "chunks and vectors disagree", RetrievalError, "chunk_id")
-    size = dimension or checks.one_value(embeddings.select(F.size("vector").alias("d")), "d", "vector dimension", RetrievalError)
-    checks.none(embeddings, V.problem(F.col("vector"), size).isNotNull(), "bad vectors", RetrievalError, "chunk_id")
-    given = embeddings.select("chunk_id", F.col("document_id").alias("of"), "vector")
-    joined = chunks.select("chunk_id", "document_id", "page_number", "text").join(given, "chunk_id")
-    checks.none(joined, ~F.col("document_id").eqNullSafe(F.col("of")), "chunk and vector of different documents", RetrievalError, "chunk_id")
+    """(chunk_id, document_id, page_number, text, vector, norm[, document_name]); any disagreement raises, after one job."""
+    checks.require(index_checks(chunks, embeddings, dimension), RetrievalError)
+    joined = chunks.select("chunk_id", "document_id", "page_number", "text").join(embeddings.select("chunk_id", "vector"), "chunk_id")
     index = joined.select("chunk_id", "document_id", "page_number", "text", "vector", V.norm(F.col("vector")).alias("norm"))
     return with_names(index, catalog) if catalog is not None else index
 

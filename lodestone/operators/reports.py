@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from .. import checks
 from ..errors import IngestionError
+from ..staging import Staging
 
 
 def ingestion_report(pages: DataFrame, chunks: DataFrame, embeddings: DataFrame) -> DataFrame:
@@ -15,8 +16,9 @@ def ingestion_report(pages: DataFrame, chunks: DataFrame, embeddings: DataFrame)
     c = chunks.groupBy("document_id").agg(F.count("*").alias("total_chunks"))
     e = embeddings.groupBy("document_id").agg(F.count("*").alias("embedded_chunks"))
     joined = p.join(c, "document_id", "full_outer").join(e, "document_id", "full_outer").na.fill(0, ["total_chunks", "embedded_chunks"])
-    checks.none(joined, F.col("total_pages").isNull(), "chunks or vectors of an unknown document", IngestionError, "document_id")
-    checks.none(joined, F.col("total_chunks") != F.col("embedded_chunks"), "chunk and vector counts differ", IngestionError, "document_id")
+    joined = Staging(pages.sparkSession, "report").write(joined, "counts")  # a row for each document, counted once
+    broken = {"chunks or vectors of an unknown document": F.col("total_pages").isNull(), "chunk and vector counts differ": F.col("total_chunks") != F.col("embedded_chunks")}
+    checks.require(checks.rules(joined, broken, ["document_id"], "document_id"), IngestionError)
     failed = F.size("failed_pages")
     return joined.select(
         "document_id", "total_pages", (F.col("total_pages") - failed).alias("parsed_pages"), "failed_pages", "total_chunks", "embedded_chunks",

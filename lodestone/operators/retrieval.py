@@ -12,6 +12,7 @@ from .. import checks
 from ..errors import RetrievalError
 from ..functions import text as T
 from ..functions import vectors as V
+from . import blockwise
 
 #: Queries are matched with the index in blocks of so many; one block is broadcast, more are dealt by block.
 QUERY_BLOCK = 1000
@@ -23,8 +24,8 @@ def _rank(scored: DataFrame) -> DataFrame:
 
 def valid_queries(queries: DataFrame) -> DataFrame:
     """Queries must be non-blank texts with unique ids."""
-    checks.none(queries, ~T.non_blank(F.col("query")), "blank query", RetrievalError, "query_id")
-    return checks.unique(queries, ["query_id"], RetrievalError)
+    checks.require(checks.rules(queries, {"blank query": ~T.non_blank(F.col("query"))}, ["query_id"], "query_id"), RetrievalError)
+    return queries
 
 
 def valid_top_k(top_k: object, records: int) -> None:
@@ -64,31 +65,28 @@ def top(scored: DataFrame, top_k: int) -> DataFrame:
     return _rank(scored).where(F.col("rank") <= top_k)
 
 
-def search(index: DataFrame, queries: DataFrame, top_k: int = 5, on: str | None = None) -> DataFrame:
-    """(query_id, rank, chunk_id, document_id, page_number, score, text[, document_name]), best first, ties by chunk_id."""
+def search(index: DataFrame, queries: DataFrame, top_k: int = 5, on: str | None = None, digits: int | None = None) -> DataFrame:
+    """(query_id, rank, chunk_id, document_id, page_number, score, text[, document_name]), best first, ties by chunk_id.
+
+    Each task keeps the best top_k of its own records for every query; the few
+    that leave the tasks are ranked. Scores may be rounded to `digits` first.
+    """
     if on is None:
         valid_top_k(top_k, index.count())
     else:
         checks.positive_int(top_k, "top_k", RetrievalError)
-    best = top(scores(index, queries, on), top_k)
+    best = top(blockwise.best_dense(index, queries, top_k, on, digits=digits), top_k)
     carried = [c for c in ("text", "document_name") if c in index.columns]
-    return best.join(index.select("chunk_id", *carried), "chunk_id").select("query_id", "rank", "chunk_id", "document_id", "page_number", "score", *carried)
+    named = best.join(index.select("chunk_id", *carried), "chunk_id") if carried else best
+    return named.select("query_id", "rank", "chunk_id", "document_id", "page_number", "score", *carried)
 
 
-def lexical_scores(index: DataFrame, queries: DataFrame, records: DataFrame, digits: int | None = None) -> DataFrame:
-    """Scores of sparse unit vectors: an equi-join on buckets and a sum.
+def lexical_search(index: DataFrame, queries: DataFrame, records: DataFrame, top_k: int = 5, digits: int | None = None) -> DataFrame:
+    """(query_id, rank, chunk_id, document_id, page_number, score) of sparse unit vectors, best first, ties by chunk_id.
 
     `index` is (chunk_id, bucket, weight), `queries` is (query_id, bucket,
     weight), `records` is (chunk_id, document_id, page_number). Records that
-    share no bucket with a query score 0 and are kept. `digits` rounds scores
-    before they are ranked, as sums over shuffles depend on their order.
+    share no bucket with a query score 0 and fill up what it is short of.
     """
-    products = queries.withColumnRenamed("weight", "qw").join(index, "bucket").groupBy("query_id", "chunk_id").agg(F.sum(F.col("qw") * F.col("weight")).alias("score"))
-    names = queries.select("query_id").distinct()
-    blocks = -(-max(1, names.count()) // QUERY_BLOCK)
-    names = names.withColumn("block", F.pmod(F.xxhash64("query_id"), F.lit(blocks)))
-    dealt = records.select("chunk_id", "document_id", "page_number", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))).alias("block"))
-    pairs = dealt.join(F.broadcast(names) if blocks == 1 else names, "block").drop("block")
-    score = F.coalesce("score", F.lit(0.0))
-    scored = pairs.join(products, ["query_id", "chunk_id"], "left").withColumn("score", F.round(score, digits) if digits is not None else score)
-    return scored.select("query_id", "chunk_id", "document_id", "page_number", "score")
+    checks.positive_int(top_k, "top_k", RetrievalError)
+    return top(blockwise.best_sparse(index, queries, records, top_k, digits), top_k).select("query_id", "rank", "chunk_id", "document_id", "page_number", "score")

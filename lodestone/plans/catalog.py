@@ -7,11 +7,15 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .. import schemas
 from ..functions import text as T
-from ..operators import answer, chunking, context, embedding, evaluation, layout, pages, records, reports, retrieval
+from ..operators import answer, blockwise, chunking, context, embedding, evaluation, layout, pages, records, reports, retrieval
 from ..operators import index as idx
+from ..operators.calls import AnswerTable, call_key
+from ..sources import corpus, files, ingest
+from ..staging import Staging
 from . import fixtures as fx
-from .run import run_queries
+from .run import responses, run_queries, traces
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -90,6 +94,18 @@ UNION ALL SELECT document_id, 'control_char_anomalies', 'info', 'pages: none' FR
 UNION ALL SELECT document_id, 'low_text_pages', 'info', 'pages: ' || coalesce('[' || l || ']', 'none') FROM k)"""
 
 
+@published(
+    f"""WITH {fx.sql_pages()}, p AS (SELECT document_id, page_number, CASE WHEN page_number % 7 = 0 THEN '' WHEN page_number % 11 = 0 THEN NULL ELSE filename END AS filename FROM pages)
+SELECT document_id, page_number, unnest(['missing field ''page_width''', 'missing field ''extraction_error''']) AS problem FROM p
+UNION ALL SELECT document_id, page_number, 'empty traceability field ''filename''' FROM p WHERE coalesce(filename, '') = ''"""
+)
+def provenance_check(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages of a table that lacks two of the eleven fields, some of them without a filename."""
+    number = F.col("page_number")
+    found = fx.page_table(spark, sf_dir).drop("page_width", "extraction_error").withColumn("filename", F.when(number % 7 == 0, "").when(number % 11 == 0, None).otherwise(F.col("filename")))
+    return pages.provenance_problems(found)
+
+
 @published(f"{_CHECKS_SQL} SELECT * FROM checks")
 def page_validation_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = fx.page_table(spark, sf_dir)
@@ -175,7 +191,7 @@ def hash_embedding_blake2b(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _sha(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, embedding.HashProvider]:
-    return fx.chunk_table(spark, sf_dir).persist(), embedding.HashProvider(hasher=embedding.sha_bucket)
+    return fx.staged_chunks(spark, sf_dir), embedding.HashProvider(hasher=embedding.sha_bucket)
 
 
 @published(f"WITH {fx.sql_chunks()}, {fx.sql_sparse('chunks', 'chunk_id', 'cv')} SELECT chunk_id, bucket, round(weight, 6) AS weight FROM cv")
@@ -186,7 +202,7 @@ def hash_embedding_sha(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @published(f"WITH {fx.sql_chunks()}, {fx.sql_sparse('chunks', 'chunk_id', 'cv', True)} SELECT chunk_id, bucket, round(weight, 6) AS weight FROM cv")
 def idf_hash_embedding_sha(spark: SparkSession, sf_dir: str) -> DataFrame:
-    chunks = fx.chunk_table(spark, sf_dir).persist()
+    chunks = fx.staged_chunks(spark, sf_dir)
     provider = embedding.TermWeightedProvider(chunks, "chunk_id", "text", hasher=embedding.sha_bucket)
     return provider.embed_sparse(chunks, "chunk_id", "text").select("chunk_id", "bucket", F.round("weight", 6).alias("weight"))
 
@@ -220,6 +236,26 @@ def index_orphans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return idx.orphans(rows.where("vec_id % 13 <> 0"), rows.where("vec_id % 11 <> 0"))
 
 
+@published(
+    f"""WITH {fx.SQL_VECTORS}, c AS (SELECT chunk_id, vec_id FROM idx WHERE vec_id % 13 <> 0 UNION ALL SELECT chunk_id, vec_id FROM idx WHERE vec_id % 13 <> 0 AND vec_id % 17 = 0),
+e AS (SELECT chunk_id, vec_id, vec_id % 19 = 0 AS bad FROM idx WHERE vec_id % 11 <> 0 UNION ALL SELECT chunk_id, vec_id, vec_id % 19 = 0 FROM idx WHERE vec_id % 11 <> 0 AND vec_id % 23 = 0),
+k AS (SELECT chunk_id, vec_id, (SELECT count(*) FROM c WHERE c.chunk_id = idx.chunk_id) AS l, (SELECT count(*) FROM e WHERE e.chunk_id = idx.chunk_id) AS r FROM idx),
+v AS (SELECT 'chunk repeated' AS rule, chunk_id FROM k WHERE l > 1 UNION ALL SELECT 'vector repeated', chunk_id FROM k WHERE r > 1 UNION ALL SELECT 'chunk without vector', chunk_id FROM k WHERE l > 0 AND r = 0
+  UNION ALL SELECT 'vector without chunk', chunk_id FROM k WHERE r > 0 AND l = 0 UNION ALL SELECT 'bad vector', chunk_id FROM k WHERE r > 0 AND vec_id % 19 = 0
+  UNION ALL SELECT 'chunk and vector of different documents', chunk_id FROM k WHERE l > 0 AND r > 0 AND vec_id % 29 = 0),
+names AS (SELECT unnest({list(idx.RULES)}) AS rule)
+SELECT rule, count(chunk_id) AS violations, min(chunk_id) AS example FROM names LEFT JOIN v USING (rule) GROUP BY rule"""
+)
+def index_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every rule of an index over two sides with repeats, gaps, bad vectors and wrong documents."""
+    rows = fx.vector_index(spark, sf_dir)
+    chunks, vectors = rows.where("vec_id % 13 <> 0"), rows.where("vec_id % 11 <> 0")
+    chunks = chunks.union(chunks.where("vec_id % 17 = 0"))
+    vectors = vectors.union(vectors.where("vec_id % 23 = 0")).withColumn("vector", F.when(F.col("vec_id") % 19 == 0, F.transform("vector", lambda x: x * 0)).otherwise(F.col("vector")))
+    vectors = vectors.withColumn("document_id", F.when(F.col("vec_id") % 29 == 0, "elsewhere").otherwise(F.col("document_id")))
+    return idx.index_checks(chunks, vectors)
+
+
 @published(f"WITH {fx.SQL_VECTORS} SELECT count(DISTINCT document_id) AS document_count, count(*) AS chunk_count FROM idx")
 def corpus_union_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     index = idx.build_index(*_two_sides(spark, sf_dir))
@@ -252,24 +288,24 @@ def routed_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return retrieval.search(fx.vector_index(spark, sf_dir), fx.vector_queries(spark, sf_dir), 5, on="document_id")
 
 
-def _lexical(spark: SparkSession, sf_dir: str, idf: bool = False) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(chunks, queries, all scores of queries with chunks)."""
-    chunks, queries = fx.chunk_table(spark, sf_dir).persist(), fx.text_queries(spark, sf_dir)
+def _lexical(spark: SparkSession, sf_dir: str, idf: bool = False) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """(chunks, queries, sparse vectors of the chunks, sparse vectors of the queries)."""
+    chunks, queries = fx.staged_chunks(spark, sf_dir), fx.text_queries(spark, sf_dir)
     provider = embedding.TermWeightedProvider(chunks, "chunk_id", "text", hasher=embedding.sha_bucket) if idf else embedding.HashProvider(hasher=embedding.sha_bucket)
-    scored = retrieval.lexical_scores(provider.embed_sparse(chunks, "chunk_id", "text"), provider.embed_sparse(queries, "query_id", "query"), chunks, 9)
-    return chunks, queries, scored
+    return chunks, queries, provider.embed_sparse(chunks, "chunk_id", "text"), provider.embed_sparse(queries, "query_id", "query")
 
 
 def _lexical_results(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """(queries, the best five with their texts and names)."""
-    chunks, queries, scored = _lexical(spark, sf_dir)
-    results = retrieval.top(scored, 5).join(chunks.select("chunk_id", "text"), "chunk_id")
+    chunks, queries, rows, asked = _lexical(spark, sf_dir)
+    results = retrieval.lexical_search(rows, asked, chunks, 5, 9).join(chunks.select("chunk_id", "text"), "chunk_id")
     return queries, idx.with_names(results, fx.catalog(spark, sf_dir))
 
 
 @published(f"WITH {fx.sql_lexical()} SELECT query_id, rank, chunk_id, document_id, page_number, score FROM ranked WHERE rank <= 5")
 def lexical_topk_sha(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return retrieval.top(_lexical(spark, sf_dir)[2], 5)
+    chunks, _, rows, asked = _lexical(spark, sf_dir)
+    return retrieval.lexical_search(rows, asked, chunks, 5, 9)
 
 
 # --- context and answers ---------------------------------------------------------
@@ -359,12 +395,14 @@ def _scripted(prompt: str) -> str:
     return f"{answer.ABSTAIN} too long" if len(prompt) % 2 else f"See {answer.RANK_LABEL}: 1 and {answer.RANK_LABEL}: 9."
 
 
-@published(
-    f"""WITH {_SQL_MARKED}, b AS (SELECT query_id, array_to_string(list(chunk_id ORDER BY rank), ',') AS retrieved, array_to_string(list(chunk_id ORDER BY rank) FILTER (kept), ',') AS used,
+_SQL_RUN = f"""WITH {_SQL_MARKED}, b AS (SELECT query_id, array_to_string(list(chunk_id ORDER BY rank), ',') AS retrieved, array_to_string(list(chunk_id ORDER BY rank) FILTER (kept), ',') AS used,
   coalesce(array_to_string(list(chunk_id ORDER BY rank) FILTER (NOT kept), ','), '') AS truncated, array_to_string(list(document_id || '/' || page_number ORDER BY rank) FILTER (kept), ',') AS sources,
   count(*) FILTER (kept) AS n, string_agg('{answer.RANK_LABEL}: ' || rank || {_NL} || '{answer.CHUNK_LABEL}: ' || chunk_id || {_NL} || '{answer.DOCUMENT_LABEL}: ' || document_id || {_NL} || '{answer.PAGE_LABEL}: ' || page_number || {_NL} || '{answer.TEXT_LABEL}:' || {_NL} || text || {_NL} || '---', {_NL} ORDER BY rank) FILTER (kept) AS e FROM marked GROUP BY query_id),
-p AS (SELECT *, length('{answer.HEADER}' || {_NL} || 'EVALUATED_QUESTION:' || {_NL} || items.text || {_NL} || {_NL} || 'TOTAL_SUPPLIED_EVIDENCE_ITEMS: ' || n || {_NL} || 'SUPPLIED_EVIDENCE:' || {_NL} || {_NL} || e || {_NL} || {_NL} || '{_SQL_FOOTER}' || {_NL}) % 2 = 1 AS odd FROM items JOIN b USING (query_id))
-SELECT query_id, CAST(5 AS INT) AS top_k, retrieved, used, truncated, sources, CASE WHEN odd THEN 'abstained' ELSE 'ok' END AS status, odd AS abstained, CASE WHEN odd THEN '' ELSE 'rank=9' END AS invalid FROM p"""
+p AS (SELECT *, length('{answer.HEADER}' || {_NL} || 'EVALUATED_QUESTION:' || {_NL} || items.text || {_NL} || {_NL} || 'TOTAL_SUPPLIED_EVIDENCE_ITEMS: ' || n || {_NL} || 'SUPPLIED_EVIDENCE:' || {_NL} || {_NL} || e || {_NL} || {_NL} || '{_SQL_FOOTER}' || {_NL}) % 2 = 1 AS odd FROM items JOIN b USING (query_id))"""
+
+
+@published(
+    f"""{_SQL_RUN} SELECT query_id, CAST(5 AS INT) AS top_k, retrieved, used, truncated, sources, CASE WHEN odd THEN 'abstained' ELSE 'ok' END AS status, odd AS abstained, CASE WHEN odd THEN '' ELSE 'rank=9' END AS invalid FROM p"""
 )
 def execution_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     queries, results = _lexical_results(spark, sf_dir)
@@ -378,13 +416,31 @@ def execution_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@published()
-def run_queries_trace(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All benchmark items end to end with BLAKE2b hashing and a scripted model; what each run used and answered."""
-    chunks, provider = fx.chunk_table(spark, sf_dir), embedding.HashProvider()
+def _text_index(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, embedding.HashProvider]:
+    """The written index of all chunks by hashed words."""
+    chunks, provider = fx.staged_chunks(spark, sf_dir), embedding.HashProvider(hasher=embedding.sha_bucket)
     index = idx.build_index(chunks, embedding.generate_embeddings(chunks, provider), fx.catalog(spark, sf_dir))
-    run = run_queries(index, fx.text_queries(spark, sf_dir), provider, answer.ScriptedProvider(_scripted), 5, MAX_CHARS)
-    return run.answers.select("query_id", "evidence_count", "answer", "status", "attempts", F.to_json("invalid_citations").alias("invalid_citations"))
+    return Staging(spark, "index").write(index, "index"), provider
+
+
+@published(
+    f"""{_SQL_RUN} SELECT query_id, md5('trace:' || query_id) AS run_id, 'fixed' AS "timestamp", CAST(5 AS INT) AS top_k, retrieved, used, truncated, sources, CAST(n AS INT) AS evidence_count, CASE WHEN odd THEN 'abstained' ELSE 'ok' END AS status, odd AS abstained,
+  CASE WHEN odd THEN '{answer.ABSTAIN} too long' ELSE 'See {answer.RANK_LABEL}: 1 and {answer.RANK_LABEL}: 9.' END AS answer, CAST(1 AS INT) AS attempts, CASE WHEN odd THEN '' ELSE 'rank=9' END AS invalid, CAST(1 AS BIGINT) AS calls FROM p"""
+)
+def run_queries_trace(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All benchmark items end to end with a scripted model: responses and traces of one written run, and how often each prompt was answered."""
+    index, provider = _text_index(spark, sf_dir)
+    answers = AnswerTable.temporary(spark)
+    run = run_queries(index, fx.text_queries(spark, sf_dir), provider, answer.ScriptedProvider(_scripted), 5, MAX_CHARS, answers=answers, run_id="trace", timestamp="fixed", digits=9)
+    told, traced = responses(run.runs, run.run_id), traces(run.runs, run.run_id)
+    prompts = traced.select("query_id", call_key(F.col("generation_trace.prompt_text"), f"{answer.ScriptedProvider.name}/{answer.ScriptedProvider.model}").alias("key"))
+    calls = prompts.join(answers.known(), "key").groupBy("query_id").agg(F.count("*").alias("calls"))
+    field = lambda c, name: F.array_join(F.transform(c, lambda x: x[name]), ",")
+    return told.join(traced.select("query_id", "context_trace.evidence_count"), "query_id").join(calls, "query_id").select(
+        "query_id", "run_id", "timestamp", "retrieval.top_k", field("retrieval.chunks", "chunk_id").alias("retrieved"), F.array_join("context.chunk_ids_used", ",").alias("used"), F.array_join("context.truncated_chunk_ids", ",").alias("truncated"),
+        F.array_join(F.transform("sources", lambda s: F.concat_ws("/", s["document_id"], s["page_number"].cast("string"))), ",").alias("sources"), "evidence_count", "status", "abstained", "answer", "attempts",
+        F.array_join(F.transform("invalid_citations", lambda b: F.concat_ws("=", b["kind"], b["value"])), ",").alias("invalid"), "calls",
+    )
 
 
 # --- evaluation -------------------------------------------------------------------
@@ -397,12 +453,11 @@ cases AS (SELECT query_id AS case_id, list(chunk_id) AS expected FROM qs JOIN id
 
 
 def _vector_cases(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """(ranking, cases): each query's relevant records are the others of its label."""
+    """(ranks of the relevant records, cases): each query's relevant records are the others of its label."""
     index, queries = fx.vector_index(spark, sf_dir), fx.vector_queries(spark, sf_dir)
-    others = retrieval.scores(index, queries).where("query_id <> chunk_id")
-    ranking = retrieval.full_ranking(others, 5).withColumnRenamed("query_id", "case_id")
     same = queries.select(F.col("query_id").alias("case_id"), "document_id").join(index.select("document_id", "chunk_id"), "document_id").where("case_id <> chunk_id")
-    return ranking, same.groupBy("case_id").agg(F.collect_list("chunk_id").alias("expected_chunk_ids"))
+    cases = same.groupBy("case_id").agg(F.collect_list("chunk_id").alias("expected_chunk_ids"))
+    return evaluation.expected_ranks(index, queries, cases, others=True), cases
 
 
 @published(f"WITH {_SQL_VECTOR_CASES}, {_SQL_METRICS} SELECT * FROM metrics")
@@ -431,9 +486,10 @@ _SQL_TEXT_CASES = """cases AS (SELECT query_id AS case_id, list(chunk_id) AS exp
 
 def _text_metrics(spark: SparkSession, sf_dir: str, idf: bool) -> DataFrame:
     """Metrics of the benchmark items that a chunk holds whole."""
-    chunks, queries, scored = _lexical(spark, sf_dir, idf)
-    held = chunks.join(F.broadcast(queries), F.contains("text", "query")).groupBy(F.col("query_id").alias("case_id")).agg(F.collect_list("chunk_id").alias("expected_chunk_ids"))
-    return evaluation.case_metrics(retrieval.full_ranking(scored, 5).withColumnRenamed("query_id", "case_id"), held)
+    chunks, queries, rows, asked = _lexical(spark, sf_dir, idf)
+    held = evaluation.holders(chunks, queries)
+    cases = held.groupBy(F.col("query_id").alias("case_id")).agg(F.collect_list("chunk_id").alias("expected_chunk_ids"))
+    return evaluation.case_metrics(blockwise.sparse_ranks(rows, asked, chunks, held, 9).withColumnRenamed("query_id", "case_id"), cases)
 
 
 _SQL_PROVIDERS = [f"WITH {fx.sql_lexical(idf)}, {_SQL_TEXT_CASES}, {_SQL_METRICS} SELECT '{name}' AS provider, * FROM metrics" for name, idf in (("hash", False), ("idf", True))]
@@ -469,6 +525,41 @@ def ingestion_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return report.withColumn("failed_pages", joined("failed_pages")).withColumn("parsed_pages", parsed)
 
 
+def _artifacts(spark: SparkSession, sf_dir: str) -> tuple[str, dict[str, embedding.EmbeddingProvider]]:
+    """The folder of written pages, chunks, vectors and reports, and the providers of their model."""
+    provider = embedding.HashProvider(hasher=embedding.sha_bucket)
+    staging = Staging(spark, "artifacts")
+    files.write_partitioned(fx.page_table(spark, sf_dir).select(*[c.split()[0] for c in schemas.PAGES.split(", ")]), f"{staging.root}/pages", "v1")
+    ingest.write_report(spark, files.read_partitioned(spark, f"{staging.root}/pages", "v1"), staging.root, "v1", provider)
+    return staging.root, {provider.name: provider}
+
+
+@published(f"WITH {fx.sql_chunks()} SELECT document_id, count(*) AS n_chunks, count(DISTINCT page_number) AS n_pages, '{embedding.HashProvider.name}' AS model_name, CAST(256 AS INT) AS dimension, sum(length(text))::BIGINT AS chars FROM chunks GROUP BY document_id")
+def corpus_load(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A corpus written as artifacts, loaded again: pages chunked anew and joined with the vectors of their one model."""
+    root, providers = _artifacts(spark, sf_dir)
+    loaded = corpus.load_corpus(spark, root, "v1", providers)
+    counted = loaded.index.groupBy("document_id").agg(F.count("*").alias("n_chunks"), F.count_distinct("page_number").alias("n_pages"), F.max(F.size("vector")).alias("dimension"), F.sum(F.length("text")).alias("chars"))
+    return counted.withColumn("model_name", F.lit(loaded.embedder.name))
+
+
+@published(
+    f"""WITH {fx.sql_lexical()}, pairs AS (SELECT query_id, document_id, chunk_id FROM items JOIN chunks ON contains(chunks.text, items.text)),
+cases AS (SELECT query_id || '/' || document_id AS case_id, query_id, document_id, list(chunk_id) AS expected FROM pairs GROUP BY ALL),
+ranking AS (SELECT case_id, chunk_id, CAST(row_number() OVER (PARTITION BY case_id ORDER BY rank) AS INT) AS rank FROM cases JOIN ranked USING (query_id, document_id)),
+{_SQL_METRICS} SELECT * FROM metrics"""
+)
+def corpus_benchmark(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A file of cases, one for each benchmark item and document that holds it, against the written corpus."""
+    root, providers = _artifacts(spark, sf_dir)
+    queries, chunks = fx.text_queries(spark, sf_dir), corpus.load_corpus(spark, root, "v1", providers).chunks
+    held = evaluation.holders(chunks, queries).join(chunks.select("chunk_id", "document_id"), "chunk_id").join(queries, "query_id")
+    cases = held.groupBy(F.concat_ws("/", "query_id", "document_id").alias("case_id"), "document_id", "query").agg(F.collect_list("chunk_id").alias("expected_chunk_ids"))
+    files.write_json(cases.withColumn("ambiguous", F.lit(False)), f"{root}/cases")
+    found = corpus.run_corpus_benchmark(spark, root, "v1", f"{root}/cases", providers, digits=9)
+    return found.drop("full_ranks").withColumn("relevant_ranks", joined("relevant_ranks"))
+
+
 # --- layout ------------------------------------------------------------------------
 
 

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators import chunking, pages
+from ..staging import Staging
 
 QUERY_STEP = 20  # searches take every row whose id is divisible by it as a query
 
@@ -16,19 +17,34 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def raw_pages(spark: SparkSession, sf_dir: str, double_newlines: bool = False) -> DataFrame:
-    """Documents as the pages of their source; some are marked failed, some blanked."""
-    docs = table(spark, sf_dir, "documents")
+    """Documents as the pages of their source; some are marked failed, some blanked.
+
+    Pages are numbered by ranges of ids, without their texts, so that no task
+    sorts a whole source.
+    """
+    docs = table(spark, sf_dir, "documents").join(page_numbers(spark, sf_dir), "doc_id")
     text = F.replace("text", F.lit("\n"), F.lit("\n\n")) if double_newlines else F.col("text")
     failed = F.col("doc_id") % 97 == 0
     return docs.select(
         F.col("source").alias("document_id"),
         F.concat("source", F.lit(".txt")).alias("filename"),
-        F.row_number().over(Window.partitionBy("source").orderBy("doc_id")).alias("page_number"),
+        "page_number",
         F.when(failed | (F.col("doc_id") % 89 == 0), "").otherwise(text).alias("text"),
         F.when(failed, "failed").alias("extraction_status"),
+        F.lit(None).cast("string").alias("extraction_error"),
+        F.lit(None).cast("double").alias("page_width"),
+        F.lit(None).cast("double").alias("page_height"),
     )
 
 
+def page_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc_id, page_number): the place of each document in its source, from 1."""
+    ids = table(spark, sf_dir, "documents").select("doc_id", "source")
+    placed = Staging(spark, "pages").numbered(ids, [F.col("source"), F.col("doc_id")], "place", "ids")
+    first = placed.groupBy("source").agg(F.min("place").alias("first"))
+    return placed.join(first, "source").select("doc_id", (F.col("place") - F.col("first") + 1).cast("int").alias("page_number"))
+
+
 def page_table(spark: SparkSession, sf_dir: str, double_newlines: bool = False) -> DataFrame:
     return pages.page_records(raw_pages(spark, sf_dir, double_newlines))
 
@@ -37,6 +53,11 @@ def chunk_table(spark: SparkSession, sf_dir: str, double_newlines: bool = False)
     return chunking.chunk_pages(page_table(spark, sf_dir, double_newlines))
 
 
+def staged_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The chunks, written once for what reads them more than once."""
+    return Staging(spark, "chunks").write(chunk_table(spark, sf_dir), "chunks")
+
+
 def expected_pages(found: DataFrame) -> DataFrame:
     """The manifest of the pages; one document is said to have a page more."""
     return found.groupBy("document_id").agg((F.count("*") + F.when(F.col("document_id") == "src3", 1).otherwise(0)).alias("expected_pages")).withColumn("source_sha256", F.upper(F.sha2("document_id", 256)))

@@ -58,18 +58,6 @@ def test_models_run_by_batch(chunks):
     for bad in ([0.0, 0.0], [float("nan"), 1.0], [1.0]):
         with pytest.raises(EmbeddingError):
             embedding.generate_embeddings(chunks, embedding.ModelProvider("bad", 2, lambda bad=bad: lambda texts: [bad for _ in texts]))
-    tried = []
-
-    class Limited(Exception):
-        status = 429
-
-    def post(texts):
-        tried.append(len(texts))
-        if len(tried) == 1:
-            raise Limited
-        return [[1.0, 2.0] for _ in texts]
-
-    assert len(embedding.remote_model("r", 2, post, batch=2).load()(["a", "b", "c"])) == 3 and tried == [2, 2, 1]
 
 
 def test_index_checks(spark, chunks, built):
@@ -173,27 +161,6 @@ def test_no_evidence_never_asks(spark):
         answer.generate_answers(bundles.withColumn("query", F.lit(" ")), answer.ScriptedProvider(fail))
 
 
-def test_http_provider_retries():
-    waits, calls = [], []
-
-    def post(status):
-        def call(model, body, timeout):
-            calls.append(model)
-            if len(calls) < 3:
-                raise GenerationError("busy", status)
-            return {"candidates": [{"content": {"parts": [{"text": "a"}, {"text": "b"}, {}]}}], "usageMetadata": {"total": 3}}
-
-        return call
-
-    got = answer.HttpProvider(post(503), "m", sleep=waits.append).generate("p")
-    assert got == {"text": "ab", "usage": {"total": 3}, "attempts": 3} and waits == [1.0, 2.0]
-    calls.clear()
-    with pytest.raises(GenerationError) as failed:
-        answer.HttpProvider(post(400), "m", sleep=waits.append).generate("p")
-    assert failed.value.attempts == 1 and len(calls) == 1
-    assert answer.usage(None) == {} and answer.usage(5) == {"raw": 5} and answer.attempts(True) == 1 and answer.retryable(429) and not answer.retryable(404)
-
-
 def test_metrics(spark):
     ranked = spark.createDataFrame([("a", f"c{i}", i) for i in range(1, 9)] + [("b", f"c{i}", i) for i in range(1, 9)] + [("c", "c1", 1)], "case_id string, chunk_id string, rank int")
     cases = spark.createDataFrame([("a", ["c3", "c1"]), ("b", ["c7", "zz"]), ("c", ["c1"])], "case_id string, expected_chunk_ids array<string>")
@@ -221,6 +188,9 @@ def test_benchmark(spark, chunks):
 def test_page_reports(spark):
     rows = [("A", "a.pdf", i, t, s) for i, (t, s) in enumerate([("word " * 100, None), ("word " * 99, None), ("x\x01", None), ("", None), ("lost", "failed")], 1)] + [("B", "", 1, "fine", None)]
     found = pages.page_records(spark.createDataFrame(rows, "document_id string, filename string, page_number int, text string, extraction_status string"))
+    problems = pages.provenance_problems(found.where("document_id = 'B'")).collect()
+    assert [r.problem for r in problems] == ["missing field 'page_width'", "missing field 'page_height'", "missing field 'extraction_error'", "empty traceability field 'filename'"]
+    found = found.withColumns({c: F.lit(None).cast("string") for c in ("page_width", "page_height", "extraction_error")})
     stats = {r.document_id: r for r in pages.page_statistics(found).collect()}["A"]
     assert (stats.page_count, stats.empty_pages, stats.failed_pages, stats.chars_max, stats.words_max) == (5, [4], [5], 500, 100)
     assert [tuple(x) for x in stats.control_char_pages] == [(3, 0.5)] and stats.chars_median == 2 and stats.low_text_pages == [4, 5]
