@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..staging import Staging
 
 
 @dataclass(frozen=True)
@@ -35,15 +36,24 @@ def _row() -> Column:
     return F.bround("top").cast("int")
 
 
+def word_rows(words: DataFrame) -> DataFrame:
+    """(page_id, row, w): the words of each row from left to right, as structures of x0, word_index, x1 and text."""
+    word = F.struct("x0", "word_index", "x1", F.coalesce("text", F.lit("")).alias("text"))
+    return words.groupBy("page_id", _row().alias("row")).agg(F.array_sort(F.collect_list(word)).alias("w"))
+
+
+def row_segments(rows: DataFrame, gap: float = LayoutConfig.row_split_gap) -> DataFrame:
+    """(page_id, row, segment, x0, x1, words): rows of words cut where one begins more than `gap` after the one before ends."""
+    size, at = F.size("w"), lambda i: F.get("w", i)
+    inner = F.when(size > 1, F.sequence(F.lit(1), size - 1)).otherwise(F.array().cast("array<int>"))
+    cuts = F.filter(inner, lambda i: at(i)["x0"] - at(i - 1)["x1"] > gap)
+    bounds = rows.select("page_id", "row", "w", F.posexplode(F.arrays_zip(F.concat(F.array(F.lit(0)), cuts).alias("low"), F.concat(cuts, F.array(size)).alias("high"))).alias("segment", "b"))
+    return bounds.select("page_id", "row", F.col("segment").cast("long").alias("segment"), at(F.col("b.low"))["x0"].alias("x0"), at(F.col("b.high") - 1)["x1"].alias("x1"), (F.col("b.high") - F.col("b.low")).cast("long").alias("words"))
+
+
 def line_segments(words: DataFrame, gap: float = LayoutConfig.row_split_gap) -> DataFrame:
-    """(page_id, row, segment, x0, x1, words): rows cut where a word begins more than `gap` after the one before ends."""
-    order = Window.partitionBy("page_id", "row").orderBy("x0", "word_index")
-    rows = words.withColumn("row", _row())
-    cut = F.coalesce((F.col("x0") - F.lag("x1").over(order) > gap).cast("int"), F.lit(0))
-    numbered = rows.withColumn("cut", cut).withColumn("segment", F.sum("cut").over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    return numbered.groupBy("page_id", "row", "segment").agg(
-        F.min_by("x0", F.struct("x0", "word_index")).alias("x0"), F.max_by("x1", F.struct("x0", "word_index")).alias("x1"), F.count("*").alias("words")
-    )
+    """(page_id, row, segment, x0, x1, words) of words; they are gathered by row once."""
+    return row_segments(word_rows(words), gap)
 
 
 def coverage_profile(segments: DataFrame, pages: DataFrame, config: LayoutConfig | None = None) -> DataFrame:
@@ -114,9 +124,26 @@ def lines(placed: DataFrame) -> DataFrame:
     return out.select("page_id", "region", "top", "x0", "x1", F.array_join(F.transform("w", lambda w: w["text"]), " ").alias("text"), "word_count", middle.alias("median_x0"))
 
 
+def row_lines(rows: DataFrame, kept: DataFrame) -> DataFrame:
+    """As `lines`, from gathered rows of words and the gutters kept: a row is one line in each region that its words are in."""
+    bounds = kept.groupBy("page_id").agg(F.array_sort(F.collect_list("mid")).alias("bounds"))
+    number = lambda w: F.size(F.filter(F.coalesce("bounds", F.array().cast("array<double>")), lambda b: b <= (w["x0"] + w["x1"]) / 2))
+    numbered = rows.join(bounds, "page_id", "left").withColumn("r", F.transform("w", number))
+    split = numbered.select("page_id", F.col("row").alias("top"), "w", "r", F.explode(F.array_distinct("r")).alias("region"))
+    held = split.withColumn("w", F.filter("w", lambda w, i: F.get("r", i) == F.col("region"))).drop("r")
+    middle = F.get("w", F.floor(F.size("w") / 2).cast("int"))["x0"]
+    of = lambda field: F.transform("w", lambda w: w[field])
+    return held.select("page_id", "region", "top", F.array_min(of("x0")).alias("x0"), F.array_max(of("x1")).alias("x1"), F.array_join(of("text"), " ").alias("text"), F.size("w").cast("long").alias("word_count"), middle.alias("median_x0"))
+
+
 def region_texts(placed: DataFrame) -> DataFrame:
     """(page_id, region, x0, x1, word_count, text): extent and lines of each region that has words."""
-    by_line = lines(placed).groupBy("page_id", "region").agg(F.min("x0").alias("x0"), F.max("x1").alias("x1"), F.sum("word_count").alias("word_count"), F.array_sort(F.collect_list(F.struct("top", "text"))).alias("l"))
+    return joined_lines(lines(placed))
+
+
+def joined_lines(found: DataFrame) -> DataFrame:
+    """The lines of each region, from top to bottom."""
+    by_line = found.groupBy("page_id", "region").agg(F.min("x0").alias("x0"), F.max("x1").alias("x1"), F.sum("word_count").alias("word_count"), F.array_sort(F.collect_list(F.struct("top", "text"))).alias("l"))
     return by_line.select("page_id", "region", "x0", "x1", "word_count", F.array_join(F.transform("l", lambda x: x["text"]), "\n").alias("text"))
 
 
@@ -125,13 +152,15 @@ def reading_order(words: DataFrame, cells: DataFrame, pages: DataFrame, config:
 
     `words` as in schemas.WORDS, `cells` as in schemas.CELLS, `pages` is
     (page_id, page_width). Pages without words have an empty text and one
-    region.
+    region. Words are read and shuffled once, into rows; all else is made from
+    the written rows and the written gutters.
     """
     c = config or LayoutConfig()
-    kept_words = upright(words)
-    found = guard_tables(gutters(line_segments(kept_words, c.row_split_gap), pages, c), cells, c.table_cell_proximity)
-    placed = regions(kept_words, found.where("not rejected"))
-    texts = region_texts(placed)
+    staging = Staging(words.sparkSession, "layout")
+    rows = staging.write(word_rows(upright(words)), "rows")
+    segments = staging.write(row_segments(rows, c.row_split_gap), "segments")
+    found = staging.write(guard_tables(gutters(segments, pages, c), cells, c.table_cell_proximity), "gutters")
+    texts = joined_lines(row_lines(rows, found.where("not rejected")))
     shape = F.struct("start", "end", "max_coverage", "width", "mid", "left_lines", "right_lines")
     listed = found.groupBy("page_id").agg(F.array_sort(F.collect_list(F.when(~F.col("rejected"), shape))).alias("gutters"), F.array_sort(F.collect_list(F.when(F.col("rejected"), shape))).alias("rejected_gutters"))
     by_region = F.array_sort(F.collect_list(F.struct("region", "x0", "x1", "word_count", "text"))).alias("r")
