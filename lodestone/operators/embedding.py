@@ -41,6 +41,9 @@ def sha_bucket(token: Column, dimension: int) -> Column:
     return F.pmod(F.conv(F.substring(F.sha2(F.encode(token, "UTF-8"), 256), 2, 15), 16, 10).cast("long"), F.lit(dimension)).cast("int")
 
 
+sha_bucket.native = True  # type: ignore[attr-defined]  # hashing a token again costs less than joining its bucket
+
+
 def blake_bucket(token: Column, dimension: int) -> Column:
     """Bucket by an eight-byte BLAKE2b digest, big-endian; Spark has no BLAKE2, so a pandas UDF hashes distinct tokens."""
 
@@ -77,6 +80,14 @@ def sparse(counts: DataFrame, key: str, hasher: Hasher, dimension: int, weights:
     return summed.join(norms, key).select(key, "bucket", (F.col("weight") / F.col("norm")).alias("weight"))
 
 
+def native_sparse(texts: DataFrame, key: str, text: str, hasher: Hasher, dimension: int) -> DataFrame:
+    """As `sparse` without weights, for a hasher that is an expression: texts are dealt by key once, all else stays where they are."""
+    buckets = texts.select(key, text).repartition(key).select(key, F.explode(T.tokens(F.col(text))).alias("token")).select(key, hasher(F.col("token"), dimension).alias("bucket"))
+    counted = buckets.groupBy(key, "bucket").agg(F.count("*").alias("tf"))
+    cells = counted.groupBy(key).agg(F.collect_list(F.struct("bucket", "tf")).alias("cells"), F.sqrt(F.sum(F.col("tf") * F.col("tf")).cast("double")).alias("norm"))
+    return cells.select(key, "norm", F.inline("cells")).select(key, "bucket", (F.col("tf") / F.col("norm")).alias("weight"))
+
+
 def dense(sparse_rows: DataFrame, key: str, dimension: int) -> DataFrame:
     """(key, vector): buckets without a weight are 0."""
     cells = F.map_from_entries(F.collect_list(F.struct("bucket", "weight")))
@@ -97,7 +108,10 @@ class HashProvider:
         return {"method": "bag-of-words", "tokenizer": "whitespace-lowercase", "norm": "l2"}
 
     def embed_sparse(self, texts: DataFrame, key: str, text: str) -> DataFrame:
-        return sparse(token_counts(require_text(texts, key, text), key, text), key, self.hasher, self.dimension)
+        checked = require_text(texts, key, text)
+        if getattr(self.hasher, "native", False):
+            return native_sparse(checked, key, text, self.hasher, self.dimension)
+        return sparse(token_counts(checked, key, text), key, self.hasher, self.dimension)
 
     def embed(self, texts: DataFrame, key: str, text: str) -> DataFrame:
         return dense(self.embed_sparse(texts, key, text), key, self.dimension)

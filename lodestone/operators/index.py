@@ -57,8 +57,14 @@ def index_checks(chunks: DataFrame, embeddings: DataFrame, dimension: int | None
     return totals.select(F.inline(F.array(*rows)))
 
 
-def build_index(chunks: DataFrame, embeddings: DataFrame, catalog: DataFrame | None = None, dimension: int | None = None) -> DataFrame:
-    """(chunk_id, document_id, page_number, text, vector, norm[, document_name]); any disagreement raises, after one job."""
+def build_index(chunks: DataFrame, embeddings: DataFrame, catalog: DataFrame | None = None, dimension: int | None = None, document_id: str | None = None) -> DataFrame:
+    """(chunk_id, document_id, page_number, text, vector, norm[, document_name]); any disagreement raises, after one job.
+
+    `document_id` is that of records which carry none of their own, on either side.
+    """
+    if document_id is not None:
+        own = F.coalesce(F.when(F.col("document_id") != "", F.col("document_id")), F.lit(document_id))
+        chunks, embeddings = chunks.withColumn("document_id", own), embeddings.withColumn("document_id", own)
     checks.require(index_checks(chunks, embeddings, dimension), RetrievalError)
     joined = chunks.select("chunk_id", "document_id", "page_number", "text").join(embeddings.select("chunk_id", "vector"), "chunk_id")
     index = joined.select("chunk_id", "document_id", "page_number", "text", "vector", V.norm(F.col("vector")).alias("norm"))

@@ -543,19 +543,35 @@ def corpus_load(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counted.withColumn("model_name", F.lit(loaded.embedder.name))
 
 
-@published(
-    f"""WITH {fx.sql_lexical()}, pairs AS (SELECT query_id, document_id, chunk_id FROM items JOIN chunks ON contains(chunks.text, items.text)),
+_SQL_DOCUMENT_CASES = """pairs AS (SELECT query_id, document_id, chunk_id FROM items JOIN chunks ON contains(chunks.text, items.text)),
 cases AS (SELECT query_id || '/' || document_id AS case_id, query_id, document_id, list(chunk_id) AS expected FROM pairs GROUP BY ALL),
-ranking AS (SELECT case_id, chunk_id, CAST(row_number() OVER (PARTITION BY case_id ORDER BY rank) AS INT) AS rank FROM cases JOIN ranked USING (query_id, document_id)),
-{_SQL_METRICS} SELECT * FROM metrics"""
-)
+ranking AS (SELECT case_id, chunk_id, CAST(row_number() OVER (PARTITION BY case_id ORDER BY rank) AS INT) AS rank FROM cases JOIN ranked USING (query_id, document_id))"""
+_SQL_BY_PROVIDER = [f"WITH {fx.sql_lexical(idf)}, {_SQL_DOCUMENT_CASES}, {_SQL_METRICS} SELECT '{name}' AS provider, * FROM metrics" for name, idf in (("hash", False), ("idf", True))]
+
+
+def _document_cases(chunks: DataFrame, queries: DataFrame) -> DataFrame:
+    """A case for each benchmark item and document that holds it whole."""
+    held = evaluation.holders(chunks, queries).join(chunks.select("chunk_id", "document_id"), "chunk_id").join(queries, "query_id")
+    return held.groupBy(F.concat_ws("/", "query_id", "document_id").alias("case_id"), "document_id", "query").agg(F.collect_list("chunk_id").alias("expected_chunk_ids"))
+
+
+@published(f"SELECT * FROM (({_SQL_BY_PROVIDER[0]}) UNION ALL ({_SQL_BY_PROVIDER[1]}))")
+def provider_benchmark(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same cases for providers fitted to the chunks, each case among its own document's chunks."""
+    chunks = fx.staged_chunks(spark, sf_dir)
+    cases = Staging(spark, "cases").write(_document_cases(chunks, fx.text_queries(spark, sf_dir)), "cases")
+    hashed = embedding.HashProvider(hasher=embedding.sha_bucket)
+    weighted = lambda c: embedding.TermWeightedProvider(c, "chunk_id", "text", hasher=embedding.sha_bucket)
+    found = evaluation.run_with_providers(cases, chunks, {"hash": lambda c: (hashed, hashed), "idf": lambda c: (p := weighted(c), p)}, digits=9)
+    return found.drop("full_ranks").withColumn("relevant_ranks", joined("relevant_ranks"))
+
+
+@published(f"WITH {fx.sql_lexical()}, {_SQL_DOCUMENT_CASES}, {_SQL_METRICS} SELECT * FROM metrics")
 def corpus_benchmark(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A file of cases, one for each benchmark item and document that holds it, against the written corpus."""
     root, providers = _artifacts(spark, sf_dir)
     queries, chunks = fx.text_queries(spark, sf_dir), corpus.load_corpus(spark, root, "v1", providers).chunks
-    held = evaluation.holders(chunks, queries).join(chunks.select("chunk_id", "document_id"), "chunk_id").join(queries, "query_id")
-    cases = held.groupBy(F.concat_ws("/", "query_id", "document_id").alias("case_id"), "document_id", "query").agg(F.collect_list("chunk_id").alias("expected_chunk_ids"))
-    files.write_json(cases.withColumn("ambiguous", F.lit(False)), f"{root}/cases")
+    files.write_json(_document_cases(chunks, queries).withColumn("ambiguous", F.lit(False)), f"{root}/cases")
     found = corpus.run_corpus_benchmark(spark, root, "v1", f"{root}/cases", providers, digits=9)
     return found.drop("full_ranks").withColumn("relevant_ranks", joined("relevant_ranks"))
 

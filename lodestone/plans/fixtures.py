@@ -9,6 +9,8 @@ from ..functions import text as T
 from ..operators import chunking, pages
 from ..staging import Staging
 
+#: Failed and empty pages are numbered from here on.
+BESIDE = 1_000_000
 QUERY_STEP = 20  # searches take every row whose id is divisible by it as a query
 
 
@@ -17,7 +19,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def raw_pages(spark: SparkSession, sf_dir: str, double_newlines: bool = False) -> DataFrame:
-    """Documents as the pages of their source; some are marked failed, some blanked.
+    """Documents as the pages of their source, all of them whole; some sources have a failed or an empty page besides.
 
     Pages are numbered by ranges of ids, without their texts, so that no task
     sorts a whole source.
@@ -25,16 +27,18 @@ def raw_pages(spark: SparkSession, sf_dir: str, double_newlines: bool = False) -
     docs = table(spark, sf_dir, "documents").join(page_numbers(spark, sf_dir), "doc_id")
     text = F.replace("text", F.lit("\n"), F.lit("\n\n")) if double_newlines else F.col("text")
     failed = F.col("doc_id") % 97 == 0
-    return docs.select(
+    page = lambda number, text, status: [
         F.col("source").alias("document_id"),
         F.concat("source", F.lit(".txt")).alias("filename"),
-        "page_number",
-        F.when(failed | (F.col("doc_id") % 89 == 0), "").otherwise(text).alias("text"),
-        F.when(failed, "failed").alias("extraction_status"),
+        number.alias("page_number"),
+        text.alias("text"),
+        status.cast("string").alias("extraction_status"),
         F.lit(None).cast("string").alias("extraction_error"),
         F.lit(None).cast("double").alias("page_width"),
         F.lit(None).cast("double").alias("page_height"),
-    )
+    ]
+    beside = docs.where(failed | (F.col("doc_id") % 89 == 0)).select(*page(F.col("page_number") + BESIDE, F.lit(""), F.when(failed, "failed")))
+    return docs.select(*page(F.col("page_number"), text, F.lit(None))).union(beside)
 
 
 def page_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -115,8 +119,8 @@ WS, NON_WS = T.WS.replace("'", "''"), T.NON_WS.replace("'", "''")
 
 def sql_pages(double_newlines: bool = False) -> str:
     text = "replace(text, chr(10), chr(10) || chr(10))" if double_newlines else "text"
-    return f"""raw AS (SELECT source AS document_id, source || '.txt' AS filename, CAST(row_number() OVER (PARTITION BY source ORDER BY doc_id) AS INT) AS page_number,
-  CASE WHEN doc_id % 97 = 0 OR doc_id % 89 = 0 THEN '' ELSE {text} END AS text, doc_id % 97 = 0 AS failed FROM documents),
+    return f"""whole AS (SELECT doc_id, source AS document_id, source || '.txt' AS filename, CAST(row_number() OVER (PARTITION BY source ORDER BY doc_id) AS INT) AS page_number, {text} AS text, false AS failed FROM documents),
+raw AS (SELECT document_id, filename, page_number, text, failed FROM whole UNION ALL SELECT document_id, filename, CAST({BESIDE} + page_number AS INT), '', doc_id % 97 = 0 FROM whole WHERE doc_id % 97 = 0 OR doc_id % 89 = 0),
 pages AS (SELECT document_id, filename, page_number, text, CASE WHEN NOT failed THEN sha256(text) END AS text_sha256,
   CAST(CASE WHEN failed THEN 0 ELSE length(text) END AS INT) AS char_count, CAST(CASE WHEN failed THEN 0 ELSE len(regexp_extract_all(text, '{NON_WS}+')) END AS INT) AS word_count,
   CASE WHEN failed THEN 'failed' WHEN regexp_matches(text, '{NON_WS}') THEN 'ok' ELSE 'empty' END AS extraction_status FROM raw)"""
