@@ -21,7 +21,9 @@ PASS_QUERIES, BLOCK_QUERIES = 16_384, 256
 #: Rows of the vectors that a task has at least, if there are so many.
 TASK_ROWS = 8192
 #: Shares of the lists to which they are read one after the other, until outsiders cannot qualify.
-DEPTHS = (0.35, 0.5, 0.65, 0.8, 1.0)
+DEPTHS = (0.02, 0.06, 0.15, 0.35, 0.65, 1.0)
+#: Where more of a shard's rows than this share may still qualify, reading on costs more than their final scores.
+HOPELESS = 0.25
 #: Candidates for each result at which final scores are resolved.
 ENOUGH = 8
 
@@ -59,7 +61,8 @@ class Lists:
         adds the entries between the last depth and this one; what is unread
         is summed once a depth. A row stays while its
         upper bound reaches the k-th best lower bound and the floor. When few
-        stay, or all is read, their scores are resolved. Sums are exact.
+        stay, or all is read, their scores are resolved; and so they are where
+        most rows stay, in one product for all such queries. Sums are exact.
         """
         n, dims = self.vectors.shape
         high = max(map(abs, (int(self.vectors.max(initial=0)), int(self.vectors.min(initial=0)))))
@@ -101,10 +104,20 @@ class Lists:
                     bound = best if bound is None else max(bound, best)
                 if bound is not None:
                     stays[:, i] &= (upper[:, i] >= bound).astype(bool)
-            done = (stays.sum(axis=0) <= ENOUGH * k) | (depth == n)
+            many = stays.sum(axis=0)
+            hopeless = (many > HOPELESS * n) & (many > ENOUGH * k)
+            done = (many <= ENOUGH * k) | (depth == n) | hopeless
+            whole = vectors @ asked[:, hopeless] if dims and hopeless.any() else None
+            column = np.cumsum(hopeless) - 1
             for i in np.flatnonzero(done).tolist():
                 rows = np.flatnonzero(stays[:, i])
-                scores = vectors[rows] @ asked[:, i] if dims else np.zeros(len(rows), dtype=kind)
+                if whole is not None and hopeless[i]:
+                    scores = whole[rows, column[i]]
+                else:
+                    scores = vectors[rows] @ asked[:, i] if dims else np.zeros(len(rows), dtype=kind)
+                if kind is not object and len(rows) > 4 * k:  # what is below the k-th best need not be ordered
+                    near = scores >= np.partition(scores, len(scores) - k)[len(scores) - k]
+                    rows, scores = rows[near], scores[near]
                 keep = np.lexsort((rows, -scores.astype(object) if kind is object else -scores))[:k] if len(rows) > k else slice(None)
                 out[open_[i]] = (self.ids[rows[keep]], scores[keep])
             if done.any():
@@ -228,10 +241,12 @@ def search(vectors: DataFrame, k: int = 10, query_step: int = 100, id_col: str =
     if rows.rdd.getNumPartitions() < min(parts, 2 * spark.sparkContext.defaultParallelism):
         rows = staging.write(rows.repartition(parts), "dealt")
     asked = rows.where(F.col("vec_id") % query_step == 0).groupBy(F.size("v").alias("d"), "vec_id").agg(F.min("v").alias("v"))
-    asked = staging.write(asked.withColumn("pass", F.pmod(F.xxhash64("vec_id"), F.lit(max(1, -(-count // (query_step * PASS_QUERIES // 2))))).cast("int")), "queries")
+    asked = staging.write(asked, "queries")
+    passes = -(-asked.count() // (PASS_QUERIES // 2))
     found = None
-    for number in sorted(r["pass"] for r in asked.select("pass").distinct().collect()):  # a number for some thousand queries
-        table = asked.where(F.col("pass") == number).select("d", "vec_id", "v").toArrow()  # PASS_QUERIES rows, by count and hash
+    for number in range(passes):
+        mine = F.pmod(F.xxhash64("vec_id"), F.lit(passes)) == number
+        table = asked.where(mine).select("d", "vec_id", "v").toArrow()  # PASS_QUERIES rows at most, by their number and a hash
         queries = {}
         for dims in table.column("d").unique().to_pylist():
             own = table.filter(pc.equal(table.column("d"), dims)).combine_chunks()

@@ -55,6 +55,34 @@ def test_numbers_that_fit_in_no_long(spark):
     assert [(r.query_id, r.vec_id, r.score) for r in topk.search(near).orderBy("rank").collect()] == [(0, 2, 2**60 + 1024 * 1025), (0, 1, 2**60 + 1024 * 1024)]
 
 
+def test_passes_hold_few_queries_whatever_the_ids(spark, monkeypatch):
+    """All ids are queries: passes go by the number of queries, not of rows."""
+    monkeypatch.setattr(topk, "PASS_QUERIES", 100)
+    asked = []
+    real = topk._against
+
+    def counted(queries, k):
+        asked.append(sum(len(own) for own, _ in queries.values()))
+        return real(queries, k)
+
+    monkeypatch.setattr(topk, "_against", counted)
+    rows = [(100 * i, [float(i % 17), 1.0]) for i in range(500)]
+    got = topk.search(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), 2)
+    assert sum(asked) == 500 and len(asked) == 10 and max(asked) <= 100
+    assert got.count() == 1000
+
+
+def test_lists_that_cannot_prune_are_left_early():
+    r = np.random.default_rng(5)
+    x = r.integers(-1000, 1000, size=(2000, 64))
+    lists = topk.Lists(np.arange(2000), x)
+    found = lists.search(x[:5], np.arange(5), 10)
+    for q, (ids, scores) in enumerate(found):
+        exact = sorted(((-int(s), i) for i, s in enumerate(x @ x[q]) if i != q))[:10]
+        assert sorted((-int(s), int(i)) for s, i in zip(scores, ids, strict=True)) == exact
+    assert lists.read <= 0.1 * lists.held
+
+
 def test_one_vector_that_repeats_most(spark):
     rows = [(7, [1.0, 2.0])] * 600 + [(i, [float(i), 1.0]) for i in range(100, 400)]
     got = topk.search(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), 3)
