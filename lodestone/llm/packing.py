@@ -16,9 +16,11 @@ from ..staging import Staging
 from .encoder import encoder
 from .text import over_texts, slices, strings
 
-#: Up to so many sources, every task computes the schedule of all queues by itself; beyond, a table of all quanta is sorted.
+#: Up to so many sources, every task computes the schedule of all queues by itself; beyond, a table of all quanta is
+#: sorted, by the same rule.
 QUEUES = 256
-
+#: Weights are whole numbers that sum up to about so much for each QUEUES queues; phases are 64ths of a quantum.
+WHOLE, GOLDEN = 2**18, 0.6180339887498949
 
 #: Pieces that a worker keeps, and bytes of text that it encodes at a time, by default.
 PIECES, TEXT_BYTES = 1_000_000, 4_000_000
@@ -49,6 +51,11 @@ class Sequences:
         return which, low - place[which], high - low, sequence, low - self.begin(sequence)
 
 
+def whole(queues: int) -> int:
+    """What the weights of so many queues sum up to, about."""
+    return WHOLE * max(1, -(-queues // 256))
+
+
 def quanta_of(starts: np.ndarray, counts: np.ndarray, quantum: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(document, quantum, place in its queue, length) of the stretches that documents have in each quantum of their queue."""
     low, high = starts // quantum, (starts + counts - 1) // quantum
@@ -79,8 +86,8 @@ class Schedule:
         self.totals = np.array(totals, dtype=np.int64)
         self.quanta = -(-self.totals // quantum)
         raw = np.array(totals if weights is None else weights, dtype=np.float64)
-        self.weights = np.maximum(1, np.round(raw * (2**18 / max(raw.sum(), 1e-300)))).astype(np.int64)
-        self.phase = ((np.arange(len(raw)) + 1) * 0.6180339887498949 % 1 * 64).astype(np.int64)  # 64ths of a quantum
+        self.weights = np.maximum(1, np.round(raw * (whole(len(raw)) / max(raw.sum(), 1e-300)))).astype(np.int64)
+        self.phase = ((np.arange(len(raw)) + 1) * GOLDEN % 1 * 64).astype(np.int64)
         self.sequences = Sequences(int(self.totals.sum()), window)
 
     def placed_before(self, queue: np.ndarray, q: np.ndarray) -> np.ndarray:
@@ -204,18 +211,29 @@ _SCHEMA = ", ".join(f"{c} long" for c in _COLUMNS)
 
 
 def _sorted(located: DataFrame, lanes: DataFrame, given: dict[str, float], quantum: int, window: int, staging: Staging) -> DataFrame:
-    """The same for any number of queues: a table of all quanta, sorted by when they are due, places every quantum."""
+    """The same for any number of queues: a table of all quanta, sorted by when they are due, places every quantum.
+
+    Queues have the weights and phases that `Schedule` gives them. Quantum q is
+    due at (64 q + phase) / weight, which is compared exactly: by its whole
+    part, by the rest over the weight, and where both are equal by queue.
+    """
     spark = located.sparkSession
     named = spark.createDataFrame(list(given.items()), "queue string, given double")
     lanes = lanes.join(F.broadcast(named), "queue", "left")  # a row for each weight that the caller gave
     total, known, share = lanes.agg(F.sum("total"), F.sum(F.when(F.col("given").isNotNull(), F.col("total"))), F.sum("given")).first()
     weight = F.when(F.col("given").isNotNull() & F.lit(bool(share)), F.col("given") * F.lit((known or 0) / (share or 1))).otherwise(F.col("total").cast("double"))
-    lanes = lanes.withColumn("w", F.greatest(weight, F.lit(total * 2.0**-40))).withColumn("quanta", F.ceil(F.col("total") / quantum).cast("long"))
+    count = lanes.count()
+    mass = lanes.agg(F.sum(weight)).first()[0]
+    w = F.greatest(F.lit(1), F.bround(weight * F.lit(whole(count) / max(mass or 0.0, 1e-300)), 0).cast("long"))
+    lanes = lanes.withColumn("w", w).withColumn("quanta", F.ceil(F.col("total") / quantum).cast("long"))
+    lanes = staging.numbered(lanes, [F.col("queue")], "place", "numbered")
+    lanes = lanes.withColumn("phase", (((F.col("place") + 1) * F.lit(GOLDEN)) % F.lit(1.0) * 64).cast("long"))
     step = F.greatest(F.ceil(F.col("quanta") / 100_000), F.lit(4096)).cast("long")  # a queue may hold a third of all
     parts = lanes.withColumn("step", step).withColumn("part", F.explode(F.expr("sequence(0L, (quanta - 1) div step)"))).repartition("queue", "part")
     quanta = parts.withColumn("q", F.explode(F.expr("sequence(part * step, least(quanta, (part + 1) * step) - 1)")))
-    phase = (F.pmod(F.xxhash64("queue"), F.lit(2**20)) + 0.5) / 2**20
-    quanta = quanta.select("queue", "q", F.least(F.lit(quantum), F.col("total") - F.col("q") * quantum).cast("long").alias("size"), ((F.col("q") + phase) / F.col("w")).alias("due"))
+    ahead = 64 * F.col("q") + F.col("phase")
+    due = [F.expr("(64 * q + phase) div w").alias("due"), ((ahead % F.col("w")) / F.col("w")).alias("rest")]
+    quanta = quanta.select("queue", "place", "q", F.least(F.lit(quantum), F.col("total") - F.col("q") * quantum).cast("long").alias("size"), *due)
 
     def running(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pid, base = TaskContext.get().partitionId(), 0
@@ -225,7 +243,7 @@ def _sorted(located: DataFrame, lanes: DataFrame, given: dict[str, float], quant
             yield pa.RecordBatch.from_arrays([batch.column("queue"), batch.column("q"), pa.array([pid] * len(size), pa.int64()), pa.array(ends - size), batch.column("size")], names=["queue", "q", "pid", "before", "size"])
             base = int(ends[-1]) if len(ends) else base
 
-    ordered = quanta.repartitionByRange("due", "queue", "q").sortWithinPartitions("due", "queue", "q")
+    ordered = quanta.repartitionByRange("due", "rest", "place").sortWithinPartitions("due", "rest", "place")
     order = staging.write(ordered.mapInArrow(running, "queue string, q long, pid long, before long, size long"), "order")
     sums = order.groupBy("pid").agg(F.sum("size").alias("held"))
     base = F.coalesce(F.sum("held").over(Window.orderBy("pid").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))

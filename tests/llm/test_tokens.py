@@ -168,10 +168,25 @@ def test_many_sources(spark, monkeypatch, weights):
                 assert all(abs(h[s] - 1024 * total[s] / sum(total.values())) <= (4 if s == "hot" else 2) * 128 for s in total)
     else:
         first = defaultdict(int)
-        for number in range(sum(total.values()) // 1024 // 20):
+        for number in range(sum(total.values()) // 1024 // 4):  # some ten quanta of the two
             for s, n in held[number].items():
                 first[s] += n
-        assert first["s1"] > 2 * first["s3"]
+        assert first["s1"] > 3 * first["s3"]
+
+
+def placed(pieces):
+    """Where every single id of every document lies."""
+    return {(r.doc_id, r.start + i): (r.sequence_id, r.offset + i) for r in pieces for i in range(r.length)}
+
+
+@pytest.mark.parametrize("weights", [None, {"s1": 5.0, "s3": 1.0}])
+def test_both_ways_lay_every_id_in_one_place(spark, monkeypatch, weights):
+    rows = [(i, f"word{i} " * (30 + i % 90), "hot" if i % 3 == 0 else f"s{i % 5}" if i % 41 else None) for i in range(200)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(4).cache()
+    one = placed(packing.pack(frame, BYTES, weights).collect())
+    monkeypatch.setattr(packing, "QUEUES", 2)
+    other = placed(packing.pack(frame, BYTES, weights).collect())
+    assert one == other and len(one) > 20_000
 
 
 def test_target_weights_and_odd_tables(spark, rows, docs, empty):
