@@ -11,6 +11,7 @@ from .. import schemas
 from ..errors import RetrievalError
 from ..operators import chunking, embedding, evaluation
 from ..operators import index as idx
+from ..staging import Staging
 from . import files
 
 _VECTORS = schemas.EMBEDDINGS + ", model_name string, corpus_version string"
@@ -64,7 +65,8 @@ def load_cases(spark: SparkSession, path: str, index: DataFrame) -> DataFrame:
     return cases
 
 
-def run_corpus_benchmark(spark: SparkSession, root: str, corpus_version: str, cases_path: str, providers: dict[str, embedding.EmbeddingProvider] | None = None, top_k: int = 5, digits: int | None = None) -> DataFrame:
+def run_corpus_benchmark(spark: SparkSession, root: str, corpus_version: str, cases_path: str, providers: dict[str, embedding.EmbeddingProvider] | None = None, top_k: int = 5, digits: int | None = None, full: bool = True) -> DataFrame:
     """Metrics of a file of cases against a written corpus."""
     corpus = load_corpus(spark, root, corpus_version, providers)
-    return evaluation.run_benchmark(load_cases(spark, cases_path, corpus.index), corpus.index, corpus.embedder, top_k, digits)
+    index = Staging(spark, "corpus").write(corpus.index, "index")  # read for the cases, the search and the ranks
+    return evaluation.run_benchmark(load_cases(spark, cases_path, index), index, corpus.embedder, top_k, digits, full)
