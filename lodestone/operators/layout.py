@@ -5,9 +5,12 @@ All steps run over the words of many pages at once and are keyed by page.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
@@ -56,39 +59,63 @@ def line_segments(words: DataFrame, gap: float = LayoutConfig.row_split_gap) ->
     return row_segments(word_rows(words), gap)
 
 
+def _scanned(segments: DataFrame, pages: DataFrame, c: LayoutConfig) -> DataFrame:
+    """(page_id, lo, last, total, x0, x1): a row for each page that is scanned, with the ends of its segments."""
+    whole = F.col("x0").isNotNull() & F.col("x1").isNotNull()
+    ends = [F.collect_list(F.when(whole, F.col(x))).alias(x) for x in ("x0", "x1")]
+    held = segments.groupBy("page_id").agg(F.count("*").alias("total"), *ends).where(F.col("total") >= 2 * c.min_side_lines)
+    width = F.col("page_width")
+    return pages.join(held, "page_id").select("page_id", (width * c.scan_lo).alias("lo"), F.floor(width * c.scan_hi - width * c.scan_lo).alias("last"), "total", "x0", "x1")
+
+
+def _covered(lo: float, last: int, x0: np.ndarray, x1: np.ndarray) -> np.ndarray:
+    """How many segments cover each step: each adds one at the first step that it covers and takes one away after the last."""
+    first, after = np.maximum(np.ceil(x0 - lo), 0).astype(np.int64), np.floor(x1 - lo).astype(np.int64) + 1
+    first, after = first[after > first], after[after > first]
+    change = [np.bincount(np.minimum(at, last + 1), minlength=last + 2) for at in (first, after)]
+    return np.cumsum(change[0] - change[1])[: last + 1]
+
+
+def _pages(lo: pd.Series, last: pd.Series, x0: pd.Series, x1: pd.Series) -> Iterator[np.ndarray | None]:
+    for a, n, s, e in zip(lo, last, x0, x1, strict=True):
+        yield None if pd.isna(a) else _covered(a, int(n), np.asarray(s, dtype=np.float64), np.asarray(e, dtype=np.float64))
+
+
 def coverage_profile(segments: DataFrame, pages: DataFrame, config: LayoutConfig | None = None) -> DataFrame:
     """(page_id, i, x, covered, total, frac): at each step of one point, how many of a page's segments cover x.
 
-    `pages` is (page_id, page_width). Instead of comparing every step with
-    every segment, each segment adds one at the first step that it covers and
-    takes one away after the last; a running sum has the counts.
+    `pages` is (page_id, page_width). A page's segments meet in one row, which
+    becomes its steps; steps are neither joined nor sorted.
     """
-    c = config or LayoutConfig()
-    totals = segments.groupBy("page_id").agg(F.count("*").alias("total")).where(F.col("total") >= 2 * c.min_side_lines)
-    width = F.col("page_width")
-    scanned = pages.join(totals, "page_id").withColumn("lo", width * c.scan_lo).withColumn("last", F.floor(width * c.scan_hi - width * c.scan_lo))
-    grid = scanned.select("page_id", "lo", "total", F.explode(F.sequence(F.lit(0).cast("long"), "last")).alias("i"))
-    at = segments.join(scanned.select("page_id", "lo"), "page_id")
-    first, after = F.greatest(F.ceil(F.col("x0") - F.col("lo")), F.lit(0)), F.floor(F.col("x1") - F.col("lo")) + 1
-    deltas = at.select("page_id", F.explode(F.array(F.struct(first.alias("i"), F.lit(1).alias("d")), F.struct(after.alias("i"), F.lit(-1).alias("d")))).alias("e"), (after > first).alias("ok")).where("ok")
-    deltas = deltas.groupBy("page_id", F.col("e.i").alias("i")).agg(F.sum("e.d").alias("d"))
-    running = Window.partitionBy("page_id").orderBy("i").rowsBetween(Window.unboundedPreceding, 0)
-    counted = grid.join(deltas, ["page_id", "i"], "left").withColumn("covered", F.sum(F.coalesce("d", F.lit(0))).over(running))
-    return counted.select("page_id", "i", (F.col("lo") + F.col("i")).alias("x"), "covered", "total", (F.col("covered") / F.col("total")).alias("frac"))
+
+    @F.pandas_udf("array<long>")
+    def covered(lo: pd.Series, last: pd.Series, x0: pd.Series, x1: pd.Series) -> pd.Series:
+        return pd.Series(list(_pages(lo, last, x0, x1)), dtype=object)
+
+    found = _scanned(segments, pages, config or LayoutConfig())
+    steps = found.select("page_id", "lo", "total", F.posexplode(covered("lo", "last", "x0", "x1")).alias("i", "covered"))
+    return steps.select("page_id", F.col("i").cast("long").alias("i"), (F.col("lo") + F.col("i")).alias("x"), "covered", "total", (F.col("covered") / F.col("total")).alias("frac"))
 
 
 def gutters(segments: DataFrame, pages: DataFrame, config: LayoutConfig | None = None) -> DataFrame:
     """(page_id, start, end, max_coverage, width, mid, left_lines, right_lines): runs of steps that almost nothing covers."""
     c = config or LayoutConfig()
-    low = coverage_profile(segments, pages, c).where(F.col("frac") <= c.coverage_tolerance)
-    island = F.col("i") - F.row_number().over(Window.partitionBy("page_id").orderBy("i"))
-    runs = low.withColumn("island", island).groupBy("page_id", "island").agg(F.min("x").alias("start"), F.max("x").alias("end"), F.max("frac").alias("max_coverage"), (F.max("i") - F.min("i")).cast("double").alias("width"))
-    runs = runs.where(F.col("width") >= c.min_gutter_width)
-    sided = runs.join(segments.select("page_id", F.col("x0").alias("s0"), F.col("x1").alias("s1")), "page_id")
-    left, right = F.count(F.when(F.col("s1") <= F.col("start"), 1)), F.count(F.when(F.col("s0") >= F.col("end"), 1))
-    found = sided.groupBy("page_id", "start", "end", "max_coverage", "width").agg(left.alias("left_lines"), right.alias("right_lines"))
-    found = found.where((F.col("left_lines") >= c.min_side_lines) & (F.col("right_lines") >= c.min_side_lines))
-    return found.select("page_id", "start", "end", "max_coverage", "width", ((F.col("start") + F.col("end")) / 2).alias("mid"), "left_lines", "right_lines")
+
+    @F.pandas_udf("array<struct<low:long,high:long,most:long>>")
+    def low_runs(lo: pd.Series, last: pd.Series, x0: pd.Series, x1: pd.Series, total: pd.Series) -> pd.Series:
+        out = []
+        for covered, n in zip(_pages(lo, last, x0, x1), total, strict=True):
+            low = np.flatnonzero(covered / n <= c.coverage_tolerance) if covered is not None else np.zeros(0, np.int64)
+            runs = np.split(low, np.flatnonzero(np.diff(low) > 1) + 1)
+            out.append([{"low": int(r[0]), "high": int(r[-1]), "most": int(covered[r].max())} for r in runs if len(r) and r[-1] - r[0] >= c.min_gutter_width])
+        return pd.Series(out, dtype=object)
+
+    runs = _scanned(segments, pages, c).select("page_id", "lo", "total", "x0", "x1", F.explode(low_runs("lo", "last", "x0", "x1", "total")).alias("r"))
+    start, end, width = F.col("lo") + F.col("r.low"), F.col("lo") + F.col("r.high"), (F.col("r.high") - F.col("r.low")).cast("double")
+    found = runs.select("page_id", start.alias("start"), end.alias("end"), (F.col("r.most") / F.col("total")).alias("max_coverage"), width.alias("width"), "x0", "x1")
+    left, right = F.filter("x1", lambda x: x <= F.col("start")), F.filter("x0", lambda x: x >= F.col("end"))
+    found = found.withColumns({"mid": (F.col("start") + F.col("end")) / 2, "left_lines": F.size(left).cast("long"), "right_lines": F.size(right).cast("long")}).drop("x0", "x1")
+    return found.where((F.col("left_lines") >= c.min_side_lines) & (F.col("right_lines") >= c.min_side_lines))
 
 
 def cell_boundaries(cells: DataFrame) -> DataFrame:
@@ -152,13 +179,13 @@ def reading_order(words: DataFrame, cells: DataFrame, pages: DataFrame, config:
 
     `words` as in schemas.WORDS, `cells` as in schemas.CELLS, `pages` is
     (page_id, page_width). Pages without words have an empty text and one
-    region. Words are read and shuffled once, into rows; all else is made from
-    the written rows and the written gutters.
+    region. Words are read twice, for the gutters, which are written, and for the
+    texts; words that are dealt by page are shuffled no more.
     """
     c = config or LayoutConfig()
     staging = Staging(words.sparkSession, "layout")
-    rows = staging.write(word_rows(upright(words)), "rows")
-    segments = staging.write(row_segments(rows, c.row_split_gap), "segments")
+    rows = word_rows(upright(words))
+    segments = row_segments(rows, c.row_split_gap)
     found = staging.write(guard_tables(gutters(segments, pages, c), cells, c.table_cell_proximity), "gutters")
     texts = joined_lines(row_lines(rows, found.where("not rejected")))
     shape = F.struct("start", "end", "max_coverage", "width", "mid", "left_lines", "right_lines")
