@@ -10,7 +10,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
@@ -55,8 +55,13 @@ def row_segments(rows: DataFrame, gap: float = LayoutConfig.row_split_gap) -> Da
 
 
 def line_segments(words: DataFrame, gap: float = LayoutConfig.row_split_gap) -> DataFrame:
-    """(page_id, row, segment, x0, x1, words) of words; they are gathered by row once."""
-    return row_segments(word_rows(words), gap)
+    """(page_id, row, segment, x0, x1, words), as `row_segments`, of words without their texts, which are sorted by row and never gathered."""
+    order = Window.partitionBy("page_id", "row").orderBy("x0", "word_index")
+    cut = F.coalesce((F.col("x0") - F.lag("x1").over(order) > gap).cast("long"), F.lit(0))
+    placed = words.select("page_id", _row().alias("row"), "x0", "word_index", "x1").withColumns({"cut": cut, "last": F.coalesce(F.lead("x0").over(order) - F.col("x1") > gap, F.lead("page_id").over(order).isNull())})
+    numbered = placed.withColumn("segment", F.sum("cut").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    found = numbered.groupBy("page_id", "row", "segment").agg(F.min("x0").alias("x0"), F.max(F.when(F.col("last"), F.col("x1"))).alias("x1"), F.count("*").alias("words"))
+    return found.select("page_id", "row", "segment", "x0", "x1", "words")
 
 
 def _scanned(segments: DataFrame, pages: DataFrame, c: LayoutConfig) -> DataFrame:
