@@ -76,3 +76,26 @@ def test_words_stay_with_their_page(spark):
     assert plan.count("Join") == 1  # of pages and their segments; no step is joined
     executed = catalog.QUERIES["line_segments"](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
     assert executed.count("Exchange") == 1 and "text" in executed.split("Exchange")[1]
+
+
+def test_whole_rankings_are_made_where_they_are_scored(spark, monkeypatch):
+    """The same rows as by scores and a window, ties and odd vectors included, and no pair is shuffled or sorted by Spark."""
+    import random
+
+    from lodestone.operators import retrieval
+
+    r = random.Random(9)
+    vectors = [[r.choice([-1.0, 0.5, 1.0, 2.0]) for _ in range(3)] for _ in range(60)]
+    vectors[7], vectors[11], vectors[20] = None, [1.0, None, 2.0], [1.0, 2.0]
+    rows = [(f"c{i * 7 % 60:02d}", f"d{i % 4}", i % 5, v) for i, v in enumerate(vectors)]
+    index = spark.createDataFrame(rows, "chunk_id string, document_id string, page_number int, vector array<double>").repartition(3)
+    queries = index.where("page_number = 0 or chunk_id in ('c49', 'c17')").selectExpr("chunk_id as query_id", "vector")
+    want = retrieval.full_ranking(retrieval.scores(index, queries), 5)
+    monkeypatch.setattr(blockwise, "GIVEN_ROWS", 7)
+    got = retrieval.full_trace(index, queries, 5)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "Window" not in plan and "Sort" not in plan
+    assert sorted(map(repr, got.select(want.columns).collect())) == sorted(map(repr, want.collect()))
+    monkeypatch.setattr(blockwise, "HELD_BYTES", 1)
+    assert sorted(map(repr, retrieval.full_trace(index, queries, 5).select(want.columns).collect())) == sorted(map(repr, want.collect()))
+    assert retrieval.full_trace(index, queries.limit(0), 5).isEmpty() and retrieval.full_trace(index.limit(0), queries, 5).isEmpty()
