@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..staging import Staging
+from ..staging import Staging, cleaned
 
 
 def _stars(edges: DataFrame) -> DataFrame:
@@ -37,7 +37,8 @@ def components(edges: DataFrame, staging: Staging, name: str = "cc") -> DataFram
         i += 1
         now = staging.write(_small(_stars(now)), f"{name}-{i}")
         staging.drop(f"{name}-{i - 1}")
-        row = now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
+        with cleaned(now.sparkSession):
+            row = now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if tuple(row) == sign:
             break
         sign = tuple(row)

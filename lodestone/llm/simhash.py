@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..staging import Staging
+from ..staging import Staging, cleaned
 from .components import components
 from .text import over_texts, slices, strings
 
@@ -90,7 +90,8 @@ def links(fps: DataFrame, staging: Staging, pair_bucket: int = PAIR_BUCKET) -> D
         F.explode(F.when(F.col("n") == 2, F.array(pair(F.col("lo"), F.col("hi")))).otherwise(F.array(pair(F.col("lo"), mid), pair(mid, F.col("hi")), pair(F.col("lo"), F.col("hi"))))).alias("p")
     ).select("p.a", "p.b")
     large = buckets.where("n > 3").select("key", "n")
-    large = F.broadcast(large) if large.count() <= BROADCAST_KEYS else large
+    with cleaned(large.sparkSession):
+        large = F.broadcast(large) if large.count() <= BROADCAST_KEYS else large
     members = staging.write(keyed.join(large, "key"), "members")
     medium = members.where(F.col("n") <= pair_bucket).select("key", "fp")
     paired = medium.withColumnRenamed("fp", "a").join(medium.withColumnRenamed("fp", "b"), "key").where("a < b").select("a", "b")

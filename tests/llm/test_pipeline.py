@@ -87,3 +87,24 @@ def test_empty(spark, tables, tmp_path):
     spark.read.parquet(f"{where}/documents.parquet").limit(0).write.parquet(f"{tmp_path}/documents.parquet")
     spark.read.parquet(f"{where}/labels.parquet").limit(0).write.parquet(f"{tmp_path}/labels.parquet")
     assert pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_many_rejected_are_neither_broadcast_nor_sorted(spark, monkeypatch):
+    """Beyond the bound, what a stage rejects meets the texts by hash; within it, the driver holds some 24 MB at most."""
+    docs = spark.createDataFrame([(i, f"text {i}") for i in range(50)] + [(None, "a"), (None, None)], "doc_id long, text string")
+    names = pipeline.Names(docs)
+    rejected = names.keyed(docs.where("doc_id % 3 = 0 or text is null")).select(names.keys())
+    want = sorted(map(repr, docs.where("not (coalesce(doc_id % 3 = 0, false) or text is null)").collect()))
+    was = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        monkeypatch.setattr(pipeline, "BROADCAST_ROWS", 0)
+        kept = pipeline._without(docs, rejected, names)
+        plan = kept._jdf.queryExecution().sparkPlan().toString()
+        assert "ShuffledHashJoin" in plan and "SortMergeJoin" not in plan and "Broadcast" not in plan, plan
+        assert sorted(map(repr, kept.collect())) == want
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", was)
+    monkeypatch.undo()
+    assert pipeline.BROADCAST_ROWS * 240 <= 24_000_000
+    assert sorted(map(repr, pipeline._without(docs, rejected, names).collect())) == want
