@@ -118,3 +118,17 @@ def test_page_numbers_sort_no_texts(spark, tmp_path, monkeypatch):
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", was)
     assert got[0] == got[1] == sorted((t, i // 3 + 1) for i, t, _ in rows)
+
+
+def test_whole_rankings_copy_no_records(spark):
+    """Records are written once and read by each group of queries; what is shuffled is the queries alone."""
+    from lodestone.operators import retrieval
+
+    index = fixtures.vector_index(spark, "/root/testdata/sf0.001")
+    got = retrieval.full_trace(index, fixtures.vector_queries(spark, "/root/testdata/sf0.001"), 5)
+    plan = got._jdf.queryExecution().sparkPlan().toString()
+    assert "CartesianProduct" in plan and "Generate" not in plan, plan
+    exchanges = [plan.splitlines()[i + 1 :] for i, line in enumerate(plan.splitlines()) if "Exchange" in line]
+    assert exchanges and all(not any("records" in line for line in below) for below in exchanges), plan
+    got.write.format("noop").mode("overwrite").save()
+    assert got.rdd.getNumPartitions() >= 2
