@@ -132,3 +132,23 @@ def test_whole_rankings_copy_no_records(spark):
     assert exchanges and all(not any("records" in line for line in below) for below in exchanges), plan
     got.write.format("noop").mode("overwrite").save()
     assert got.rdd.getNumPartitions() >= 2
+
+
+@pytest.mark.parametrize("most", [100_000, 0])
+def test_holders_leave_texts_where_they_are(spark, monkeypatch, most):
+    """A query meets the texts with its rarest inner word; neither texts nor their words are shuffled, unless queries are too many."""
+    monkeypatch.setattr(evaluation, "BROADCAST_WORDS", most, raising=False)
+    texts = ["the red fox ran over the hill", "red fox ran over the hi", "a fox", "", None, "the  red fox", "hill the red fox ran"]
+    asked = ["the red fox ran", "red fox", "ed fox ran over the hi", "fox", "no such words here", "the red fox"]
+    chunks = spark.createDataFrame([(f"c{i}", t) for i, t in enumerate(texts)], "chunk_id string, text string")
+    queries = spark.createDataFrame([(f"q{i}", t) for i, t in enumerate(asked)], "query_id string, query string")
+    was = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        got = evaluation.holders(chunks, queries.where("query_id not in ('q1', 'q3')"))
+        plan = got._jdf.queryExecution().executedPlan().toString()
+        assert most == 0 or "hashpartitioning" not in plan, plan
+        found = sorted(map(tuple, evaluation.holders(chunks, queries).collect()))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", was)
+    assert found == sorted((f"q{i}", f"c{j}") for i, q in enumerate(asked) for j, t in enumerate(texts) if t and q in t)
